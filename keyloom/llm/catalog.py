@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .media_columns import op10_media
 from .mixing import op1_mixing
+from .sentencepiece_bpe import op2_sentencepiece
+from .topk_search import OP3_SQL, op3_topk
 from .url_filters import OP6_SQL, op6_url_filters
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_topk": op3_topk,
     "op6_url_filters": op6_url_filters,
     "op8_line_dedup": op8_line_dedup,
+    "op10_media": op10_media,
 }
 
 ORACLES = {
+    "op3_topk": OP3_SQL,
     "op6_url_filters": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
 }
