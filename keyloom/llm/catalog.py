@@ -7,6 +7,7 @@ from .media_columns import op10_media
 from .mixing import op1_mixing
 from .sentencepiece_bpe import op2_sentencepiece
 from .topk_search import OP3_SQL, op3_topk
+from .toxicity import op9_toxicity
 from .url_filters import OP6_SQL, op6_url_filters
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op6_url_filters": op6_url_filters,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
 
