@@ -18,9 +18,54 @@ from .common import documents
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct words whose ids a task keeps; beyond it the memory is emptied, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Texts of one Arrow batch are encoded in groups of about so many characters.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 2_000_000
+
+
+class _PairTable:
+    """Finds the index of each of many keys, or -1, by probing a table of hashed slots."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.keys = np.append(keys, -2)
+        home, todo, step = self._home(keys), np.arange(len(keys)), 0
+        while len(todo):  # whoever finds its slot free takes it; the others try the next
+            at = (home[todo] + step) & ((1 << self.bits) - 1)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            todo = todo[self.slots[at] != todo]
+            step += 1
+        self.steps = step
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        home = self._home(keys)
+        out = self.slots[home]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        for step in range(1, self.steps):
+            if not len(todo):
+                break
+            got = self.slots[(home[todo] + step) & ((1 << self.bits) - 1)]
+            out[todo] = got
+            todo = todo[(got >= 0) & (self.keys[got] != keys[todo])]
+        out[todo] = -1
+        return out
+
+
+class _Index(dict):
+    """Number of each word; a new one gets the next."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class BpeModel:
@@ -43,7 +88,10 @@ class BpeModel:
         for i in range(n):
             if is_byte[i]:
                 self.byte_ids[int(pieces[i][1:-1], 16)] = i
-        self.chars = {p: i for p, i in normal.items() if len(p) == 1}
+        self.chars = np.full(0x110000, -1, np.int32)
+        for p, i in normal.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal):
             raise ValueError("a piece goes on after a word's end; such models are not supported")
         # Rank 0 is merged first; pieces of equal score share a rank.
@@ -59,6 +107,7 @@ class BpeModel:
             joins.update(self._join(a, b) for a, b in zip(p, p[1:], strict=False))
         keys = sorted(pairs)
         self.n = n
+        self.table = _PairTable(np.array(keys, np.int64))
         self.pair_keys = np.array([*keys, 2**62], np.int64)
         self.pair_rank = np.array([*(pairs[k][0] for k in keys), 0], np.int64)
         self.pair_piece = np.array([*(pairs[k][1] for k in keys), 0], np.int64)
@@ -72,7 +121,7 @@ class BpeModel:
         at_once[right[self.pair_rank[:-1] <= own[right]]] = False
         self.at_once = at_once
         # A word may be cut between two characters that no piece holds side by side.
-        self.joins = np.array(sorted(joins), np.int64)
+        self.joins = _PairTable(np.array(sorted(joins), np.int64))
         # Bytes that each id stands for when decoding.
         spelled = [b"" if special[i] and i != self.unk else b" \xe2\x81\x87 " if i == self.unk else bytes([int(pieces[i][1:-1], 16)]) if is_byte[i] else pieces[i].replace(SPACE, " ").encode() for i in range(n)]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
@@ -92,16 +141,12 @@ class BpeModel:
         word = np.repeat(np.arange(len(words)), sizes)
         if not len(points):
             return np.empty(0, np.int64), np.zeros(len(words) + 1, np.int64)
-        distinct, back = np.unique(points, return_inverse=True)
-        known = np.array([self.chars.get(chr(p), -1) for p in distinct], np.int64)
-        symbols = known[back]
+        symbols = self.chars[points].astype(np.int64)
 
         # Segments: words, cut further where no piece spans two characters.
         first = np.ones(len(points), bool)
         first[1:] = word[1:] != word[:-1]
-        side = points[:-1] << 21 | points[1:]
-        at = np.minimum(np.searchsorted(self.joins, side), max(len(self.joins) - 1, 0))
-        first[1:] |= (self.joins[at] != side) if len(self.joins) else True
+        first[1:] |= self.joins.find(points[:-1] << 21 | points[1:]) < 0
         segment = np.cumsum(first) - 1
         place = np.arange(len(points))
 
@@ -111,12 +156,12 @@ class BpeModel:
     def _merge(self, symbols: np.ndarray, segment: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rounds until no pair remains; returns symbols and their places, in order."""
         ends: list[tuple[np.ndarray, np.ndarray]] = []
+        total = len(symbols)
         while len(symbols):
             key = symbols[:-1] * self.n + symbols[1:]
             key[(segment[:-1] != segment[1:]) | (symbols[:-1] < 0) | (symbols[1:] < 0)] = -1
-            at = np.searchsorted(self.pair_keys, key)
-            hit = self.pair_keys[at] == key
-            pairs = np.flatnonzero(hit)
+            at = self.table.find(key)
+            pairs = np.flatnonzero(at >= 0)
             # Segments without any pair are finished and leave.
             busy = np.zeros(segment[-1] + 1, bool)
             busy[segment[pairs]] = True
@@ -144,10 +189,11 @@ class BpeModel:
             stay[b_at[take] + 1] = False
             symbols, segment, place = symbols[stay], segment[stay], place[stay]
             segment = np.cumsum(np.r_[False, segment[1:] != segment[:-1]])
-        symbols = np.concatenate([s for s, _ in ends]) if ends else symbols
-        place = np.concatenate([p for _, p in ends]) if ends else place
-        order = np.argsort(place, kind="stable")
-        return symbols[order], place[order]
+        all_symbols = np.full(total, -2, np.int64)
+        for s, p in ends:
+            all_symbols[p] = s
+        place = np.flatnonzero(all_symbols > -2)
+        return all_symbols[place], place
 
     def _with_bytes(self, symbols: np.ndarray, place: np.ndarray, points: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Put the byte pieces in for characters without a piece."""
@@ -211,32 +257,27 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.offsets = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.index = _Index()
+        self.ids, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the offsets of each."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
-        index, fresh, flat, sizes = self.index, [], [], []
+        number, flat, sizes = self.index.__getitem__, [], []
         for text in texts:
-            words = _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else ()
-            numbers = [index.get(w, -1) for w in words]
-            if -1 in numbers:
-                for i, w in enumerate(words):
-                    if numbers[i] < 0:
-                        k = index.get(w)
-                        if k is None:
-                            index[w] = k = len(index)
-                            fresh.append(w)
-                        numbers[i] = k
-            flat.append(np.array(numbers, np.int64))
-            sizes.append(len(numbers))
-        if fresh:
-            ids, offsets = self.bpe.encode_words(fresh)
-            self.ids = np.concatenate([self.ids, ids])
+            # Every word begins with the blank's symbol, which its key leaves out.
+            words = text.split(" ") if text else ()
+            if text and (SPACE in text or "" in words):
+                words = [w[1:] for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))]
+            flat.append(np.fromiter(map(number, words), np.int32, len(words)))
+            sizes.append(len(words))
+        if self.index.fresh:
+            ids, offsets = self.bpe.encode_words([SPACE + w for w in self.index.fresh])
+            self.index.fresh.clear()
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
-        words = np.concatenate(flat) if flat else np.empty(0, np.int64)
+        words = np.concatenate(flat) if flat else np.empty(0, np.int32)
         ends = np.cumsum(np.r_[0, sizes]).astype(np.int64)
         starts, counts = self.offsets[words], self.offsets[words + 1] - self.offsets[words]
         upto = np.cumsum(np.r_[0, counts])
@@ -248,23 +289,32 @@ class Encoder:
         return ids, bounds
 
 
-def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", keep: list[str] | None = None, add_eos: bool = True) -> DataFrame:
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, add_eos: bool) -> Encoder:
+    """A Python worker keeps its encoder, with the words met, from task to task."""
+    return Encoder(model(path), add_eos)
+
+
+def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", keep: list[str] | None = None, add_eos: bool = True, back: str | None = None) -> DataFrame:
     """Add the ids of text, as array<int>, exactly as the sentencepiece library gives them.
 
     A text is parted into words at blanks; the distinct words of many texts are merged together. Decided cases: null
     is encoded like the empty text; any character without a piece becomes its bytes' pieces; rows that repeat are encoded alike; an
-    empty table gives no rows; keep names the columns to carry (all by default), a column named as out is replaced.
+    empty table gives no rows; keep names the columns to carry (all by default), a column named as out is replaced. back names a column for the
+    text that decode() makes of the ids, in the same pass.
     """
-    carried = [c for c in (docs.columns if keep is None else keep) if c != out]
-    schema = docs.select(*carried).withColumn(out, F.array(F.lit(0))).schema
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in (out, back)]
+    schema = docs.select(*carried).withColumn(out, F.array(F.lit(0)))
+    schema = (schema.withColumn(back, F.lit("")) if back else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(model(model_path), add_eos)
+        coder = encoder(model_path, add_eos)
         for batch in batches:
             for part in _groups(batch, text):
                 ids, bounds = coder.encode(part.column(text).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), lists], [*carried, out])
+                texts = [pa.array(coder.bpe.decode(ids, bounds), pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), lists, *texts], schema.names)
 
     return docs.select(*dict.fromkeys([*carried, text])).mapInArrow(run, schema)
 
@@ -306,8 +356,7 @@ def default_model() -> str:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     path = model_path or default_model()
-    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"])
-    both = decode(coded, path)
+    both = encode(documents(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"], back="decoded")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(
         "doc_id",
