@@ -9,6 +9,8 @@ from .common import documents, let
 
 #: A boundary follows a line if the rolling hash over WINDOW line hashes is 0 modulo EVERY.
 WINDOW, EVERY = 2, 3
+#: Size of the map of repeated hashes.
+MAP_BITS = 1 << 23
 #: A chunk of fewer lines is never removed.
 MIN_LINES = 2
 
@@ -43,7 +45,7 @@ def line_chunks(text: Column) -> Column:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """Remove every multi-line chunk that stands elsewhere too, but for its first place.
 
-    Chunks meet by their hash first; only those whose hash occurs twice are compared byte by byte (grouped by
+    Chunks meet by their hash first; those whose hash occurs twice are compared byte by byte (grouped by
     the text itself). The place with the smallest (doc_id, position) stays. Returns docs with text replaced, and lines_in,
     lines_removed. Decided cases: a null text stays null with 0 lines, an empty text is one empty line; rows with a null
     doc_id have no place, so they count as repeats but are never cut; rows that repeat a doc_id and
@@ -53,8 +55,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lines_in", "lines_removed")]
     pieces = docs.select("doc_id", F.explode(line_chunks(F.col("text"))).alias("c")).select("doc_id", "c.*").where(F.col("n_lines") >= MIN_LINES)
     pieces = pieces.withColumn("key", F.xxhash64("chunk"))
-    again = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    seen = pieces.join(again, "key")
+    # Hashes that occur again, as a map of MAP_BITS bits in words of 64, which has a row per word at most and goes to all
+    # tasks. Only pieces whose bit is set take their text along; a bit set by another hash costs a look at the bytes.
+    again = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bit = F.pmod("key", F.lit(MAP_BITS))
+    bits = again.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    set_ = F.expr(f"shiftrightunsigned(bits, cast(pmod(key, {MAP_BITS}) & 63 as int)) & 1") == 1
+    seen = pieces.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(bits), "word").where(set_)
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "pos"))).alias("first")
     same = seen.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1 AND first IS NOT NULL")
     gone = (
