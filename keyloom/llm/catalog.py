@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .media_columns import op10_media
+from .minhash_dedup import op5_minhash_dedup
 from .mixing import op1_mixing
 from .sentencepiece_bpe import op2_sentencepiece
 from .topk_search import OP3_SQL, op3_topk
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_topk": op3_topk,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_url_filters": op6_url_filters,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
