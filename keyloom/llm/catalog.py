@@ -6,6 +6,7 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .media_columns import op10_media
 from .minhash_dedup import op5_minhash_dedup
 from .mixing import op1_mixing
+from .pii import op4_pii
 from .sentencepiece_bpe import op2_sentencepiece
 from .topk_search import OP3_SQL, op3_topk
 from .toxicity import op9_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_topk": op3_topk,
+    "op4_pii": op4_pii,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_url_filters": op6_url_filters,
     "op8_line_dedup": op8_line_dedup,
