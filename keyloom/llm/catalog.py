@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .lm_scoring import op7_lm_scoring
 from .media_columns import op10_media
 from .minhash_dedup import op5_minhash_dedup
 from .mixing import op1_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
