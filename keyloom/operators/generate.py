@@ -26,9 +26,9 @@ def zipf_index(rows: DataFrame, id: str, *, words: int = 4000, exponent: float =
     last = rows.agg(F.max(id)).first()[0] or 1
     step = years * 365 * 86400 / (last + 1)
     at = F.timestamp_seconds((F.lit(631152000) + F.col(id) * step + draw(3) * step).cast("long"))
-    one = rows.select(id, F.explode(F.when(draw(0) < two, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"), at.alias("at"))
-    one = one.withColumn("u", F.when(F.col("n") == 1, draw(1)).otherwise(draw(2))).withColumn("slot", F.floor(F.col("u") * 4096))
+    one = rows.select(id, F.explode(F.when(draw(0) < two, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("turn"), at.alias("at"))
+    one = one.withColumn("u", F.when(F.col("turn") == 1, draw(1)).otherwise(draw(2))).withColumn("slot", F.floor(F.col("u") * 4096))
     met = one.join(F.broadcast(slots), "slot").where("u >= lo AND u < hi")
-    keys = met.groupBy(id, "at").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("n", "k"))), lambda s: F.concat(F.lit("w"), s["k"].cast("string")))).alias("keys"))
+    keys = met.groupBy(id, "at").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "k"))), lambda s: F.concat(F.lit("w"), s["k"].cast("string")))).alias("keys"))
     value = F.concat(F.lit("item/"), F.col(id).cast("string"))
     return keys.select(F.col(id).cast("long").alias("id"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), "keys", value.alias("value"), F.lit(0).cast("long").alias("ord"))
