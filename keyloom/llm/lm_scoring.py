@@ -19,20 +19,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, saved
+from .common import documents, saved
+from .words import WordHashes, hashes_of, slices
 
 #: Prior strength, share of a frequent word, steps of the quantised log10 values, tokens of a shard and of a batch of documents.
 MU, SHARE, STEP = 20.0, 1e-3, 1 / 4096
 SHARD_TOKENS, BATCH_TOKENS, LEAST_SHARDS = 1 << 20, 1 << 20, 24
 _START, _END = np.uint64(0), np.uint64(1)
-_SEPARATORS = " \t\n\x0b\x0c\r"
-_BLANKS = {ord(c): " " for c in _SEPARATORS[1:]}
 
 
 class EliasFano:
@@ -133,59 +130,35 @@ class Trie:
         return out
 
 
-class _Words(dict):
-    """Hash of each word; 0 and 1 stand for start and end."""
+def tokens_of(texts: pa.Array, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Flat word hashes of texts, each followed by the end, and the number of tokens of each."""
+    flat, sizes = hashes_of(texts, known)
+    return np.insert(flat, np.cumsum(sizes), _END), sizes + 1
 
-    def __missing__(self, word: str) -> int:
-        self[word] = h = max(2, xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
-        return h
 
-
-def tokens_of(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Flat word hashes of (lower-cased) texts, each followed by the end, and the number of tokens of each."""
-    if len(known) > 300_000:
-        known.clear()
-    flat, sizes = [], []
-    for text in texts:
-        # Only the six blanks part words.
-        words = [w for w in text.translate(_BLANKS).split(" ") if w] if text else []
-        flat.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        flat.append(np.array([_END]))
-        sizes.append(len(words) + 1)
-    return (np.concatenate(flat) if flat else np.empty(0, np.uint64)), np.array(sizes, np.int64)
-
-
-def _lowered(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
+def _folded(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held_out).alias("held_out"), ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == held_out).alias("held_out"), "text")
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of about BATCH_TOKENS tokens; a longer text stands alone."""
-    sizes = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False) // 6
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and (total + n > BATCH_TOKENS or i - start >= 60_000):
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += int(n)
-    if batch.num_rows > start:
-        yield batch.slice(start)
-
-
-def word_counts(lowered: DataFrame) -> DataFrame:
+    """Slices of about BATCH_TOKENS tokens, and of fewer documents than 16 bits can number."""
+    return slices(batch, "text", 6 * BATCH_TOKENS, 60_000)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n): counts of the training tokens by hash. Each task adds its own up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known = WordHashes()
         for batch in batches:
             for part in _parts(batch):
-                flat, sizes = tokens_of(part.column("text").to_pylist(), known)
+                flat, sizes = tokens_of(part.column("text"), known)
                 learn = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 words, n = np.unique(flat[np.repeat(learn, sizes)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return lowered.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _shard(words: np.ndarray, before: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
@@ -200,17 +173,17 @@ def _shard(words: np.ndarray, before: np.ndarray, frequent: np.ndarray, shards:
 _SENT = "shard int, batch long, docs int, body binary"
 
 
-def _sent(lowered: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
+def _sent(texts: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
     """Rows of the shards: the pairs of a batch of documents that belong there, sorted by word; and a row of the batch's documents.
 
     body: pairs as word, word before (32 bits), document's place in the batch, times there, and whether it is learnt from.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = _Words(), TaskContext.get().partitionId() << 32
+        known, number = WordHashes(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in _parts(batch):
-                flat, sizes = tokens_of(part.column("text").to_pylist(), known)
+                flat, sizes = tokens_of(part.column("text"), known)
                 learn = part.column("held_out").to_numpy(zero_copy_only=False) ^ True
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 before = np.r_[_START, flat[:-1]]
@@ -240,7 +213,7 @@ def _sent(lowered: DataFrame, frequent: np.ndarray, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), pa.array(rows["batch"], pa.int64()), pa.array(rows["docs"], pa.int32()), pa.array(rows["body"], pa.binary())], ["shard", "batch", "docs", "body"])
                 number += 1
 
-    return lowered.mapInArrow(run, _SENT)
+    return texts.mapInArrow(run, _SENT)
 
 
 def _pack(w: np.ndarray, b: np.ndarray, d: np.ndarray, times: np.ndarray, learn: np.ndarray) -> bytes:
@@ -281,8 +254,8 @@ def score_texts(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFr
     have the end as their only token; rows that repeat are learnt from and scored each; a null doc_id is learnt from; with no
     training text N and V are 0 and only the prior scores; other columns are ignored; an empty table gives no rows.
     """
-    lowered = _lowered(docs, folds, held_out)
-    counts = saved(word_counts(lowered), "lm-words")
+    texts = _folded(docs, folds, held_out)
+    counts = saved(word_counts(texts), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = counts.where((F.col("n") >= SHARE * total) & (F.col("n") > 0)).collect()  # 1 / SHARE rows at most
     often.sort(key=lambda r: r["word"] & 0xFFFFFFFFFFFFFFFF)
@@ -348,7 +321,7 @@ def score_texts(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFr
         cut = lambda x: [x[i:j].tobytes() for i, j in zip(offset, offset[1:], strict=False)]
         return frame[["batch", "docs"]].assign(about=None, base=cut(base), score=cut(score), known=cut(known))
 
-    sums = _sent(lowered, frequent, shards).groupBy("shard").applyInPandas(run, "batch long, docs int, about binary, base binary, score binary, known binary")
+    sums = _sent(texts, frequent, shards).groupBy("shard").applyInPandas(run, "batch long, docs int, about binary, base binary, score binary, known binary")
 
     def total_up(frame: pd.DataFrame) -> pd.DataFrame:
         about = next(a for a in frame["about"] if a is not None)
@@ -357,7 +330,9 @@ def score_texts(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFr
         out, sizes = np.frombuffer(about, np.uint8, n, 9 * n).astype(bool), np.frombuffer(about, np.int64, n, 10 * n)
         base, score, known = (np.sum([np.frombuffer(x, kind) for x in frame[k] if x is not None], axis=0) for k, kind in (("base", np.float64), ("score", np.float64), ("known", np.int32)))
         start = np.log10(mu_start) - np.log10(starts + mu_start)
-        return pd.DataFrame({"doc_id": pd.array(np.where(nulls, 0, ids), "Int64").astype("Int64").where(~nulls) if nulls.any() else ids, "held_out": out, "n_tokens": sizes, "n_known": known.astype(np.int64), "base_score": base, "score": score + start})
+        doc_id = pd.array(ids, "Int64")
+        doc_id[nulls] = pd.NA
+        return pd.DataFrame({"doc_id": doc_id, "held_out": out, "n_tokens": sizes, "n_known": known.astype(np.int64), "base_score": base, "score": score + start})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return sums.groupBy("batch").applyInPandas(total_up, schema).withColumn("train_tokens", F.lit(int(total)).cast("long"))
