@@ -6,6 +6,9 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +39,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text with an end id, and the text that they decode to."""
+    """Ids of each text with an end id, their number, and the digest of the text that they decode to."""
     keep = ["doc_id", "lang", "source"]
-    coded = sentencepiece_bpe.encode(docs.select(*keep, "text"), sentencepiece_bpe.default_model(), keep=keep, back="decoded")
-    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+    then = sentencepiece_bpe.Then(_told, "doc_id long, lang string, source string, ids array<int>, n_tokens long, decoded_sha256 string")
+    return sentencepiece_bpe.encode(docs.select(*keep, "text"), sentencepiece_bpe.default_model(), keep=keep, back="decoded", then=then)
+
+
+def _told(batch: pa.RecordBatch) -> pa.RecordBatch:
+    names = ["doc_id", "lang", "source", "ids"]
+    digests = pa.array([hashlib.sha256(t.as_buffer().to_pybytes()).hexdigest() for t in batch.column("decoded")], pa.string())
+    sizes = batch.column("ids").value_lengths().cast(pa.int64())
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), sizes, digests], [*names, "n_tokens", "decoded_sha256"])
 
 
 STAGES = [
