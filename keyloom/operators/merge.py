@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -68,7 +69,7 @@ def replay(facts: DataFrame, hash_of=content_hash) -> DataFrame:
                 if row.rec != rec:
                     if state is not None and state.seen:
                         out.append(state.row(rec))
-                    state, rec = _Record(), row.rec
+                    state, rec = Replayed(), row.rec
                 state.take(row.verb, row.ts, row.true_ts, row.key, row.keys)
             yield pd.DataFrame(out, columns=["rec", "live", "ts", "keys"])
         if state is not None and state.seen:
@@ -77,7 +78,7 @@ def replay(facts: DataFrame, hash_of=content_hash) -> DataFrame:
     return rows.repartition("rec").sortWithinPartitions("rec", "replica", "seq").mapInPandas(fold, "rec string, live boolean, ts string, keys array<string>")
 
 
-class _Record:
+class Replayed:
     """One record while its facts are replayed."""
 
     def __init__(self) -> None:
@@ -110,6 +111,15 @@ class _Record:
                 self.detached.pop(key, None)
                 self.attached[key] = max(self.attached.get(key, ""), true_ts)
 
+    def dump(self) -> str:
+        return json.dumps(vars(self))
+
+    @classmethod
+    def load(cls, text: str) -> Replayed:
+        record = cls()
+        vars(record).update(json.loads(text))
+        return record
+
     def row(self, rec: str) -> tuple:
         return rec, self.live, self.ts, sorted(self.attached) if self.live else []
 

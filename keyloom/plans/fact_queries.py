@@ -199,6 +199,13 @@ def stream_liveness(spark, sf):
     return out.select("hash", "add_ts", "del_ts")
 
 
+@query()
+def stream_replay(spark, sf):
+    """Facts replayed as they stream by; equal to replay_merge, as all arrive in one batch."""
+    out = streams.run_once(streams.replay_stream(_event_stream(spark, sf)), "replay_" + uuid.uuid4().hex[:8], "update")
+    return out.select("rec", "live", "ts", F.array_join("keys", " ").alias("keys"))
+
+
 @query("SELECT 'k' || ((props->>'$.k')::INT % 7) AS key, count(*) AS n FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
 def stream_tag_counts(spark, sf):
     return streams.run_once(streams.tag_counts(_event_stream(spark, sf).where("verb = 'A'")), "tags_" + uuid.uuid4().hex[:8], "complete")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, key_encode
 from ..operators.facts import distinct_facts, resolved
-from ..operators.merge import Merged, converge
+from ..operators.merge import Merged, Replayed, converge
 from ..operators.upsert import merged_keys
 from ..sources.readers import feed_values
 
@@ -78,6 +80,25 @@ def liveness(facts: DataFrame) -> DataFrame:
     return out.withColumn("live", F.col("add_ts").isNotNull() & F.coalesce(F.col("add_ts") > F.col("del_ts"), F.lit(True)))
 
 
+def replay_stream(facts: DataFrame) -> DataFrame:
+    """T3: records as facts arrive, each batch's in order of replica and sequence: (rec, live, ts, keys), in update mode.
+
+    A record's state is its own row in the state store, whatever number of facts made it.
+    """
+    coded = facts.withColumn("key", key_encode(F.col("key"))).withColumn("keys", F.transform("keys", key_encode)).withColumn("ts", F.coalesce("ts", F.lit("")))
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        record = Replayed.load(state.get[0]) if state.exists else Replayed()
+        for row in pd.concat(frames).sort_values(["replica", "seq"]).itertuples(index=False):
+            record.take(row.verb, row.ts, None, row.key, row.keys)
+        state.update((record.dump(),))
+        if record.seen:
+            yield pd.DataFrame([record.row(key[0])], columns=["rec", "live", "ts", "keys"])
+
+    wanted = coded.select("hash", "replica", "seq", "verb", "ts", "key", "keys")
+    return wanted.groupBy("hash").applyInPandasWithState(fold, "rec string, live boolean, ts string, keys array<string>", "record string", "update", GroupStateTimeout.NoTimeout)
+
+
 def without_replays(facts: DataFrame, at: str, delay: str) -> DataFrame:
     """T5: replays within the watermark go; state is bounded by the delay."""
     return facts.withWatermark(at, delay).dropDuplicatesWithinWatermark(["verb", "hash", "key", "ts", "value"])

@@ -114,3 +114,11 @@ def test_documents_of_one_name(spark):
     got = {(r.replica, r.path): r.placed for r in M.place_documents(spark.createDataFrame(rows, "replica string, path string, body string")).collect()}
     assert got["a", "blobs/n.txt"] == got["b", "blobs/n.txt"] == "blobs/n.txt" and got["c", "blobs/m"] == "blobs/m"
     assert got["c", "blobs/n.txt"].startswith("blobs/n~") and got["c", "blobs/n.txt"].endswith(".txt")
+
+
+def test_streamed_replay_equals_batch_replay(spark):
+    from keyloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    a, b = (sorted(map(tuple, catalog.QUERIES[q](spark, sf).collect())) for q in ("stream_replay", "replay_merge"))
+    assert a == b
