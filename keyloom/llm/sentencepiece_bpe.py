@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,9 @@ from .common import documents
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct words whose ids a task keeps; beyond it the memory is emptied, which changes no result.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Texts of one Arrow batch are encoded in groups of about so many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
 class _PairTable:
@@ -289,23 +291,32 @@ class Encoder:
         return ids, bounds
 
 
+class Then(NamedTuple):
+    """What is made of each batch of results, and the schema of that."""
+
+    step: Callable[[pa.RecordBatch], pa.RecordBatch]
+    schema: str
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, add_eos: bool) -> Encoder:
     """A Python worker keeps its encoder, with the words met, from task to task."""
     return Encoder(model(path), add_eos)
 
 
-def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", keep: list[str] | None = None, add_eos: bool = True, back: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "ids", keep: list[str] | None = None, add_eos: bool = True, back: str | None = None, then: "Then | None" = None) -> DataFrame:
     """Add the ids of text, as array<int>, exactly as the sentencepiece library gives them.
 
     A text is parted into words at blanks; the distinct words of many texts are merged together. Decided cases: null
     is encoded like the empty text; any character without a piece becomes its bytes' pieces; rows that repeat are encoded alike; an
     empty table gives no rows; keep names the columns to carry (all by default), a column named as out is replaced. back names a column for the
-    text that decode() makes of the ids, in the same pass.
+    text that decode() makes of the ids, in the same pass. then turns each batch of results to another one before it leaves
+    its task, for uses that need no ids outside.
     """
     carried = [c for c in (docs.columns if keep is None else keep) if c not in (out, back)]
     schema = docs.select(*carried).withColumn(out, F.array(F.lit(0)))
     schema = (schema.withColumn(back, F.lit("")) if back else schema).schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path, add_eos)
@@ -314,9 +325,10 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", out: str = "
                 ids, bounds = coder.encode(part.column(text).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 texts = [pa.array(coder.bpe.decode(ids, bounds), pa.string())] if back else []
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), lists, *texts], schema.names)
+                found = pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), lists, *texts], names)
+                yield then.step(found) if then else found
 
-    return docs.select(*dict.fromkeys([*carried, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carried, text])).mapInArrow(run, then.schema if then else schema)
 
 
 def decode(docs: DataFrame, model_path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -354,13 +366,18 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, number of ids, and digests of the ids' decimals and of the decoded text, of a batch with ids and decoded."""
+    lists = batch.column("ids")
+    spelled = np.array([str(i) for i in range(int(lists.values.to_numpy().max(initial=0)) + 1)], object)
+    flat, ends = spelled[lists.values.to_numpy()].tolist(), lists.offsets.to_numpy()
+    ids = [hashlib.sha256(" ".join(flat[a:b]).encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+    texts = [hashlib.sha256(t.as_buffer().to_pybytes()).hexdigest() for t in batch.column("decoded")]
+    columns = [batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(ids), pa.array(texts)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    path = model_path or default_model()
-    both = encode(documents(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"], back="decoded")
-    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    then = Then(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, model_path or default_model(), keep=["doc_id"], back="decoded", then=then)
