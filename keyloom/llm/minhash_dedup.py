@@ -5,47 +5,62 @@ The steps, each on all rows that the step before kept:
 1. Texts become sets of shingle hashes; texts with the same set are one class, which its smallest doc_id stands for.
 2. A class has COORDINATES signature coordinates, each the hash of ROWS independent minima of its set. Two sets of similarity s
    agree in a coordinate with probability s ** ROWS; at s = 0.8 they agree in fewer than MATCHES of 48 with a
-   probability below 1e-6, and sets that share a mere passage hardly agree at all.
+   probability of about 2e-8, and sets that share a mere passage hardly agree at all.
 3. Prefix: classes that agree in MATCHES coordinates share one of the COORDINATES - MATCHES + 1 that are rarest in each of them, so only
    these are posted. Skip: a coordinate value that no other class has is never posted.
 4. Each posting list is joined to its smallest member instead of to all pairs; matches are counted on the signatures, pairs with
    MATCHES or more are confirmed on the full sets, and links are merged to components.
-5. Lists that still span components have all their cross-component pairs counted, in blocks of bounded size, until
-   nothing is left to compare. So no link between different texts is lost to the shortcut of step 4.
+5. Lists that still span components are merged to clusters, whose cross-component pairs are counted and confirmed in blocks
+   of bounded size. So no link between different texts is lost to the shortcut of step 4, and no pair leaves a task but links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, documents, let, saved
+from .common import documents, saved
+from .words import WordHashes, hashes_of, slices
 
 COORDINATES, ROWS, MATCHES = 48, 3, 7
-#: Members of a posting list that one task compares with as many others.
+#: Members of a cluster that are compared with as many others at a time.
 BLOCK = 512
 #: Size of the map of doc_ids whose sets are to be compared.
 MAP_BITS = 1 << 23
 _SHINGLE_GROUP = 1 << 17
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: Column, n: int) -> Column:
-    """Sorted distinct 64-bit hashes of the n-word shingles of text, A-Z lower-cased.
+def shingle_sets(texts: pa.Array, n: int, known: WordHashes) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-word shingles of each text, A-Z lower-cased.
 
     Fewer than n words make one shingle of all; no words, or null, make none.
     """
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-    def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at(w, i + j) for j in range(n)]))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(runs)))
-
-    return let(words, of)
+    words, sizes = hashes_of(texts, known)
+    ends = np.cumsum(sizes)
+    # The hash of the n words from each place on, which is a shingle unless it runs over the text's end.
+    rolled = np.zeros(len(words), np.uint64)
+    for i in range(n):
+        rolled = (rolled ^ np.r_[words[i:], np.zeros(min(i, len(words)), np.uint64)]) * _MIX
+        rolled ^= rolled >> np.uint64(31)
+    out = []
+    for end, size in zip(ends, sizes, strict=True):
+        if size >= n:
+            out.append(np.unique(rolled[end - size : end - n + 1]))
+        elif size:
+            whole = np.array([size], np.uint64)
+            for w in words[end - size : end]:
+                whole = (whole ^ w) * _MIX
+                whole ^= whole >> np.uint64(31)
+            out.append(whole)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +79,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         while stop < len(sets) and (total == 0 or total + len(sets[stop]) <= _SHINGLE_GROUP):
             total += len(sets[stop])
             stop += 1
-        flat = np.concatenate(sets[start:stop]).view(np.uint64)
+        flat = np.concatenate(sets[start:stop])
         at = np.cumsum([0, *(len(s) for s in sets[start : stop - 1])])
         for c in range(COORDINATES):
             mixed = np.zeros(stop - start, np.uint64)
@@ -77,29 +92,31 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, key_a, key_b, sig) of every document: the size and two hashes of its set, and its signature."""
-    sets = docs.select("doc_id", shingle_hashes(F.col("text"), shingle).alias("shingles"))
-    keyed = sets.select("doc_id", *_key(F.col("shingles")), "shingles")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("shingles")
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            full = np.flatnonzero(np.diff(ends))
-            sigs = signatures([flat[ends[i] : ends[i + 1]] for i in full])
-            packed: list[bytes | None] = [None] * batch.num_rows
-            for i, sig in zip(full, sigs, strict=True):
-                packed[i] = sig.tobytes()
-            kept = ["doc_id", "n_shingles", "key_a", "key_b"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(packed, pa.binary())], [*kept, "sig"])
+_KEY = ["n_shingles", "key_a", "key_b"]
 
-    return keyed.mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b int, sig binary")
 
+def _sets(docs: DataFrame, shingle: int, kind: str) -> DataFrame:
+    """Of every document doc_id, the size and two hashes of its set, which tell sets apart without a shuffle of them;
+    and, by kind, the set itself or its signature (null if empty)."""
 
-def _key(shingles: Column) -> list[Column]:
-    """What tells sets apart, without a shuffle of the sets."""
-    return [F.size(shingles).cast("long").alias("n_shingles"), F.xxhash64(shingles).alias("key_a"), F.hash(shingles).alias("key_b")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                sets = shingle_sets(part.column("text"), shingle, known)
+                raw = [s.tobytes() for s in sets]
+                key_a, key_b = (pa.array([xxhash.xxh64_intdigest(r, seed) - 2**63 for r in raw], pa.int64()) for seed in (1, 2))
+                if kind == "sig":
+                    full = [i for i, s in enumerate(sets) if len(s)]
+                    last: list[bytes | None] = [None] * len(sets)
+                    for i, sig in zip(full, signatures([sets[i] for i in full]), strict=True):
+                        last[i] = sig.tobytes()
+                else:
+                    last = raw
+                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), key_a, key_b, pa.array(last, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_KEY, kind])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key_a long, key_b long, {kind} binary")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,15 +141,15 @@ def _coordinates(signed: DataFrame) -> DataFrame:
     return signed.mapInArrow(run, "id long, token long")
 
 
-def postings(signed: DataFrame) -> DataFrame:
-    """(token, id) of each class's prefix: its rarest coordinates, less those that it alone has."""
+def prefixes(signed: DataFrame) -> DataFrame:
+    """(id, prefix) of classes: its rarest coordinates' tokens, less those that it alone has."""
     tokens = _coordinates(signed)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
     # The coordinates that a class alone has come first in its prefix.
     own = COORDINATES - F.size("met")
     prefix = F.slice("met", F.lit(1), F.greatest(F.lit(COORDINATES - MATCHES + 1) - own, F.lit(0)))
-    return met.select("id", F.explode(prefix).alias("p")).select("p.token", "id")
+    return met.select("id", prefix["token"].alias("prefix")).where(F.size("prefix") > 0)
 
 
 def _agree(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -154,18 +171,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("set_a"), batch.column("set_b")
-            xv, xo, yv, yo = x.values.to_numpy(), x.offsets.to_numpy(), y.values.to_numpy(), y.offsets.to_numpy()
-            good = []
-            for i in range(batch.num_rows):
-                p, q = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    good.append(i)
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("set_a", "set_b"))
+            good = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if _linked(p, q, percent)]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
@@ -197,36 +204,78 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(edges.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("component")))
 
 
-def _rest(posted: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidates (a, b) of different components in lists that span several.
+def _rest(posted: DataFrame, labels: DataFrame, signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) between components whose members meet in a list, enough of them to join all that have any.
 
-    A list is parted by id hash into blocks of about BLOCK members and every two blocks meet in one group. Only pairs whose
-    signatures agree in MATCHES coordinates come out.
+    Lists that span components are merged to clusters, so that a document takes part once however many lists it is in. A cluster is
+    parted by id hash into blocks of about BLOCK members and every two blocks meet in one group, so a group is bounded however
+    large its cluster is. A group compares signatures, then sets, and keeps a link only if it joins what its earlier links don't:
+    fewer links than members come out, and no candidate pairs.
     """
     labelled = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    wide = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
-    sides = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("sides")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    members = labelled.join(wide.select("token", sides.alias("sides")), "token").withColumn("own", own).withColumn("other", other)
-    members = members.select("token", "id", "component", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(signed, "id")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(frame["sig"]), np.int64).reshape(-1, COORDINATES)
-        ids, comp, side = frame["id"].to_numpy(), frame["component"].to_numpy(), frame["own"].to_numpy()
-        out = []
-        for i in range(len(ids)):
+    wide = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("hub")).where("x < y")
+    met = posted.join(wide.select("token", "hub"), "token").where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    clusters = saved(components(met).withColumnRenamed("component", "cluster"), "dedup-clusters")
+    sides = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("sides")
+    members = clusters.join(clusters.groupBy("cluster").agg(sides), "cluster").join(labels, "id", "left")
+    members = members.withColumn("component", F.coalesce("component", "id")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    full = members.join(signed, "id").join(sets_of(clusters.select(F.col("id").alias("class"))), "id")
+    both = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    group = ["cluster", "p", "q"]
+    both = both.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "n", "sig", "shingles")
+    dealt = both.repartition(*group).sortWithinPartitions(*group, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            keys = [table.column(c).to_numpy() for c in group]
+            # The last group may go on in the next batch.
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for start, stop in zip([0, *new[:-1]], new, strict=True) if len(new) else ():
+                yield links(table.slice(start, stop - start))
+            held = table.slice(new[-1] if len(new) else 0).combine_chunks().to_batches()
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        ids, comp, own, size = (table.column(c).to_numpy() for c in ("id", "component", "own", "n"))
+        one_block = table.column("p")[0] == table.column("q")[0]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int64).reshape(-1, COORDINATES)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        top = comp.copy()
+        found: list[tuple[int, int]] = []
+        for i in range(len(ids) - 1):
+            rest = np.arange(i + 1, len(ids))
             # In a group of two blocks, pairs within one block are left to that block's own group.
-            able = (ids > ids[i]) & (comp != comp[i])
-            if frame["p"].iat[0] != frame["q"].iat[0]:
-                able &= side != side[i]
-            near = np.flatnonzero(able)
-            near = near[(sig[near] == sig[i]).sum(1) >= MATCHES]
-            out.append(np.stack([np.full(len(near), ids[i]), ids[near]]))
-        pairs = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+            able = (top[rest] != top[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+            if not one_block:
+                able &= own[rest] != own[i]
+            rest = rest[able]
+            for j in rest[(sig[rest] == sig[i]).sum(1) >= MATCHES]:
+                if top[i] != top[j] and _linked(sets[i], sets[j], percent):
+                    found.append((int(ids[i]), int(ids[j])))
+                    top[top == top[j]] = top[i]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
-    return members.groupBy("token", "p", "q").applyInPandas(run, "a long, b long").distinct()
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _labelled(ids: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """ids with column replaced by its component's label, where it has one."""
+    found = labels.select(F.col("id").alias(column), F.col("component").alias("label"))
+    return ids.join(found, column, "left").withColumn(column, F.coalesce("label", column)).drop("label")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -241,39 +290,40 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) ->
     are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = ["n_shingles", "key_a", "key_b"]
-    members = saved(_signed(docs, shingle), "dedup-members")
+    key = _KEY
+    members = saved(_sets(docs, shingle, "sig"), "dedup-members")
     solid = members.where("doc_id IS NOT NULL AND n_shingles > 0")
     # One id may stand for several classes if rows repeat it; the classes are told apart by number.
     stands = solid.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
     named = saved(stands.withColumn("class", F.monotonically_increasing_id()), "dedup-classes")
     firsts = solid.join(named, [*key, "doc_id"])
-    signed = saved(firsts.groupBy(F.col("class").alias("id")).agg(F.first("sig").alias("sig")), "dedup-signatures")
-    posted = saved(postings(signed), "dedup-postings")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        """Links among pairs of classes; the sets to be compared are hashed again from their texts."""
-        near = saved(pairs, "dedup-candidates")
-        wanted = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
-        ids = saved(named.join(wanted, "class"), "dedup-wanted")
-        sets = _only(docs, ids).select("doc_id", shingle_hashes(F.col("text"), shingle).alias("shingles"))
-        own = sets.select("doc_id", *_key(F.col("shingles")), "shingles").join(ids, [*key, "doc_id"])
-        own = own.select(F.col("class").alias("id"), "shingles").dropDuplicates(["id"])
-        return saved(confirmed(near, saved(own, "dedup-sets"), percent), "dedup-found")
+    signed = saved(firsts.groupBy(F.col("class").alias("id")).agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "dedup-signatures")
+    prefix = saved(prefixes(signed), "dedup-prefixes")
+    posted = prefix.select(F.explode("prefix").alias("token"), "id")
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        """(id, shingles) of classes, hashed again from their texts."""
+        ids = saved(named.join(classes, "class"), "dedup-wanted")
+        own = _sets(_only(docs, ids), shingle, "shingles").join(ids, [*key, "doc_id"])
+        return saved(own.select(F.col("class").alias("id"), "shingles").dropDuplicates(["id"]), "dedup-sets")
 
     hubs = posted.groupBy("token").agg(F.min("id").alias("a"))
     star = posted.join(hubs, "token").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    links = check(_agree(star, signed))
-    labels = saved(components(links), "dedup-labels")
-    links = links.union(check(_rest(posted, labels, signed)))
-
-    # From classes to documents: a class's members, the classes of one doc_id, and links all join.
-    ids = named.withColumnRenamed("doc_id", "id")
-    ends = links.join(ids.select(F.col("class").alias("a"), F.col("id").alias("lo")), "a").join(ids.select(F.col("class").alias("b"), F.col("id").alias("hi")), "b")
-    copies = solid.join(ids.select(*key, "id"), key).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    graph = ends.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(copies)
-    found = components(graph).select(F.col("id").alias("node"), "component")
-    out = members.join(found, F.col("doc_id") == F.col("node"), "left")
+    near = saved(_agree(star, signed), "dedup-candidates")
+    wanted = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
+    labels = saved(components(confirmed(near, sets_of(wanted), percent)), "dedup-labels")
+    more = saved(_rest(posted, labels, signed, sets_of, percent), "dedup-more")
+
+    # What still joins components: links found late, and rows that repeat a doc_id in several classes.
+    classed = saved(solid.select("doc_id", *key).join(named.select(*key, "class"), key).select("doc_id", "class").distinct(), "dedup-classed")
+    several = classed.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("doc_id", "a")
+    same = classed.join(several, "doc_id").where("a <> class").select("a", F.col("class").alias("b"))
+    last = saved(components(_labelled(_labelled(more.union(same), "a", labels), "b", labels)), "dedup-last")
+    named = _labelled(_labelled(named.select("class", "doc_id", F.col("class").alias("top")), "top", labels), "top", last)
+    least = named.groupBy("top").agg(F.min("doc_id").alias("component"))
+    tops = named.select("class", "top").join(least, "top").select("class", "component")
+    found = classed.join(tops, "class").groupBy(F.col("doc_id").alias("node")).agg(F.min("component").alias("component"))
+    out = members.drop("sig").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id",
