@@ -125,21 +125,32 @@ def fit(rows: pd.DataFrame) -> ToxicityModel:
     flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     gone, new = ([np.frombuffer(x, np.int64) for row in rows[c] for x in row] for c in ("gone", "new"))
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum())
-    # Only the columns that occur carry weight.
-    cols, at = np.unique(np.concatenate([flat, *gone, *new]), return_inverse=True)
-    x_at = at[: len(flat)]
-    g_sizes, n_sizes = [len(g) for g in gone], [len(g) for g in new]
-    g_at = at[len(flat) : len(flat) + sum(g_sizes)]
-    n_at = at[len(flat) + sum(g_sizes) :]
-    g_of, n_of = np.repeat(np.arange(len(gone)), g_sizes), np.repeat(np.arange(len(new)), n_sizes)
-
-    # A word of few training texts, or about as frequent in both classes, says nothing; its weight stays 0.
-    total, bad = np.bincount(x_at, minlength=len(cols)), np.bincount(x_at, y[owner], len(cols))
+    # A word of few training texts, or about as frequent in both classes, says nothing; its weight stays 0. Only the other
+    # words get a column, so that the passes below hold little.
+    words, total = np.unique(flat, return_counts=True)
+    words, total = words[total >= MIN_TEXTS], total[total >= MIN_TEXTS]
+    bad_words, bad_counts = np.unique(flat[y[owner] > 0], return_counts=True)
+    at = np.minimum(np.searchsorted(bad_words, words), len(bad_words) - 1)
+    bad = np.where(bad_words[at] == words, bad_counts[at], 0)
     n_bad = y.sum()
     rate = np.clip(total / len(y), 1e-9, 1 - 1e-9)
     z = (bad / n_bad - (total - bad) / (len(y) - n_bad)) / np.sqrt(rate * (1 - rate) * (1 / n_bad + 1 / (len(y) - n_bad)))
-    open_ = (total >= MIN_TEXTS) & (np.abs(z) >= MIN_Z)
-    lipschitz = 0.25 * (1 + float(weight @ np.bincount(owner, open_[x_at], len(y)))) + (4 * SWAP_WEIGHT if len(gone) else 0) + RIDGE
+    cols = words[np.abs(z) >= MIN_Z]
+    if not len(cols):
+        return ToxicityModel({}, 0.0)
+
+    def placed(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(cols, keys), len(cols) - 1)
+        known = cols[at] == keys
+        return at[known], of[known]
+
+    x_at, owner = placed(flat, owner)
+    sides = []
+    for part in (gone, new):
+        of = np.repeat(np.arange(len(part)), [len(p) for p in part])
+        sides.append(placed(np.concatenate(part) if part else np.empty(0, np.int64), of))
+    (g_at, g_of), (n_at, n_of) = sides
+    lipschitz = 0.25 * (1 + float(weight @ np.bincount(owner, np.ones(len(x_at)), len(y)))) + (4 * SWAP_WEIGHT if len(gone) else 0) + RIDGE
     w = ahead = np.zeros(len(cols))
     b = b_ahead = 0.0
     for step in range(PASSES):  # Nesterov's gradient steps
@@ -149,7 +160,7 @@ def fit(rows: pd.DataFrame) -> ToxicityModel:
             change = np.bincount(n_of, ahead[n_at], len(gone)) - np.bincount(g_of, ahead[g_at], len(gone))
             pull = 2 * SWAP_WEIGHT * change / len(gone)
             grad += np.bincount(n_at, pull[n_of], len(cols)) - np.bincount(g_at, pull[g_of], len(cols))
-        w_next, b_next = np.where(open_, ahead - grad / lipschitz, 0.0), b_ahead - err.sum() / lipschitz
+        w_next, b_next = ahead - grad / lipschitz, b_ahead - err.sum() / lipschitz
         drive = step / (step + 3)
         ahead, b_ahead = w_next + drive * (w_next - w), b_next + drive * (b_next - b)
         w, b = w_next, b_next
