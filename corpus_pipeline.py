@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import line_dedup, minhash_dedup, mixing, sentencepiece_bpe, toxicity
+from keyloom.llm import line_dedup, minhash_dedup, mixing, passage_dedup, sentencepiece_bpe, toxicity
 from keyloom.llm.common import documents, saved
 
 
@@ -28,6 +28,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated multi-line chunks and passages; n_chars follows the text."""
+    out = passage_dedup.passage_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
     return minhash_dedup.deduplicated(docs, shingle=5, percent=80)
@@ -54,7 +60,7 @@ def _told(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("line_dedup", dedup_lines),
+    ("line_dedup", dedup_passages),
     ("minhash_dedup", dedup_near),
     ("mixing", mix_sources),
     ("sentencepiece", encode),

@@ -7,6 +7,7 @@ from .lm_scoring import op7_lm_scoring
 from .media_columns import op10_media
 from .minhash_dedup import op5_minhash_dedup
 from .mixing import op1_mixing
+from .passage_dedup import op8_passage_dedup
 from .pii import op4_pii
 from .sentencepiece_bpe import op2_sentencepiece
 from .topk_search import OP3_SQL, op3_topk
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_line_dedup": op8_line_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }

@@ -15,6 +15,16 @@ MAP_BITS = 1 << 23
 MIN_LINES = 2
 
 
+def ends(digests: Column) -> Column:
+    """Numbers of the lines that close a chunk, from 1, by the digests of all lines."""
+
+    def closes(i: Column) -> Column:
+        rolled = F.md5(F.concat(*[F.coalesce(F.try_element_at(digests, F.greatest(i - j, F.lit(1))), F.lit("")) for j in reversed(range(WINDOW))]))
+        return (F.conv(F.substring(rolled, 1, 6), 16, 10).cast("long") % EVERY == 0) | (i == F.size(digests))
+
+    return F.filter(F.sequence(F.lit(1), F.size(digests)), closes)
+
+
 def line_chunks(text: Column) -> Column:
     """array<struct<pos, n_lines, chunk>>: the lines of text in chunks, in order.
 
@@ -26,13 +36,6 @@ def line_chunks(text: Column) -> Column:
         digests = F.transform(lines, lambda x: F.md5(x))
         return let(digests, lambda d: let(ends(d), lambda e: F.transform(e, lambda end, k: chunk(lines, e, end, k))))
 
-    def ends(digests: Column) -> Column:
-        def closes(i: Column) -> Column:
-            rolled = F.md5(F.concat(*[F.coalesce(F.try_element_at(digests, F.greatest(i - j, F.lit(1))), F.lit("")) for j in reversed(range(WINDOW))]))
-            return (F.conv(F.substring(rolled, 1, 6), 16, 10).cast("long") % EVERY == 0) | (i == F.size(digests))
-
-        return F.filter(F.sequence(F.lit(1), F.size(digests)), closes)
-
     def chunk(lines: Column, ends_: Column, end: Column, k: Column) -> Column:
         start = F.when(k == 0, F.lit(1)).otherwise(F.try_element_at(ends_, F.greatest(k, F.lit(1))) + 1)
         own = F.slice(lines, start, end - start + 1)
