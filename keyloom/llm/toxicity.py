@@ -172,16 +172,18 @@ def fold(doc_id, folds: int):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add held_out, score (0 to 1, higher: likelier toxic) and predicted (1 from 0.5 on) to docs.
+    """Add held_out, score (0 to 1, higher: likelier toxic) and predicted (1 from 0.5 on, if any word has a weight) to docs.
 
     The classifier learns from at most max_rows labelled rows outside the held-out fold; its only input is the text. Scoring is one pass
     without a shuffle; the weights that go to all tasks are those of the
     sample's words at most, at any size of data. Decided cases: null and empty texts
     score by the bias; rows that repeat score alike; labels that are null are left out; a doc_id with two labels counts as toxic if either
-    is; a null doc_id has a null held_out; without labels of both classes all texts score alike; columns named held_out, score or
+    is; a null doc_id has a null held_out; without labels of both classes, or words that tell them apart, all texts score alike and
+    predicted is 0, as nothing is known against any of them; columns named held_out, score or
     predicted are replaced; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, folds, held_out, max_rows)))
+    fitted = fit(training_rows(docs, labels, folds, held_out, max_rows))
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "lower")]
     schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
 
@@ -194,7 +196,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: in
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 
     scored = docs.select(*kept, ascii_lower(F.col("text")).alias("lower")).mapInArrow(run, schema)
-    return scored.withColumns({"held_out": fold(F.col("doc_id"), folds) == held_out, "predicted": (F.col("score") >= 0.5).cast("int")})
+    return scored.withColumns({"held_out": fold(F.col("doc_id"), folds) == held_out, "predicted": ((F.col("score") >= 0.5) & F.lit(bool(fitted.weights))).cast("int")})
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

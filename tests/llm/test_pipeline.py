@@ -57,3 +57,12 @@ def test_lines_stage_is_the_operator(spark):
     a = {r.doc_id: r.text for r in P.dedup_lines(spark, docs, SF).collect()}
     b = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
     assert a == b
+
+
+def test_without_evidence_no_document_is_dropped(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = [r.doc_id for r in docs.select("doc_id").limit(8).collect()]
+    cases = {"empty": [], "null": [(i, None) for i in ids], "few": [(i, k % 2) for k, i in enumerate(ids)], "toxic_only": [(i, 1) for i in ids]}
+    for name, rows in cases.items():
+        spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert P.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == docs.count()
