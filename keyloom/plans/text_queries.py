@@ -32,6 +32,12 @@ def key_fold_stored(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.key_fold_stored(F.substring("text", 1, 300)).alias("stored"))
 
 
+@query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f|]', '_', 'g') AS stored, coalesce(try_cast(text AS DOUBLE), 0) AS num FROM documents")
+def key_fold_whole(spark, sf):
+    """Whole texts, where key_fold_stored and the num of approx_tokens read their beginning, as their SQL does."""
+    return table(spark, sf, "documents").select("doc_id", X.key_fold_stored(F.col("text")).alias("stored"), X.safe_num(F.col("text")).alias("num"))
+
+
 @query("SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(p_name || '  ' || p_type, '[ \t]+'), lambda x: x <> ''), '/') AS keys, trim(regexp_replace(replace(p_name || ', ' || p_type || ',', ',', ' '), '\\s+', ' ', 'g')) AS typed FROM part")
 def tokenise(spark, sf):
     p = table(spark, sf, "part")

@@ -19,3 +19,11 @@ def test_search_arm_finds_what_stands_late(spark, tmp_path):
     df = catalog.QUERIES["retrieval_comparison_whole"](spark, str(tmp_path))
     assert {r.arm: r.hits for r in df.collect()}["search"] == 2
     oracle.same(df, con, catalog.ORACLES["retrieval_comparison_whole"])
+
+
+def test_fold_and_number_take_the_whole_text(spark, tmp_path):
+    con = documents(spark, tmp_path)
+    df = catalog.QUERIES["key_fold_whole"](spark, str(tmp_path))
+    out = {r.doc_id: r for r in df.collect()}
+    assert out[1].stored.endswith(" The end__") and out[4].num == 12.5
+    oracle.same(df, con, catalog.ORACLES["key_fold_whole"])
