@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import attaches, content_hash, detaches, has_interior_newline, key_encode, key_fold_stored, safe_path, trim_line
+from ..schema import State
 from . import views
 from .recall import numbered
 
@@ -144,6 +145,60 @@ def untag(lines: DataFrame, ktomb: DataFrame, key: str) -> DataFrame:
     return ktomb.select("id", key_encode(F.col("key")).alias("key")).unionByName(under).distinct()
 
 
+def _stamped(lines: DataFrame, rows: DataFrame, as_of: str) -> DataFrame:
+    """Rows (id, ...) with ts, the content hash of the record's value and no ord."""
+    hashes = views.first_link(lines).select("id", content_hash(F.col("value")).alias("hash"))
+    return rows.join(hashes, "id").withColumn("ts", F.lit(as_of)).withColumn("ord", F.lit(None).cast("long"))
+
+
+def _without(facts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Key facts but those of (id, encoded key)."""
+    coded = facts.withColumn("ekey", key_encode(F.col("key")))
+    return coded.join(keys.select("id", F.col("key").alias("ekey")).distinct(), ["id", "ekey"], "left_anti").drop("ekey")
+
+
+def _clock(mts: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
+    return mts.join(ids, "id", "left_anti").unionByName(ids.select("id", F.lit(as_of).alias("ts")))
+
+
+def _detached(state: State, keys: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(ktomb, katt) after detaching (id, encoded key): a key that is off already keeps its entry."""
+    coded = state.ktomb.select("id", key_encode(F.col("key")).alias("key")).distinct()
+    new = _stamped(state.lines, keys.join(coded, ["id", "key"], "left_anti"), as_of)
+    return state.ktomb.unionByName(new), _without(state.katt, keys)
+
+
+def edit_state(state: State, edits: DataFrame, as_of: str) -> State:
+    """The whole state after update_keys: entries of ktomb and katt keep or get ts and hash, so that they travel, and mts is stamped."""
+    alive = views.live(state.lines, state.tomb).select("id").distinct()
+    last = last_edits(edits).join(alive, "id", "left_semi")
+    attached, detached = (last.where(F.col("op") == op).select("id", "key") for op in ("attach", "detach"))
+    ever = edits.select("id", F.explode(F.transform(attaches("keys"), key_encode)).alias("key")).join(alive, "id", "left_semi")
+    # An attachment clears the old entry, so a detachment after it in the same edits makes a new one.
+    base = state._replace(ktomb=_without(state.ktomb, ever), katt=_without(state.katt, attached))
+    ktomb, katt = _detached(base, detached, as_of)
+    katt = katt.unionByName(_stamped(state.lines, attached, as_of))
+    edited = edits.select("id").distinct().join(alive, "id", "left_semi")
+    lines = update_keys(state.lines, state.tomb, state.ktomb, edits)[0]
+    return state._replace(lines=lines, ktomb=ktomb, katt=katt, mts=_clock(state.mts, edited, as_of))
+
+
+def delete_under_state(state: State, key: str, as_of: str) -> State:
+    """The whole state after delete_under: one new tombstone per record under key, clocks and attachments of those records cleared."""
+    ids = delete_under(state.lines, state.tomb, key, as_of).select("id")
+    off = lambda df: df.join(ids, "id", "left_anti")
+    return state._replace(tomb=off(state.tomb).unionByName(_stamped(state.lines, ids, as_of)), katt=off(state.katt), mts=off(state.mts), sts=off(state.sts))
+
+
+def untag_state(state: State, key: str, as_of: str) -> State:
+    """The whole state after untag; the edit clock of live records is stamped."""
+    coded = key_encode(F.lit(key))
+    under = views.first_link(state.lines).where(F.array_contains(F.transform("keys", key_encode), coded)).select("id", coded.alias("key")).distinct()
+    ktomb, katt = _detached(state, under, as_of)
+    edited = under.select("id").join(state.tomb.select("id").distinct(), "id", "left_anti")
+    return state._replace(ktomb=ktomb, katt=katt, mts=_clock(state.mts, edited, as_of))
+
+
 def compact(lines: DataFrame, tomb: DataFrame, ktomb: DataFrame) -> DataFrame:
     """Lines of live records with visible keys only."""
     return views.shown(lines, tomb, ktomb).select("id", "ts", "keys", "value", "ord")

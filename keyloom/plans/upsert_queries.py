@@ -117,6 +117,29 @@ def untag(spark, sf):
     return U.untag(s.lines, s.ktomb, "3-MEDIUM")
 
 
+def _facts(s):
+    """(kind, id, key, ts, hash) of a state's tombstones, key facts and edit clock."""
+    none = F.lit(None).cast("string")
+    parts = [("tomb", s.tomb.withColumn("key", none)), ("ktomb", s.ktomb), ("katt", s.katt), ("mts", s.mts.withColumns({"key": none, "hash": none}))]
+    rows = [df.select(F.lit(kind).alias("kind"), "id", "key", "ts", "hash") for kind, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query()
+def update_keys_facts(spark, sf):
+    return _facts(U.edit_state(T.orders_state(spark, sf), _edits(spark, sf), "2024-05-05T00:00:00Z"))
+
+
+@query()
+def delete_under_facts(spark, sf):
+    return _facts(U.delete_under_state(T.orders_state(spark, sf), "4-NOT SPECIFIED", "2024-05-05T00:00:00Z"))
+
+
+@query()
+def untag_facts(spark, sf):
+    return _facts(U.untag_state(T.orders_state(spark, sf), "3-MEDIUM", "2024-05-05T00:00:00Z"))
+
+
 @query(W + "SELECT id, ts, array_to_string(keys, ' ') AS keys, value, ord FROM shown")
 def compact_lines(spark, sf):
     s = T.orders_state(spark, sf)
