@@ -195,33 +195,33 @@ def stream_feed(spark, sf):
 
 @query("WITH " + T.FACTS + "SELECT hash, max(ts) FILTER (verb = 'A') AS add_ts, max(ts) FILTER (verb = 'D') AS del_ts FROM facts GROUP BY hash")
 def stream_liveness(spark, sf):
-    out = streams.run_once(streams.liveness(_event_stream(spark, sf)), "liveness_" + uuid.uuid4().hex[:8], "complete")
+    out = streams.run_once(streams.liveness(_event_stream(spark, sf)), _scratch(spark), "complete")
     return out.select("hash", "add_ts", "del_ts")
 
 
 @query()
 def stream_replay(spark, sf):
     """Facts replayed as they stream by; equal to replay_merge, as all arrive in one batch."""
-    out = streams.run_once(streams.replay_stream(_event_stream(spark, sf)), "replay_" + uuid.uuid4().hex[:8], "update")
+    out = streams.run_once(streams.replay_stream(_event_stream(spark, sf)), _scratch(spark), "update")
     return out.select("rec", "live", "ts", F.array_join("keys", " ").alias("keys"))
 
 
 @query("SELECT 'k' || ((props->>'$.k')::INT % 7) AS key, count(*) AS n FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
 def stream_tag_counts(spark, sf):
-    return streams.run_once(streams.tag_counts(_event_stream(spark, sf).where("verb = 'A'")), "tags_" + uuid.uuid4().hex[:8], "complete")
+    return streams.run_once(streams.tag_counts(_event_stream(spark, sf).where("verb = 'A'")), _scratch(spark), "complete")
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY 1")
 def stream_days(spark, sf):
     rows = _stream(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("at"))
-    out = streams.run_once(streams.per_day(rows, "at"), "days_" + uuid.uuid4().hex[:8], "complete")
+    out = streams.run_once(streams.per_day(rows, "at"), _scratch(spark), "complete")
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
 
 
 @query("WITH " + T.FACTS + "SELECT count(*) AS n FROM (SELECT DISTINCT verb, hash, key, ts, value FROM facts)")
 def stream_dedupe(spark, sf):
     rows = _event_stream(spark, sf).withColumn("at", F.to_timestamp("ts", T.ISO))
-    out = streams.run_once(streams.without_replays(rows, "at", "3650 days"), "dedupe_" + uuid.uuid4().hex[:8], "append")
+    out = streams.run_once(streams.without_replays(rows, "at", "3650 days"), _scratch(spark), "append")
     return out.agg(F.count(F.lit(1)).alias("n"))
 
 
