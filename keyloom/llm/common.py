@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a longest run without blanks.
@@ -18,10 +18,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder set.
+    Only on a local master (tests, a laptop) is a temporary folder set where the setting is absent; on a cluster that is an error,
+    as each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-keyloom-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -53,5 +57,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Parts of the key space whose rows are counted to find hot keys, and rows of a part below which it is not split.
+SPREAD_BUCKETS, SPREAD_ROWS = 1 << 12, 256
+
+
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: list[str], how: str = "inner", n: str | None = None) -> DataFrame:
+    """rows joined to other on keys, of which a few may hold most of rows.
+
+    Rows are counted by SPREAD_BUCKETS hashes of their keys; other may hold these numbers already, in the column n. A bucket of over four times the average is dealt over several tasks by
+    the columns spread, and other's rows of that bucket go to each of these. At most a quarter more of other is sent for each of the few
+    buckets that can be that large. What is broadcast has a row for a bucket at most.
+    """
+    bucket = lambda: F.pmod(F.xxhash64(*keys), F.lit(SPREAD_BUCKETS)).cast("int")
+    counts = (other if n else rows).groupBy(bucket().alias("bucket_")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n_"))
+    most = F.greatest(F.lit(SPREAD_ROWS), 4 * F.sum("n_").over(Window.partitionBy()) / SPREAD_BUCKETS)
+    hot = counts.withColumn("parts_", F.ceil(F.col("n_") / most).cast("int")).where("parts_ > 1").select("bucket_", "parts_")
+    parts = F.coalesce("parts_", F.lit(1))
+    dealt = rows.withColumn("bucket_", bucket()).join(F.broadcast(hot), "bucket_", "left").withColumn("part_", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+    copies = other.withColumn("bucket_", bucket()).join(F.broadcast(hot), "bucket_", "left").withColumn("part_", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("bucket_", "parts_").join(copies.drop("bucket_", "parts_"), [*keys, "part_"], how).drop("part_")
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int) -> DataFrame:
+    """Rows whose key is among keys' own, and a few others; rows stay where they are.
+
+    keys, numbers of 64 bits, go to all tasks as a map of as many bits, in words of 64 and so with a row per word at most. A full map lets
+    all rows pass, which costs what a join without it would.
+    """
+    place = lambda c: F.pmod(c, F.lit(bits))
+    words = keys.select(place(own).alias("place_")).groupBy(F.shiftright("place_", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place_ & 63 as int))")).alias("bits_"))
+    near = rows.withColumn("place_", place(key)).withColumn("word_", F.shiftright("place_", 6)).join(F.broadcast(words), "word_")
+    return near.where(F.expr("shiftrightunsigned(bits_, cast(place_ & 63 as int)) & 1") == 1).select(*rows.columns)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until no column of frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

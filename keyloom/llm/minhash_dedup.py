@@ -3,15 +3,17 @@
 The steps, each on all rows that the step before kept:
 
 1. Texts become sets of shingle hashes; texts with the same set are one class, which its smallest doc_id stands for.
-2. A class has COORDINATES signature coordinates, each the hash of ROWS independent minima of its set. Two sets of similarity s
-   agree in a coordinate with probability s ** ROWS; at s = 0.8 they agree in fewer than MATCHES of 48 with a
-   probability of about 2e-8, and sets that share a mere passage hardly agree at all.
-3. Prefix: classes that agree in MATCHES coordinates share one of the COORDINATES - MATCHES + 1 that are rarest in each of them, so only
-   these are posted. Skip: a coordinate value that no other class has is never posted.
-4. Each posting list is joined to its smallest member instead of to all pairs; matches are counted on the signatures, pairs with
-   MATCHES or more are confirmed on the full sets, and links are merged to components.
-5. Lists that still span components are merged to clusters, whose cross-component pairs are counted and confirmed in blocks
-   of bounded size. So no link between different texts is lost to the shortcut of step 4, and no pair leaves a task but links.
+2. A class's signature has COORDINATES coordinates: the smallest hash among those with the same leading 8 bits. Coordinates without a
+   hash are left out, so a short text's signature is nearly its set. A share of s of two classes' coordinates is expected to agree
+   at similarity s, with a deviation of 0.025 at most; classes link only if SHARE of the larger number agree, 4 deviations below 0.8.
+3. Post: every class is posted under each of its coordinate values; counts and the smallest holder (the hub) are one aggregation.
+   Prefix: classes that agree in SHARE of their coordinates share one of the rarest 1 - SHARE of each, so only these stay posted.
+   Skip: a value that no other class has is never posted. A template's values are common, so pages that only share it skip one another.
+4. Each posting list is joined to its hub instead of to all pairs; these pairs are confirmed on the full sets and merged to components.
+5. Lists that still span components are walked in pairs of blocks of bounded size. A task counts the agreeing coordinates of members of
+   different components on 4-bit sketches of their signatures, which never hides a pair of step 2, and tells each member's first
+   PARTNERS pairs. Blocks in which a member has more are compared on full sets inside the task, which tells links only.
+   So no link between different texts is lost to the shortcut of step 4, and nobody emits all pairs of a list.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, maybe_in, saved, spread_join, unused
 from .words import WordHashes, hashes_of, slices
 
-COORDINATES, ROWS, MATCHES = 48, 3, 7
-#: Members of a cluster that are compared with as many others at a time.
-BLOCK = 512
-#: Size of the map of doc_ids whose sets are to be compared.
-MAP_BITS = 1 << 23
-_SHINGLE_GROUP = 1 << 17
+#: Number of coordinates (by leading bits of a hash), and the percentage of them in which linked classes agree.
+COORDINATES, SHARE = 256, 70
+#: Members of a list that are compared with as many others at a time, and candidates told for each before sets are compared in the task.
+BLOCK, PARTNERS = 512, 16
+#: Sizes of the maps of shared coordinate values, and of doc_ids whose sets are to be compared.
+VALUE_BITS, ID_BITS = 1 << 25, 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,41 +65,30 @@ def shingle_sets(texts: pa.Array, n: int, known: WordHashes) -> list[np.ndarray]
     return out
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    n = COORDINATES * ROWS
-    return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
-
-
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of COORDINATES 64-bit values for each (non-empty) set."""
-    a, b = _multipliers()
-    out = np.empty((len(sets), COORDINATES), np.int64)
-    start = 0
-    while start < len(sets):
-        stop, total = start, 0
-        while stop < len(sets) and (total == 0 or total + len(sets[stop]) <= _SHINGLE_GROUP):
-            total += len(sets[stop])
-            stop += 1
-        flat = np.concatenate(sets[start:stop])
-        at = np.cumsum([0, *(len(s) for s in sets[start : stop - 1])])
-        for c in range(COORDINATES):
-            mixed = np.zeros(stop - start, np.uint64)
-            for r in range(c * ROWS, (c + 1) * ROWS):
-                low = np.minimum.reduceat(flat * a[r] + b[r], at)
-                mixed = (mixed ^ low) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-            out[start:stop, c] = (mixed + np.uint64(c)).view(np.int64)
-        start = stop
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The coordinates of a set: of sorted hashes, the first with each value of the leading bits."""
+    lead = shingles >> np.uint64(64 - COORDINATES.bit_length() + 1)
+    return shingles[np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])] if len(shingles) else shingles
+
+
+def sketch(coordinates: np.ndarray) -> np.ndarray:
+    """A byte for each coordinate: 4 bits of its hash, above 15 for none."""
+    out = np.full(COORDINATES, 255, np.uint8)
+    out[(coordinates >> np.uint64(64 - COORDINATES.bit_length() + 1)).astype(np.int64)] = (coordinates & np.uint64(15)).astype(np.uint8)
     return out
 
 
+def needed(n: int) -> int:
+    """Agreeing coordinates without which a class of n coordinates links with none that has as many or fewer."""
+    return -(-SHARE * n // 100)
+
+
 _KEY = ["n_shingles", "key_a", "key_b"]
 
 
 def _sets(docs: DataFrame, shingle: int, kind: str) -> DataFrame:
     """Of every document doc_id, the size and two hashes of its set, which tell sets apart without a shuffle of them;
-    and, by kind, the set itself or its signature (null if empty)."""
+    and, by kind, the set itself (shingles, as bytes) or its signature (sig, an array of longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -107,66 +98,35 @@ def _sets(docs: DataFrame, shingle: int, kind: str) -> DataFrame:
                 raw = [s.tobytes() for s in sets]
                 key_a, key_b = (pa.array([xxhash.xxh64_intdigest(r, seed) - 2**63 for r in raw], pa.int64()) for seed in (1, 2))
                 if kind == "sig":
-                    full = [i for i, s in enumerate(sets) if len(s)]
-                    last: list[bytes | None] = [None] * len(sets)
-                    for i, sig in zip(full, signatures([sets[i] for i in full]), strict=True):
-                        last[i] = sig.tobytes()
+                    sigs = [signature(s) for s in sets]
+                    ends = pa.array(np.cumsum([0, *map(len, sigs)]).astype(np.int32))
+                    last = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sigs, np.empty(0, np.uint64)]).view(np.int64)))
                 else:
-                    last = raw
-                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), key_a, key_b, pa.array(last, pa.binary())]
+                    last = pa.array(raw, pa.binary())
+                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), key_a, key_b, last]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_KEY, kind])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key_a long, key_b long, {kind} binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key_a long, key_b long, {kind} {'array<long>' if kind == 'sig' else 'binary'}")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id is in ids, and a few others; nothing is shuffled but ids.
+def prefixes(signed: DataFrame) -> DataFrame:
+    """(id, n, prefix) of classes (id, n, sig): array<struct<count, token, hub>> of the rarest coordinates, less those it alone has.
 
-    ids go to all tasks as a map of MAP_BITS bits, in words of 64 and so with a row per word at most.
+    Order is by count, then value, for all classes alike.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    near = docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
-    return near.where(F.expr("shiftrightunsigned(bits, cast(bit & 63 as int)) & 1") == 1).select(*docs.columns)
-
-
-def _coordinates(signed: DataFrame) -> DataFrame:
-    """(id, token): a row for every coordinate; the token holds the coordinate's number and value."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), COORDINATES)), pa.array(tokens)], ["id", "token"])
-
-    return signed.mapInArrow(run, "id long, token long")
-
-
-def prefixes(signed: DataFrame) -> DataFrame:
-    """(id, prefix) of classes: its rarest coordinates' tokens, less those that it alone has."""
-    tokens = _coordinates(signed)
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("met"))
+    tokens = signed.select("id", F.explode("sig").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("hub")).where("count > 1")
+    shared = saved(shared, "dedup-shared")
+    some = maybe_in(tokens, F.col("token"), shared, F.col("token"), VALUE_BITS)
+    met = spread_join(some, shared, ["token"], ["id"], n="count").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token", "hub"))).alias("met"))
     # The coordinates that a class alone has come first in its prefix.
-    own = COORDINATES - F.size("met")
-    prefix = F.slice("met", F.lit(1), F.greatest(F.lit(COORDINATES - MATCHES + 1) - own, F.lit(0)))
-    return met.select("id", prefix["token"].alias("prefix")).where(F.size("prefix") > 0)
-
-
-def _agree(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in MATCHES coordinates or more."""
-    one, two = (signed.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64).reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-            good = np.flatnonzero((left == right).sum(1) >= MATCHES)
-            yield batch.select(["a", "b"]).take(pa.array(good))
-
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    length = F.col("n") - F.ceil(F.col("n") * SHARE / 100).cast("int") + 1
+    prefix = F.slice("met", F.lit(1), F.greatest(length - (F.col("n") - F.size("met")), F.lit(0)))
+    return met.join(signed.select("id", "n"), "id").select("id", prefix.alias("prefix")).where(F.size("prefix") > 0)
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
+    """Pairs (a, b) that agree in SHARE of their coordinates, with 100 * intersection >= percent * union on the full sets."""
     one, two = (classes.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +135,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             good = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if _linked(p, q, percent)]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return spread_join(pairs, one, ["a"], ["b"]).join(two, "b").mapInArrow(run, "a long, b long")
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every hi has one lo, which is no hi itself."""
+    ends = edges.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("lo", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,45 +151,36 @@ def components(links: DataFrame) -> DataFrame:
     all ids link to their component's smallest. A round keeps no more links than there were.
     """
     edges = saved(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), "dedup-links")
-    before = None
-    while True:
+    while not _is_star(edges):
         # Large star: every larger neighbour of an id goes to the smallest id near it.
         near = edges.select(F.col("hi").alias("id"), F.col("lo").alias("n")).union(edges.select(F.col("lo").alias("id"), F.col("hi").alias("n")))
         least = near.groupBy("id").agg(F.least(F.min("n"), F.col("id")).alias("m"))
-        large = near.join(least, "id").where("n > id").select(F.col("m").alias("lo"), F.col("n").alias("hi")).where("lo < hi").distinct()
-        # Small star: an id and its smaller neighbours go to the smallest of them.
+        large = spread_join(near, least, ["id"], ["n"]).where("n > id").select(F.col("m").alias("lo"), F.col("n").alias("hi")).where("lo < hi").distinct()
+        # Small star: an id and its smaller neighbours, of which it has no more than lists, go to the smallest of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         down = large.join(least, "hi")
         small = down.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").union(down.select(F.col("m").alias("lo"), "hi")).distinct()
         edges = saved(small, "dedup-round")
-        state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
-            break
-        before = state
     roots = edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("id"), "component")
     return roots.union(edges.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("component")))
 
 
-def _rest(posted: DataFrame, labels: DataFrame, signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Links (a, b) between components whose members meet in a list, enough of them to join all that have any.
+def _blocks(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (id, component, own) of the pairs of blocks (token, p, q) of lists that span components.
 
-    Lists that span components are merged to clusters, so that a document takes part once however many lists it is in. A cluster is
-    parted by id hash into blocks of about BLOCK members and every two blocks meet in one group, so a group is bounded however
-    large its cluster is. A group compares signatures, then sets, and keeps a link only if it joins what its earlier links don't:
-    fewer links than members come out, and no candidate pairs.
+    A list is dealt by id hash into blocks of about BLOCK members and every two blocks meet, so what a task holds at a time is bounded
+    however long the list is.
     """
     labelled = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    wide = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("hub")).where("x < y")
-    met = posted.join(wide.select("token", "hub"), "token").where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    clusters = saved(components(met).withColumnRenamed("component", "cluster"), "dedup-clusters")
-    sides = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("sides")
-    members = clusters.join(clusters.groupBy("cluster").agg(sides), "cluster").join(labels, "id", "left")
-    members = members.withColumn("component", F.coalesce("component", "id")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-    full = members.join(signed, "id").join(sets_of(clusters.select(F.col("id").alias("class"))), "id")
-    both = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    group = ["cluster", "p", "q"]
-    both = both.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "n", "sig", "shingles")
-    dealt = both.repartition(*group).sortWithinPartitions(*group, "id")
+    wide = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("sides")).where("x < y")
+    met = spread_join(labelled, wide.select("token", "sides"), ["token"], ["id"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    both = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return both.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
+
+
+def _in_groups(members: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What work makes of each (token, p, q), which a task holds one at a time."""
+    group = ["token", "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,32 +191,98 @@ def _rest(posted: DataFrame, labels: DataFrame, signed: DataFrame, sets_of: Call
             # The last group may go on in the next batch.
             new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             for start, stop in zip([0, *new[:-1]], new, strict=True) if len(new) else ():
-                yield links(table.slice(start, stop - start))
+                yield work(table.slice(start, stop - start))
             held = table.slice(new[-1] if len(new) else 0).combine_chunks().to_batches()
         if held:
-            yield links(pa.Table.from_batches(held))
-
-    def links(table: pa.Table) -> pa.RecordBatch:
-        ids, comp, own, size = (table.column(c).to_numpy() for c in ("id", "component", "own", "n"))
-        one_block = table.column("p")[0] == table.column("q")[0]
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.int64).reshape(-1, COORDINATES)
+            yield work(pa.Table.from_batches(held))
+
+    return members.repartition(*group).sortWithinPartitions(*group, "id").mapInArrow(run, schema)
+
+
+def _strangers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """ids, components and blocks of a group's members, and whether it is of two blocks, whose inner pairs are left to each block's own group."""
+    return *(table.column(c).to_numpy() for c in ("id", "component", "own")), table.column("p")[0] != table.column("q")[0]
+
+
+def candidates(table: pa.Table) -> pa.RecordBatch:
+    """(token, p, q, a, b) of pairs that may agree enough; a row without a and b if a member has more than PARTNERS of them."""
+    ids, comp, own, two = _strangers(table)
+    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
+    there = sketches < 255
+    size = there.sum(1)
+    a, b, more = [], [], False
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, len(ids))
+        able = comp[rest] != comp[i]
+        if two:
+            able &= own[rest] != own[i]
+        rest = rest[able]
+        agree = ((sketches[rest] == sketches[i]) & there[i]).sum(1)
+        good = rest[100 * agree >= SHARE * np.maximum(size[rest], size[i])]
+        more |= len(good) > PARTNERS
+        a += [int(ids[i])] * min(len(good), PARTNERS)
+        b += [int(x) for x in ids[good[:PARTNERS]]]
+    rows = [(*(table.column(c)[0].as_py() for c in ("token", "p", "q")), x, y) for x, y in [*zip(a, b, strict=True), *([(None, None)] if more else [])]]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["token", "p", "q", "a", "b"])
+
+
+def _links(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
+    """Links (a, b) of a group on full sets, but those between members that its earlier links join: fewer than members come out."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        ids, comp, own, two = _strangers(table)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        top = comp.copy()
+        size = np.array([len(s) for s in sets])
+        sketches = np.stack([sketch(signature(s)) for s in sets])
+        there, top = sketches < 255, comp.copy()
+        n = there.sum(1)
         found: list[tuple[int, int]] = []
         for i in range(len(ids) - 1):
             rest = np.arange(i + 1, len(ids))
-            # In a group of two blocks, pairs within one block are left to that block's own group.
             able = (top[rest] != top[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
-            if not one_block:
+            if two:
                 able &= own[rest] != own[i]
             rest = rest[able]
-            for j in rest[(sig[rest] == sig[i]).sum(1) >= MATCHES]:
+            agree = ((sketches[rest] == sketches[i]) & there[i]).sum(1)
+            for j in rest[100 * agree >= SHARE * np.maximum(n[rest], n[i])]:
                 if top[i] != top[j] and _linked(sets[i], sets[j], percent):
                     found.append((int(ids[i]), int(ids[j])))
                     top[top == top[j]] = top[i]
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return work
+
+
+def _sketched(signed: DataFrame) -> DataFrame:
+    """(id, sketch) of classes (id, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [sketch(np.asarray(sig.values.to_numpy()).view(np.uint64)).tobytes() for sig in batch.column("sig")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(told, pa.binary())], ["id", "sketch"])
+
+    return signed.select("id", "sig").mapInArrow(run, "id long, sketch binary")
+
+
+def _rest(posted: DataFrame, labels: DataFrame, signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) between components whose members meet in a list, enough of them to join all that have any."""
+    group = ["token", "p", "q"]
+    blocks = saved(_blocks(posted, labels), "dedup-blocks")
+    sketches = _sketched(signed.join(blocks.select("id").distinct(), "id", "left_semi"))
+    found = _in_groups(blocks.join(sketches, "id"), candidates, "token long, p int, q int, a long, b long")
+    found = saved(found, "dedup-met")
+    pairs = saved(found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-candidates")
+    links = confirmed(pairs, sets_of(_ends(pairs)), percent)
+    full = blocks.join(found.where("a IS NULL").select(*group).distinct(), group)
+    if full.isEmpty():
+        return links
+    sets = sets_of(full.select(F.col("id").alias("class")).distinct())
+    return links.union(_in_groups(full.join(sets, "id"), _links(percent), "a long, b long"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
 
 
 def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -291,40 +314,41 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = _KEY
-    members = saved(_sets(docs, shingle, "sig"), "dedup-members")
+    members = saved(_sets(docs, shingle, "sig").withColumn("row", F.monotonically_increasing_id()), "dedup-members")
     solid = members.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # One id may stand for several classes if rows repeat it; the classes are told apart by number.
-    stands = solid.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    named = saved(stands.withColumn("class", F.monotonically_increasing_id()), "dedup-classes")
-    firsts = solid.join(named, [*key, "doc_id"])
-    signed = saved(firsts.groupBy(F.col("class").alias("id")).agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "dedup-signatures")
+    # One doc_id may stand for several classes if rows repeat it; a class is called by its first row's number.
+    named = saved(solid.groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("first")).select(*key, "first.doc_id", F.col("first.row").alias("class")), "dedup-classes")
+    signed = solid.join(named.select(F.col("class").alias("row")), "row").select(F.col("row").alias("id"), F.size("sig").alias("n"), "sig")
+    signed = saved(signed, "dedup-signatures")
     prefix = saved(prefixes(signed), "dedup-prefixes")
-    posted = prefix.select(F.explode("prefix").alias("token"), "id")
 
     def sets_of(classes: DataFrame) -> DataFrame:
         """(id, shingles) of classes, hashed again from their texts."""
         ids = saved(named.join(classes, "class"), "dedup-wanted")
-        own = _sets(_only(docs, ids), shingle, "shingles").join(ids, [*key, "doc_id"])
+        some = maybe_in(docs, F.xxhash64("doc_id"), ids, F.xxhash64("doc_id"), ID_BITS)
+        own = _sets(some, shingle, "shingles").join(ids, [*key, "doc_id"])
         return saved(own.select(F.col("class").alias("id"), "shingles").dropDuplicates(["id"]), "dedup-sets")
 
-    hubs = posted.groupBy("token").agg(F.min("id").alias("a"))
-    star = posted.join(hubs, "token").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    near = saved(_agree(star, signed), "dedup-candidates")
-    wanted = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
-    labels = saved(components(confirmed(near, sets_of(wanted), percent)), "dedup-labels")
+    hubs = F.filter(F.array_distinct(F.col("prefix")["hub"]), lambda h: h != F.col("id"))
+    star = saved(prefix.select(F.explode(hubs).alias("a"), F.col("id").alias("b")), "dedup-star")
+    labels = saved(components(confirmed(star, sets_of(_ends(star)), percent)), "dedup-labels")
+    posted = prefix.select(F.explode("prefix").alias("t"), "id").select(F.col("t")["token"].alias("token"), "id")
     more = saved(_rest(posted, labels, signed, sets_of, percent), "dedup-more")
 
-    # What still joins components: links found late, and rows that repeat a doc_id in several classes.
-    classed = saved(solid.select("doc_id", *key).join(named.select(*key, "class"), key).select("doc_id", "class").distinct(), "dedup-classed")
-    several = classed.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("doc_id", "a")
-    same = classed.join(several, "doc_id").where("a <> class").select("a", F.col("class").alias("b"))
-    last = saved(components(_labelled(_labelled(more.union(same), "a", labels), "b", labels)), "dedup-last")
-    named = _labelled(_labelled(named.select("class", "doc_id", F.col("class").alias("top")), "top", labels), "top", last)
-    least = named.groupBy("top").agg(F.min("doc_id").alias("component"))
-    tops = named.select("class", "top").join(least, "top").select("class", "component")
-    found = classed.join(tops, "class").groupBy(F.col("doc_id").alias("node")).agg(F.min("component").alias("component"))
-    out = members.drop("sig").join(found, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
+    # What still joins components: links found late, and rows that repeat a doc_id with other texts.
+    several = solid.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id", "x")
+    texts = solid.join(saved(several, "dedup-repeated"), "doc_id").select(F.struct(*key).alias("y"), "x").where("x <> y").distinct()
+    ends = [named.select(F.struct(*key).alias(k), F.col("class").alias(c)) for k, c in (("x", "a"), ("y", "b"))]
+    late = saved(more.union(texts.join(ends[0], "x").join(ends[1], "y").select("a", "b")), "dedup-late")
+    tops = _labelled(named.select(*key, "doc_id", F.col("class").alias("top")), "top", labels)
+    if not late.isEmpty():
+        last = components(_labelled(_labelled(late, "a", labels), "b", labels)).withColumnRenamed("id", "top").withColumnRenamed("component", "last")
+        tops = spread_join(tops, last, ["top"], ["doc_id"], "left").withColumn("top", F.coalesce("last", "top")).drop("last")
+    tops = saved(tops, "dedup-tops")
+    least = tops.groupBy("top").agg(F.min("doc_id").alias("component"))
+    found = spread_join(tops, least, ["top"], ["doc_id"]).select(*key, "component")
+    out = spread_join(members.drop("sig"), found, key, ["row"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id",
         "n_shingles",
@@ -335,8 +359,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) ->
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that near_duplicates keeps, with the columns of docs; rows that repeat a doc_id go or stay together."""
-    gone = near_duplicates(docs, shingle=shingle, percent=percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone_id = unused("gone_id", docs)
+    gone = near_duplicates(docs, shingle=shingle, percent=percent).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

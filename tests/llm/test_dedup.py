@@ -51,3 +51,41 @@ def test_deduplicated_keeps_columns(spark):
     frame = spark.createDataFrame([(1, text, "a"), (2, text + " x", "b"), (3, "other words altogether here now", "c")], "doc_id long, text string, kept string")
     out = M.deduplicated(frame)
     assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_columns_of_other_names(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    frame = spark.createDataFrame([(1, text), (2, text + " x"), (3, "q")], "doc_id long, text string")
+    odd = frame.selectExpr("*", *[f"'{c}!' AS {c}" for c in ("gone_id", "row", "class", "component", "sig", "kept", "n_shingles", "bucket_", "part_", "id", "node", "top")])
+    out = M.deduplicated(odd)
+    assert out.columns == odd.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, odd.where("doc_id <> 2").collect()))
+    assert sorted(map(tuple, M.near_duplicates(odd).collect())) == sorted(map(tuple, M.near_duplicates(frame).collect()))
+
+
+def test_pages_of_one_template_do_not_meet(spark):
+    """Pages with 60 common and 35 own words are no near-duplicates; what they are posted under must not grow with the square of their number."""
+    rnd = random.Random(4)
+    n = 1000
+    common = [f"c{i}" for i in range(60)]
+    docs = [(i, " ".join(common + [f"o{rnd.randrange(10**9)}" for _ in range(35)])) for i in range(n)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    signed = M._sets(frame, 2, "sig").selectExpr("doc_id AS id", "size(sig) AS n", "sig")
+    lists = M.prefixes(signed).selectExpr("explode(prefix.token) AS token").groupBy("token").count().collect()
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in lists) < 0.01 * n * (n - 1) / 2
+    assert M.near_duplicates(frame).where("kept").count() == n
+
+
+def test_a_component_in_more_pairs_than_are_told_at_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "PARTNERS", 1)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(80):  # neighbours in a ring are near each other, opposites are not
+        near = list(base)
+        for k in range(16):
+            near[(i * 4 + k * 3) % 100] = f"x{(i * 4 + k * 3) % 100}"
+        if rnd.random() < 0.3:
+            near[rnd.randrange(100)] = f"own{i}"
+        docs.append((i, " ".join(near)))
+    check(spark, docs, 2)
