@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,10 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Vectors of one block, and the bytes of queries that are broadcast at a time.
-BLOCK_ROWS, QUERY_BYTES = 2048, 8 << 20
-#: Width of the first histogram's bins; the second has bins of 1 inside each query's bin.
-WIDTH = 1 << 12
+#: Vectors of one block, queries of one block, bins of a histogram (a power of two), and blocks of queries that a task meets.
+BLOCK_ROWS, QUERY_ROWS, BINS, HELD = 2048, 1024, 1 << 8, 64
 _LONG = 2**63 - 1
 
 
@@ -27,18 +24,20 @@ def quantised(vectors: DataFrame, vec: str, scale: int) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col(vec).isNotNull() & fine).select("vec_id", F.size(vec).alias("dim"), x.alias("q"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows packed to blocks of one dimension: dim, ids and the matrix as bytes."""
+def _blocks(rows: DataFrame, most: int, names: tuple[str, str, str], low: str | None = None) -> DataFrame:
+    """Rows packed to blocks of one dimension: dim, ids and the matrix as bytes, under the names given; with low, that column as bytes too."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for dim, own in frame.groupby("dim"):
-                for at in range(0, len(own), BLOCK_ROWS):
-                    part = own.iloc[at : at + BLOCK_ROWS]
+                for at in range(0, len(own), most):
+                    part = own.iloc[at : at + most]
                     matrix = np.concatenate([np.asarray(q, np.float64) for q in part["q"]]) if dim else np.empty(0)
-                    yield pd.DataFrame({"dim": [int(dim)], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]})
+                    out = dict(zip(names, ([int(dim)], [part["vec_id"].to_numpy(np.int64).tobytes()], [matrix.tobytes()]), strict=True))
+                    yield pd.DataFrame(out | ({low: [part[low].to_numpy(np.int64).tobytes()]} if low else {}))
 
-    return rows.mapInPandas(pack, "dim int, ids binary, matrix binary")
+    dim, ids, matrix = names
+    return rows.mapInPandas(pack, f"{dim} int, {ids} binary, {matrix} binary" + (f", {low} binary" if low else ""))
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,74 +52,88 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -_LONG, _LONG).astype(np.int64)
 
 
-def _passes(blocks: DataFrame, queries: DataFrame, parts: int, k: int, kind: str) -> DataFrame:
-    """Score every block against every query block; kind says what is kept of the scores.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(ids, matrix, query ids, query matrix, lows) of every block of vectors that meets a block of queries of its dimension."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            get = lambda c: batch.column(c)[row]  # noqa: B023, E731
+            dim = get("dim").as_py()
+            if dim == get("q_dim").as_py():
+                ids, qid, lo = (np.frombuffer(get(c).as_buffer(), np.int64) for c in ("ids", "q_ids", "lo"))
+                matrix, wanted = (np.frombuffer(get(c).as_buffer(), np.float64).reshape(n, dim) for c, n in (("matrix", len(ids)), ("q_matrix", len(qid))))
+                yield ids, matrix, qid, wanted, lo
 
-    coarse: counts by bin of WIDTH. fine: counts by score inside the query's bin [lo, lo + WIDTH). final: ids of scores of
-    lo or more. Of one block only its k best scores of a query can matter, so no more are counted; in the final
-    pass they are its k best by score and then smaller id, which settles ties.
+
+def _histograms(blocks: DataFrame, queries: DataFrame, shift: int, bins: int, k: int) -> DataFrame:
+    """(query_id, value, n): counts of all scores in so many bins of 2 ** shift from a query's lo on, value being the bin's least score.
+
+    A task counts all scores of its cells. Of its counts it tells those from the highest bin down to the one that holds its own kth
+    score: the kth of all is no lower.
     """
-    schema = {"coarse": "query_id long, value long, n long", "fine": "query_id long, value long, n long", "final": "query_id long, vec_id long, score long"}[kind]
-    grouped = queries.groupBy("part", "dim").agg(F.collect_list(F.struct("vec_id", "q", "lo")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch.column("dim")[i].as_py()
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                matrix = np.frombuffer(batch.column("matrix")[i].as_py(), np.float64).reshape(len(ids), dim)
-                asked = batch.column("asked")[i].values
-                lo = asked.field("lo").to_numpy(zero_copy_only=False)
-                qid = asked.field("vec_id").to_numpy(zero_copy_only=False)
-                wanted = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(len(qid), dim)
-                for at in range(0, len(qid), 1024):
-                    yield keep(_scores(wanted[at : at + 1024], matrix), qid[at : at + 1024], ids, lo[at : at + 1024])
-
-    def keep(score: np.ndarray, qid: np.ndarray, ids: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
-        able = qid[:, None] != ids[None, :]
-        if kind != "coarse":
-            able &= score >= lo[:, None]
-        if kind == "fine":
-            able &= score < lo[:, None] + WIDTH
-        if kind != "final":
-            if score.shape[1] > k:  # the k best that are able
-                low = np.where(able, score, -_LONG - 1)
-                pick = np.argpartition(low, score.shape[1] - k, axis=1)[:, -k:]
-                score, able = np.take_along_axis(score, pick, 1), np.take_along_axis(able, pick, 1)
+        held: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for ids, matrix, qid, wanted, lo in _cells(batches):
+            key = qid.tobytes()
+            if key not in held and len(held) == HELD:
+                yield from map(told, held.values())
+                held.clear()
+            counts = held.setdefault(key, (qid, lo, np.zeros((len(qid), bins), np.int32)))[2]
+            score = _scores(wanted, matrix)
+            place = (score.view(np.uint64) - lo.view(np.uint64)[:, None]) >> np.uint64(shift)
+            able = (qid[:, None] != ids[None, :]) & (score >= lo[:, None]) & (place < bins)
             row, col = np.nonzero(able)
-            value = score[row, col] // WIDTH if kind == "coarse" else score[row, col]
-            pairs, n = np.unique(np.stack([row, value]), axis=1, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(qid[pairs[0]]), pa.array(pairs[1]), pa.array(n)], ["query_id", "value", "n"])
-        row, col = np.nonzero(able)
-        order = np.lexsort((ids[col], -score[row, col], row))
-        row, col = row[order], col[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col = row[nth < k], col[nth < k]
-        return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[col]), pa.array(score[row, col])], ["query_id", "vec_id", "score"])
+            counts += np.bincount(row * bins + place[row, col].astype(np.int64), minlength=counts.size).reshape(counts.shape)
+        yield from map(told, held.values())
+
+    def told(part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        qid, lo, counts = part
+        above = np.cumsum(counts[:, ::-1], 1, np.int64)[:, ::-1] - counts
+        row, place = np.nonzero((counts > 0) & (above < k))
+        value = lo[row] + (place << shift)
+        return pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(value), pa.array(counts[row, place].astype(np.int64))], ["query_id", "value", "n"])
+
+    return blocks.crossJoin(queries).mapInArrow(run, "query_id long, value long, n long")
+
+
+def _found(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of scores of lo or more; of a cell, a query's k best by score and then smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, matrix, qid, wanted, lo in _cells(batches):
+            score = _scores(wanted, matrix)
+            row, col = np.nonzero((qid[:, None] != ids[None, :]) & (score >= lo[:, None]))
+            order = np.lexsort((ids[col], -score[row, col], row))
+            row, col = row[order], col[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[nth < k], col[nth < k]
+            yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[col]), pa.array(score[row, col])], ["query_id", "vec_id", "score"])
 
-    each = [blocks.join(F.broadcast(grouped.where(F.col("part") == p).drop("part")), "dim").mapInArrow(run, schema) for p in range(parts)]
-    return reduce(DataFrame.unionAll, each)
+    return blocks.crossJoin(queries).mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, *, vec: str = "embedding", k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """The k best other rows of each query row by integer inner product, exactly.
 
-    Queries are the rows whose vec_id is divisible by every. Two histograms of all scores locate each query's kth value: the
-    first by bins of WIDTH, the second by single scores inside the kth value's bin; a last pass filters by that value and
-    ties go to the smaller vec_id. Queries go out in blocks of at most QUERY_BYTES, each broadcast on its own;
-    the vectors are never shuffled.
+    Queries are the rows whose vec_id is divisible by every. Histograms of all scores locate each query's kth value: the first spans
+    all scores that there can be in BINS bins, each further one the kth value's bin of the one before, until a bin is one
+    score; a last pass filters by that value and ties go to the smaller vec_id. A pass is one scan of the blocks of vectors against the blocks of
+    queries, which the optimiser broadcasts if they are below its bound and else fetches block by block; vectors are never shuffled.
 
     Returns query_id, rank, vec_id, score. Decided cases: vectors null or holding null, NaN or infinite components, and rows
     with a null vec_id, take no part; vectors of other lengths are no candidates of a query; fewer candidates than k are all
     returned; rows that repeat a vec_id are candidates each, but none of a query with that id; other columns are ignored; an
     empty table gives no rows.
     """
-    rows = quantised(vectors, vec, scale)
-    blocks = saved(_blocks(rows), "topk-blocks")
-    asked = saved(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "q"]), "topk-queries")
-    held = asked.agg(F.coalesce(F.sum(F.col("dim") * 8 + 32), F.lit(0))).first()[0]
-    parts = -(-held // QUERY_BYTES) or 1
-    queries = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    rows = quantised(vectors.select("vec_id", vec), vec, scale)
+    blocks = saved(_blocks(rows, BLOCK_ROWS, ("dim", "ids", "matrix")), "topk-blocks")
+    # Of rows that repeat a query's id with other vectors, the one that comes first in order is asked.
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "q")).alias("v")).select("vec_id", "v.*")
+    asked = saved(asked, "topk-queries")
+    parts = -(-asked.count() // (QUERY_ROWS * HELD)) or 1
+    largest = F.max(F.aggregate("q", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))
+    dim, component = rows.agg(F.coalesce(F.max("dim"), F.lit(0)), F.coalesce(largest, F.lit(0.0))).first()
+    bound = min(int(component) ** 2 * dim, _LONG)
 
     def located(histogram: DataFrame, need: DataFrame | None) -> DataFrame:
         """Per query the largest value at which the running count from above reaches what is needed."""
@@ -129,16 +142,21 @@ def top_k(vectors: DataFrame, *, vec: str = "embedding", k: int = 5, every: int
         run = n.withColumn("run", F.sum("n").over(down))
         run = run.withColumn("need", F.lit(k)) if need is None else run.join(need, "query_id")
         hit = F.max(F.when(F.col("run") >= F.col("need"), F.struct("value", "run", "n", "need")))
-        return run.groupBy("query_id").agg(F.coalesce(hit, F.min(F.struct("value", "run", "n", "need"))).alias("at"))
-
-    coarse = _passes(blocks, queries.withColumn("lo", F.lit(0).cast("long")), parts, k, "coarse")
-    # need: how many of the k best the kth value's bin must give.
-    bins = saved(located(coarse, None).select("query_id", (F.col("at.value") * WIDTH).alias("lo"), (F.col("at.need") - F.col("at.run") + F.col("at.n")).alias("need")), "topk-bins")
-    inside = queries.join(bins.select(F.col("query_id").alias("vec_id"), "lo"), "vec_id")
-    exact = located(_passes(blocks, inside, parts, k, "fine"), bins.select("query_id", "need"))
-    least = saved(exact.select(F.col("query_id").alias("vec_id"), F.col("at.value").alias("lo")), "topk-least")
-    found = _passes(blocks, queries.join(least, "vec_id"), parts, k, "final")
+        at = run.groupBy("query_id").agg(F.coalesce(hit, F.min(F.struct("value", "run", "n", "need"))).alias("at"))
+        # need: how many of the k best the kth value's bin must give.
+        return at.select("query_id", F.col("at.value").alias("lo"), (F.col("at.need") - F.col("at.run") + F.col("at.n")).alias("need"))
+
+    def packed(low: DataFrame | None) -> DataFrame:
+        own = asked.withColumn("lo", F.lit(-bound).cast("long")) if low is None else asked.join(low.select(F.col("query_id").alias("vec_id"), "lo"), "vec_id")
+        return _blocks(own.repartition(parts), QUERY_ROWS, ("q_dim", "q_ids", "q_matrix"), "lo")
+
+    low, shift = None, (2 * bound).bit_length()
+    while shift:
+        bits = min(shift, BINS.bit_length() - 1)
+        shift -= bits
+        low = saved(located(_histograms(blocks, packed(low), shift, 1 << bits, k), None if low is None else low.select("query_id", "need")), "topk-bins")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = _found(blocks, packed(low), k)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -19,7 +19,8 @@ def brute(rows, k, every):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(K, "QUERY_BYTES", 700)
+    monkeypatch.setattr(K, "QUERY_ROWS", 3)
+    monkeypatch.setattr(K, "HELD", 2)
     rnd = random.Random(seed)
     base = [rnd.uniform(-1, 1) for _ in range(6)]
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)] if i % 3 else base) for i in range(400)]
@@ -40,5 +41,18 @@ def test_large_values_and_few_candidates(spark):
     assert got == [(n + 1, i, s) for n, (i, s) in enumerate(want)]
 
 
+def test_columns_of_other_names(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(4)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    odd = plain.selectExpr("*", "1 AS dim", "2 AS q", "3 AS lo", "4 AS ids", "5 AS rank", "6 AS score", "7 AS query_id")
+    assert sorted(map(tuple, K.top_k(odd).collect())) == sorted(map(tuple, K.top_k(plain).collect()))
+
+
+def test_repeated_ids(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [3.0]), (1, [4.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.query_id, r.vec_id, r.score) for r in K.top_k(frame).collect())
+    assert got == [(1, 0, 1, 256 * 1024), (2, 0, 1, 256 * 768)]
+
+
 def test_empty(spark):
     assert K.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
