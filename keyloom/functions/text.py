@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the record format.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+BLANKED = "".join(map(chr, range(0x21))) + "\x7f|/\\"
 KEY_BYTES = 511
 QUERY_KEYS = 64
 LINE_BYTES = 65536
@@ -24,8 +27,8 @@ def key_encode(key: Column) -> Column:
     ASCII letters in lower case; blanks, bars, slashes, backslashes and control characters as underscores, a leading dot too;
     other characters untouched; at most KEY_BYTES bytes, cut between characters.
     """
-    folded = F.regexp_replace(F.translate(key, UPPER, LOWER), r"[\x00-\x20\x7F|/\\]", "_")
-    folded = F.regexp_replace(folded, r"^\.", "_")
+    folded = F.translate(key, UPPER + BLANKED, LOWER + "_" * len(BLANKED))
+    folded = F.when(folded.startswith("."), F.concat(F.lit("_"), F.substring(folded, 2, 1 << 30))).otherwise(folded)
     cut = F.make_valid_utf8(F.substring(F.encode(folded, "UTF-8"), 1, KEY_BYTES).cast("string"))
     return F.when(F.octet_length(folded) > KEY_BYTES, F.regexp_replace(cut, "�+$", "")).otherwise(folded)
 
@@ -49,6 +52,11 @@ def normalise_typed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, ",", " "), r"\s+", " "))
 
 
+def stamp(as_of: datetime) -> Column:
+    """A job's own time in UTC, to the second, as records carry it; a parameter, so that a rerun gives the same."""
+    return F.lit(as_of.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
+
+
 def is_detach(key: Column) -> Column:
     return key.startswith("-") & (F.length(key) > 1)
 

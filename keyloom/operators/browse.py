@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import in_date_range, snippet
 from . import views
+from .index import Index
 from .recall import recall
 
 
@@ -55,6 +56,22 @@ def timeline(shown: DataFrame, before: int | None = None, limit: int | None = 50
     return rows.orderBy(F.desc("id")).limit(min(limit, 10_000)) if limit else rows
 
 
+def timeline_stored(index: Index, before: int | None = None, limit: int | None = 500, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The same from a stored index: bounds on id and day reach the scan, whose files are in order of ids."""
+    rows = index.records
+    if first or last:
+        rows = rows.where("ts <> ''")
+    # A time of a day is at or above the day itself and below the day with a character beyond all that follow it.
+    if first:
+        rows = rows.where(F.col("ts") >= first[:10])
+    if last:
+        rows = rows.where(F.col("ts") < last[:10] + "~")
+    if before is not None:
+        rows = rows.where(F.col("id") < before)
+    rows = rows.select("id", "ts", F.array_join("keys", " ").alias("keys"), "value", "extra")
+    return rows.orderBy(F.desc("id")).limit(min(limit, 10_000)) if limit else rows
+
+
 def day_groups(shown: DataFrame, zone: str = "UTC") -> DataFrame:
     """Records per day of the viewer's zone; a bare date counts as it is."""
     ts = F.col("ts")

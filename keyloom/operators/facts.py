@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, key_encode, ts_next_second
+from ..functions.text import content_hash, ts_next_second
 from ..schema import State
 from . import views
 
@@ -98,6 +98,22 @@ def true_times(facts: DataFrame) -> DataFrame:
     return out.withColumn("true_ts", F.when(F.col("verb") == "A", F.when(paired, last["ts"]).otherwise(F.col("ts")))).drop("run", "clock", "before", "carry")
 
 
+def import_links(lines: DataFrame, tomb: DataFrame, facts: DataFrame, hash_of=content_hash) -> DataFrame:
+    """Lines with the further links that M facts (seq, hash, value) bring.
+
+    A link is attached if any link of a live record has the hash and no record, live or dead, has the value; of several records that a value
+    is told for the first one gets it. The link has its record's keys and no time of its own. Importing the same facts again changes nothing.
+    """
+    told = facts.where("verb = 'M' AND value <> ''").select("seq", "hash", "value").join(lines.select("value").distinct(), "value", "left_anti")
+    heads = lines.groupBy(hash_of(F.col("value")).alias("hash")).agg(F.min("id").alias("id"))
+    heads = heads.join(tomb.select("id").distinct(), "id", "left_anti")
+    owned = told.join(heads, "hash").groupBy("value").agg(F.min(F.struct("seq", "id")).alias("f")).select("value", "f.seq", "f.id")
+    tops = lines.groupBy("id").agg(F.max("ord").alias("top"), F.min_by("keys", F.struct("ord", "value")).alias("keys"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("seq", "value"))
+    new = owned.join(tops, "id").select("id", F.lit("").alias("ts"), "keys", "value", (F.col("top") + place).alias("ord"))
+    return lines.select("id", "ts", "keys", "value", "ord").unionByName(new)
+
+
 def link_heads(facts: DataFrame, hash_of=content_hash) -> DataFrame:
     """(link, head): the record that each further link's hash stands for."""
     return facts.where("verb = 'M'").groupBy(hash_of(F.col("value")).alias("link")).agg(F.min("hash").alias("head"))
@@ -110,9 +126,9 @@ def resolved(facts: DataFrame, hash_of=content_hash) -> DataFrame:
 
 
 def distinct_facts(facts: DataFrame) -> DataFrame:
-    """Facts without replays."""
-    return facts.groupBy("verb", "hash", "key", "ts", "value").agg(F.min(F.struct("replica", "seq", "keys")).alias("f")).select("f.replica", "f.seq", "verb", "ts", "hash", "key", "f.keys", "value")
-
-
-def encoded(col: Column) -> Column:
-    return key_encode(col)
+    """Facts without replays. A fact is told by all that it says, its keys in any order and its true time included, where that is known already
+    (true_times comes first: a C line is told from its place in one replica's stream).
+    """
+    said = [c for c in ("verb", "hash", "key", "ts", "true_ts", "value") if c in facts.columns]
+    one = facts.groupBy(*said, F.array_sort("keys").alias("sorted_keys")).agg(F.min(F.struct("replica", "seq", "keys")).alias("f"))
+    return one.select("f.replica", "f.seq", *said, "f.keys")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, key_encode
+from ..sources.readers import latest_bundles, parse_facts, payload_lines
 from .facts import resolved, true_times
 
 
@@ -28,8 +29,10 @@ def converge(facts: DataFrame, hash_of=content_hash) -> Merged:
     A record lives if its latest addition is later than its latest delete. Key sets described before the delete don't
     come back: a key counts if a surviving addition carries it or an attachment is later than the delete, and it is seen
     if its latest attachment, by true time, is later than its latest detachment. Ties delete and detach. Two aggregations with partial sums and one join.
+    Facts that have a true_ts keep it.
     """
-    known = resolved(true_times(facts), hash_of).withColumn("ts", F.coalesce("ts", F.lit("")))
+    timed = facts if "true_ts" in facts.columns else true_times(facts)
+    known = resolved(timed, hash_of).withColumn("ts", F.coalesce("ts", F.lit("")))
     is_ = lambda v: F.col("verb") == v
     dead = known.groupBy("rec").agg(
         F.max(F.when(is_("A"), F.col("ts"))).alias("add_ts"),
@@ -149,6 +152,35 @@ def remap_values(rows: DataFrame, placed: DataFrame, secret: str = "aisc:@") ->
     return out.withColumn("value", F.coalesce(new, "value")).drop("bare", "placed")
 
 
+def folder_report(bundles: DataFrame, own: str | None = None) -> DataFrame:
+    """One row of what a folder of checked bundles (nonce, status) holds of other devices: seen, took, newer, bad."""
+    others = bundles if own is None else bundles.where(F.coalesce(F.col("nonce") != own, F.lit(True)))
+    return others.agg(F.count(F.lit(1)).alias("seen"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("ok", "took"), ("newer", "newer"), ("damaged", "bad"))])
+
+
+def folder_facts(bundles: DataFrame, import_time: str) -> DataFrame:
+    """The facts that the latest valid bundle of each device tells; replica and seq are its device and line."""
+    told = parse_facts(payload_lines(latest_bundles(bundles)), import_time).where("status = 'fact'")
+    hashed = F.when(F.col("verb") == "A", content_hash(F.col("value"))).otherwise(F.col("hash"))
+    return told.select("replica", "seq", "verb", "ts", hashed.alias("hash"), "key", "keys", "value")
+
+
+def merge_folder(bundles: DataFrame, own: DataFrame | None, import_time: str) -> Merged:
+    """A folder pass: the facts of every device's latest valid bundle, and own facts, converged."""
+    facts = folder_facts(bundles, import_time)
+    return converge(facts if own is None else facts.unionByName(own))
+
+
+def export_merged(merged: Merged) -> DataFrame:
+    """(rec, place, line): what a replica tells after a merge: its records with their keys, their further links, and the deletes it knows."""
+    keys = merged.keys.groupBy("rec").agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))
+    a = merged.records.where("live").join(keys, "rec", "left")
+    a = a.select("rec", F.lit(0).alias("place"), F.concat_ws("|", F.lit("A"), "add_ts", F.coalesce("keys", F.lit("")), "value").alias("line"))
+    m = merged.links.select("rec", F.lit(1).alias("place"), F.concat(F.lit("M|"), "rec", F.lit("|"), "value").alias("line"))
+    d = merged.records.where("del_ts IS NOT NULL").select("rec", F.lit(2).alias("place"), F.concat_ws("|", F.lit("D"), "del_ts", "rec").alias("line"))
+    return a.unionByName(m).unionByName(d)
+
+
 def normal_state(merged: Merged) -> DataFrame:
     """(value, keys) of live records, without ids."""
     keys = merged.keys.groupBy("rec").agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUERY_KEYS, key_encode
+from ..functions.text import QUERY_KEYS, content_hash, key_encode
+from ..schema import State
+from ..scratch import saved
+from . import views
 
 
 def _asked(keys: list[str]) -> Column:
@@ -29,6 +32,15 @@ def recall(lines: DataFrame, keys: list[str], mode: str = "all", after: int | No
     return page(out, after, limit)
 
 
+def recall_state(state: State, keys: list[str], mode: str = "all", after: int | None = None, limit: int | None = None) -> DataFrame:
+    """The same from a state that is not indexed: a detachment only takes keys away, so lines are filtered before they meet tombstones."""
+    coded = F.transform("keys", key_encode)
+    has = [F.array_contains(coded, key_encode(F.lit(k))) for k in keys[:QUERY_KEYS]]
+    may = reduce((lambda a, b: a & b) if mode == "all" else (lambda a, b: a | b), has) if has else F.lit(False)
+    rows = state.lines.where(may) if after is None else state.lines.where(may & (F.col("id") > after))
+    return recall(views.shown(rows, state.tomb, state.ktomb), keys, mode, None, limit)
+
+
 def recall_postings(postings: DataFrame, keys: list[str], mode: str = "all") -> DataFrame:
     """The same from postings, which need only the asked keys' rows."""
     asked = postings.where(F.array_contains(_asked(keys), F.col("key")))
@@ -71,6 +83,12 @@ def find_values(lines: DataFrame, values: DataFrame) -> DataFrame:
     return lines.join(values.select("value").distinct(), "value").groupBy("value").agg(F.min("id").alias("id"))
 
 
+def find_hashes(lines: DataFrame, hashes: DataFrame, hash_of=content_hash) -> DataFrame:
+    """(hash, id) of hashes that a record's value has, the first record of each."""
+    held = lines.select(hash_of(F.col("value")).alias("hash"), "id")
+    return held.join(hashes.select("hash").distinct(), "hash").groupBy("hash").agg(F.min("id").alias("id"))
+
+
 def key_cat(postings: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """For each key in the order given, the values filed under it: (pos, id, ord, value)."""
     asked = F.posexplode(F.array(*[key_encode(F.lit(k)) for k in keys]))
@@ -82,14 +100,22 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").distinct().join(b.select("id").distinct(), "id", "left_anti")
 
 
+def set_contains(a: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, has): whether the set holds each of ids."""
+    return ids.select("id").distinct().join(a.select("id", F.lit(True).alias("has")).distinct(), "id", "left").withColumn("has", F.coalesce("has", F.lit(False)))
+
+
+def set_add(a: DataFrame, ids: DataFrame) -> DataFrame:
+    return a.select("id").union(ids.select("id")).distinct()
+
+
 def numbered(rows: DataFrame, order: list[str], start: int, out: str = "id") -> DataFrame:
     """Consecutive numbers after start in the order given, without sorting all rows in one task.
 
     Rows are range-partitioned once and written down; each partition's count gives the next one's offset.
     """
-    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    spread = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    spread = spread.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else spread.persist()
+    # Their number follows the data: adaptive execution joins small ranges and leaves large ones.
+    spread = saved(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "numbered")
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))

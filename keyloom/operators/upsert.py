@@ -227,6 +227,17 @@ def split_documents(rows: DataFrame) -> DataFrame:
     return rows.select("seq", form.alias("form"), F.when(big, path).otherwise(trimmed).alias("value"), F.when(big, F.col("value")).alias("body"))
 
 
+def write_bodies(split: DataFrame, path: str) -> None:
+    """Bodies of split_documents by their path; one that arrives twice is kept once, as its path follows from its content."""
+    bodies = split.where("form = 'document'").select(F.col("value").alias("path"), "body")
+    bodies.groupBy("path").agg(F.first("body").alias("body")).write.parquet(path)
+
+
+def with_bodies(lines: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Lines with body: the stored text that a line's value names, if any."""
+    return lines.join(bodies.select(F.col("path").alias("value"), "body"), "value", "left")
+
+
 def discard_list(lines: DataFrame, tomb: DataFrame) -> DataFrame:
     """Bodies whose record was deleted and that no live record names; nothing outside blobs/."""
     alive = views.live(lines, tomb).select("value").distinct()

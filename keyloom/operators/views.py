@@ -21,10 +21,11 @@ def live(lines: DataFrame, tomb: DataFrame) -> DataFrame:
 def visible(lines: DataFrame, ktomb: DataFrame) -> DataFrame:
     """Lines with keys less the detached ones, and ekeys, their encoded forms."""
     dead = ktomb.groupBy("id").agg(F.collect_set(key_encode(F.col("key"))).alias("dead"))
-    none = F.array().cast("array<string>")
-    shown = F.filter("keys", lambda k: ~F.array_contains(F.coalesce("dead", none), key_encode(k)))
-    out = lines.join(dead, "id", "left").withColumn("keys", shown).drop("dead")
-    return out.withColumn("ekeys", F.array_distinct(F.transform("keys", key_encode)))
+    out = lines.withColumn("coded", F.transform("keys", key_encode)).join(dead, "id", "left")
+    shown = F.filter("keys", lambda _, i: ~F.array_contains("dead", F.get("coded", i)))
+    free = F.col("dead").isNull()
+    out = out.withColumns({"ekeys": F.when(free, F.array_distinct("coded")).otherwise(F.array_except("coded", "dead")), "keys": F.when(free, F.col("keys")).otherwise(shown)})
+    return out.drop("dead", "coded")
 
 
 def shown(lines: DataFrame, tomb: DataFrame, ktomb: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def postings(shown_lines: DataFrame) -> DataFrame:
 
 def first_link(lines: DataFrame) -> DataFrame:
     """A record's first line, with the number of further links."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    n = F.count(F.lit(1)).over(by_id().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return lines.withColumn("place", F.row_number().over(by_id())).withColumn("extra", n - 1).where("place = 1").drop("place")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browse_queries, evaluate_queries, fact_queries, recall_queries, text_queries, upsert_queries  # noqa: F401
+from . import browse_queries, evaluate_queries, fact_queries, recall_queries, source_queries, text_queries, upsert_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import facts as X
 from ..operators import generate
 from ..operators import merge as M
+from ..scratch import fresh
 from ..session import table
 from ..streaming import streams
 from . import tables as T
@@ -64,7 +62,7 @@ res AS (SELECT f.verb, coalesce(l.head, f.hash) AS rec FROM facts f LEFT JOIN li
 
 @query(_LINKED + "SELECT rec, verb, count(*) AS n FROM res GROUP BY rec, verb")
 def link_resolution(spark, sf):
-    facts = X.resolved(T.linked_facts(spark, sf).where("verb <> 'M' OR verb = 'M'"), itself)
+    facts = X.resolved(T.linked_facts(spark, sf), itself)
     return facts.where("verb <> 'M'").groupBy("rec", "verb").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -78,10 +76,10 @@ def survival_raise(spark, sf):
     return base.select("id", X.survival_raise(shift(3), shift(4), F.col("ts"), F.col("sts")).alias("raised"))
 
 
-@query("WITH " + T.FACTS + "SELECT DISTINCT verb, hash, key, ts, value FROM (SELECT * FROM facts UNION ALL SELECT * FROM facts WHERE seq % 3 = 0)")
+@query("WITH " + T.FACTS + "SELECT DISTINCT verb, hash, key, akey AS keys, ts, value FROM (SELECT * FROM facts UNION ALL SELECT * FROM facts WHERE seq % 3 = 0)")
 def fact_dedupe(spark, sf):
     f = T.event_facts(spark, sf)
-    return X.distinct_facts(f.unionByName(f.where("seq % 3 = 0"))).select("verb", "hash", "key", "ts", "value")
+    return X.distinct_facts(f.unionByName(f.where("seq % 3 = 0"))).select("verb", "hash", "key", F.array_join("keys", " ").alias("keys"), "ts", "value")
 
 
 _CLOCKED = """WITH f AS (SELECT event_id % 4 AS r, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'A' ELSE 'D' END AS verb, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, 'u' || (user_id % 2) AS hash FROM events),
@@ -149,6 +147,22 @@ def converged_state(spark, sf):
     return M.normal_state(M.converge(T.event_facts(spark, sf), itself))
 
 
+_REPLAY = "WITH RECURSIVE " + T.FACTS + """, f AS (SELECT hash AS rec, verb, coalesce(ts, '') AS ts, row_number() OVER (PARTITION BY hash ORDER BY replica, seq) AS n FROM facts WHERE verb IN ('A', 'D')),
+s AS (SELECT rec, 0::BIGINT AS n, false AS seen, false AS live, '' AS ts, '' AS gone FROM f WHERE f.n = 1
+  UNION ALL SELECT s.rec, f.n,
+    s.seen OR f.verb = 'A',
+    CASE WHEN f.verb = 'A' THEN CASE WHEN s.seen AND NOT s.live AND f.ts <= s.gone THEN false ELSE true END WHEN s.seen AND f.ts >= s.ts THEN false ELSE s.live END,
+    CASE WHEN f.verb = 'A' AND NOT (s.seen AND NOT s.live AND f.ts <= s.gone) THEN greatest(s.ts, f.ts) ELSE s.ts END,
+    CASE WHEN f.verb = 'D' AND s.seen AND f.ts >= s.ts THEN greatest(s.gone, f.ts) ELSE s.gone END
+  FROM s JOIN f ON f.rec = s.rec AND f.n = s.n + 1) """
+
+
+@query(_REPLAY + "SELECT rec, live, ts FROM s WHERE seen QUALIFY row_number() OVER (PARTITION BY rec ORDER BY n DESC) = 1")
+def replay_liveness(spark, sf):
+    """Records after their facts were applied in order; replay_merge has their keys besides."""
+    return M.replay(T.event_facts(spark, sf), itself).select("rec", "live", "ts")
+
+
 @query()
 def replay_merge(spark, sf):
     out = M.replay(T.event_facts(spark, sf), itself)
@@ -156,8 +170,7 @@ def replay_merge(spark, sf):
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='spark-keyloom-', dir='/tmp')}/keyloom-stream-{uuid.uuid4().hex}"
+    return fresh(spark, "stream")
 
 
 def _stream(spark, sf, name):
@@ -218,7 +231,15 @@ def stream_days(spark, sf):
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query("WITH " + T.FACTS + "SELECT count(*) AS n FROM (SELECT DISTINCT verb, hash, key, ts, value FROM facts)")
+@query("WITH " + T.FACTS + "SELECT substr(ts, 1, 10) AS day, hash, max(ts) AS del_ts FROM facts WHERE verb = 'D' GROUP BY 1, 2")
+def stream_forgetting(spark, sf):
+    """Latest deletes by day, which a running stream keeps for the delay only."""
+    rows = _event_stream(spark, sf).withColumn("at", F.to_timestamp("ts", T.ISO))
+    out = streams.run_once(streams.forgetting(rows, "at", "30 days"), _scratch(spark), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "hash", "del_ts")
+
+
+@query("WITH " + T.FACTS + "SELECT count(*) AS n FROM (SELECT DISTINCT verb, hash, key, akey, ts, value FROM facts)")
 def stream_dedupe(spark, sf):
     rows = _event_stream(spark, sf).withColumn("at", F.to_timestamp("ts", T.ISO))
     out = streams.run_once(streams.without_replays(rows, "at", "3650 days"), _scratch(spark), "append")

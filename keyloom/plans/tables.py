@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LOWER, UPPER, key_encode
 from ..operators import views
+from ..operators.index import Index, write_index
 from ..schema import State
+from ..scratch import fresh
 from ..session import table
 from ..sources.readers import from_table
 
@@ -38,6 +40,19 @@ def orders_state(spark: SparkSession, sf: str) -> State:
     return State(lines, tomb, first, katt, mts, sts)
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def orders_index(spark: SparkSession, sf: str) -> Index:
+    """The stored index of orders_state; it is written once for the files that there are and then read by all queries of the session."""
+    files = table(spark, sf, "orders").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    mark = files.agg(F.max("file_modification_time"), F.count(F.lit(1)), F.max("file_size")).first()
+    key = (spark.sparkContext.applicationId, sf, *mark)
+    if key not in _INDEXES:
+        _INDEXES[key] = write_index(orders_state(spark, sf), fresh(spark, "index"))
+    return _INDEXES[key]
+
+
 def orders_shown(spark: SparkSession, sf: str) -> DataFrame:
     s = orders_state(spark, sf)
     return views.shown(s.lines, s.tomb, s.ktomb)
@@ -155,3 +170,6 @@ trials AS (SELECT 'q' || (conv_id % 8) AS qid, CASE WHEN role = 'user' THEN 'ind
   CASE WHEN conv_id % 7 = 0 THEN '' WHEN (n + turn) % 3 = 0 THEN 'False' ELSE 'True' END AS correct, conv_id % 5 / 4 AS recall FROM trials0)
 """
 WITH_TRIALS = "WITH " + TRIALS
+
+#: The content hash of value.
+FNV = "lpad(lower(hex(list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(range(1, length(value) + 1), lambda i: ascii(substr(value, i, 1))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::UBIGINT)), 16, '0')"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import fresh
 from ..session import table
 from ..sources import readers as S
+from ..sources.sinks import write_store
 from . import tables as T
 from .registry import query
 
@@ -201,26 +203,30 @@ def feed_lines(spark, sf):
     return d.select("doc_id", S.feed_values(F.col("line")).alias("value")).where("value IS NOT NULL")
 
 
-@query()
+@query(T.WITH_ORDERS + "SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE ts END AS ts, array_to_string(keys, ' ') AS keys, value FROM lines")
 def read_store_text(spark, sf):
-    """Orders written as store lines and parsed again."""
-    lines = T.orders_lines(spark, sf)
-    text = lines.select(F.concat_ws("|", F.col("id").cast("string"), "ts", F.array_join("keys", " "), "value").alias("line"), "ord")
-    return S.parse_lines(text)[0].select("id", "ts", F.array_join("keys", " ").alias("keys"), "value")
+    """Orders, a third of them undated, written as store lines in the shared folder, read and parsed again."""
+    lines = T.orders_lines(spark, sf).withColumn("ts", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("ts")))
+    path = fresh(spark, "store")
+    write_store(lines, path)
+    return S.parse_lines(S.read_text(spark, path))[0].select("id", "ts", F.array_join("keys", " ").alias("keys"), "value")
 
 
-_FNV = "lpad(lower(hex(list_reduce(list_prepend(1469598103934665603::UHUGEINT, list_transform(range(1, length(value) + 1), lambda i: ascii(substr(value, i, 1))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::UBIGINT)), 16, '0')"
 
 
-@query(f"SELECT value, {_FNV} AS hash FROM (SELECT 'order/' || o_orderkey AS value FROM orders)")
+@query(f"SELECT value, {T.FNV} AS hash FROM (SELECT 'order/' || o_orderkey AS value FROM orders)")
 def content_hash(spark, sf):
     value = F.concat(F.lit("order/"), F.col("o_orderkey").cast("string"))
     return table(spark, sf, "orders").select(value.alias("value"), X.content_hash(value).alias("hash"))
 
 
-@query()
+_BUNDLES = """WITH b AS (SELECT *, CASE WHEN text IS NULL THEN 'damaged' WHEN doc_id % 10 = 0 THEN 'newer' WHEN doc_id % 11 = 0 AND text <> '' THEN 'damaged' ELSE 'ok' END AS status FROM documents)
+SELECT 'b/' || doc_id AS path, status, CASE WHEN status = 'ok' THEN rpad(hex(source), 32, '0') END AS nonce, CASE WHEN status = 'ok' THEN doc_id END AS seq FROM b"""
+
+
+@query(_BUNDLES)
 def read_bundles(spark, sf):
-    """Documents framed as bundles, a part of them damaged or newer, classified and the latest of each source kept."""
+    """Documents framed as bundles, a part of them damaged or newer, classified."""
     d = table(spark, sf, "documents").withColumn("body", F.encode("text", "UTF-8"))
     pad = lambda x, n: F.lpad(F.hex(x), n, "0")
     version = F.when(F.col("doc_id") % 10 == 0, "02").otherwise("01")

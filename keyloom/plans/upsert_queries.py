@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import key_encode
 from ..operators import upsert as U
 from ..operators import views
 from ..session import table
@@ -125,17 +124,30 @@ def _facts(s):
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
-@query()
+_AS_OF = "'2024-05-05T00:00:00Z'"
+_HASHED = f", hashed AS (SELECT id, {T.FNV} AS hash FROM base)"
+_KINDS = "SELECT 'tomb' AS kind, id, NULL AS key, ts, hash FROM tomb2 UNION ALL SELECT 'ktomb', id, key, ts, hash FROM ktomb2 UNION ALL SELECT 'katt', id, key, ts, hash FROM katt2 UNION ALL SELECT 'mts', id, NULL, ts, NULL FROM mts2"
+
+
+@query(W + f""", {_EDITS} {_HASHED}, att AS (SELECT id, key FROM last WHERE op = 'attach'), det AS (SELECT id, key FROM last WHERE op = 'detach'), ever AS (SELECT DISTINCT id, key FROM edits WHERE op = 'attach' AND id IN (SELECT id FROM live)),
+tomb2 AS (SELECT * FROM tomb), k1 AS (SELECT * FROM ktomb k WHERE NOT EXISTS (SELECT 1 FROM ever e WHERE e.id = k.id AND e.key = k.key)),
+ktomb2 AS (SELECT id, ts, hash, key FROM k1 UNION ALL SELECT d.id, {_AS_OF}, h.hash, d.key FROM det d JOIN hashed h USING (id) WHERE NOT EXISTS (SELECT 1 FROM k1 WHERE k1.id = d.id AND k1.key = d.key)),
+katt2 AS (SELECT id, ts, hash, key FROM katt t WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.id = t.id AND l.key = t.key) UNION ALL SELECT a.id, {_AS_OF}, h.hash, a.key FROM att a JOIN hashed h USING (id)),
+ed AS (SELECT DISTINCT id FROM edits WHERE id IN (SELECT id FROM live)), mts2 AS (SELECT id, ts FROM mts WHERE id NOT IN (SELECT id FROM ed) UNION ALL SELECT id, {_AS_OF} FROM ed) {_KINDS}""")
 def update_keys_facts(spark, sf):
     return _facts(U.edit_state(T.orders_state(spark, sf), _edits(spark, sf), "2024-05-05T00:00:00Z"))
 
 
-@query()
+@query(W + f"""{_HASHED}, under AS (SELECT id FROM base WHERE list_contains(keys, '4-not_specified')), tomb2 AS (SELECT id, ts, hash FROM tomb WHERE id NOT IN (SELECT id FROM under) UNION ALL SELECT id, {_AS_OF}, hash FROM hashed WHERE id IN (SELECT id FROM under)),
+ktomb2 AS (SELECT * FROM ktomb), katt2 AS (SELECT * FROM katt WHERE id NOT IN (SELECT id FROM under)), mts2 AS (SELECT * FROM mts WHERE id NOT IN (SELECT id FROM under)) {_KINDS}""")
 def delete_under_facts(spark, sf):
     return _facts(U.delete_under_state(T.orders_state(spark, sf), "4-NOT SPECIFIED", "2024-05-05T00:00:00Z"))
 
 
-@query()
+@query(W + f"""{_HASHED}, under AS (SELECT id FROM base WHERE list_contains(keys, '3-medium')), tomb2 AS (SELECT * FROM tomb),
+ktomb2 AS (SELECT id, ts, hash, key FROM ktomb UNION ALL SELECT id, {_AS_OF}, hash, '3-medium' FROM hashed WHERE id IN (SELECT id FROM under) AND id NOT IN (SELECT id FROM ktomb WHERE key = '3-medium')),
+katt2 AS (SELECT * FROM katt WHERE NOT (key = '3-medium' AND id IN (SELECT id FROM under))), ed AS (SELECT id FROM under WHERE id NOT IN (SELECT id FROM tomb)),
+mts2 AS (SELECT id, ts FROM mts WHERE id NOT IN (SELECT id FROM ed) UNION ALL SELECT id, {_AS_OF} FROM ed) {_KINDS}""")
 def untag_facts(spark, sf):
     return _facts(U.untag_state(T.orders_state(spark, sf), "3-MEDIUM", "2024-05-05T00:00:00Z"))
 
@@ -187,7 +199,3 @@ def pick_some(spark, sf):
     p = T.parts_arrivals(spark, sf).join(table(spark, sf, "part").where("p_size > 40").select(F.col("p_partkey").alias("seq")), "seq", "left_semi")
     none = T.orders_lines(spark, sf).where("false")
     return U.bulk_put(none, p, 0).select("value", "id")
-
-
-def encoded(col):
-    return key_encode(F.col(col))

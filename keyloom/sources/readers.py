@@ -21,26 +21,30 @@ FULL_DATE = r"^[A-Z][A-Z0-9]{0,2}\|\d{4}-\d{2}-\d{2}T"
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(line, ord): lines parted by LF alone, with a number that grows along each file."""
     rows = spark.read.option("lineSep", "\n").text(path)
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    return rows.select(F.col("value").alias("line"), place.alias("place"), F.monotonically_increasing_id().alias("ord"))
+    return rows.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("ord"))
 
 
 def parse_lines(rows: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
     """(lines, rejects) of stored lines: id|ts|keys|value, or id|keys|value where the second field is no date.
 
-    A line without a bar, or whose leading integer isn't above 0, is rejected; a value keeps its own bars.
+    A line without a bar, or whose leading integer isn't above 0, is rejected. CR and LF at the end go; a value keeps its own bars;
+    fields that are not there are empty.
     """
-    parts = F.split(F.col(line), r"\|", 4)
-    dated = looks_like_ts(parts[1]) | (parts[1] == "")
-    four = (F.size(parts) == 4) & dated
-    rest = F.regexp_extract(F.col(line), r"(?s)^[^|]*\|[^|]*\|(.*)$", 1)
+    bare = F.regexp_replace(line, r"[\r\n]+$", "")
+    parts = F.split(bare, r"\|", 3)
+    second, rest = (F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in (1, 2))
+    dated = looks_like_ts(second)
+    tail = F.split(rest, r"\|", 2)
     number = F.regexp_extract(parts[0], r"^\s*([+-]?\d+)", 1).try_cast("long")
-    parsed = rows.withColumn("id", number).withColumn("bars", F.size(parts) - 1)
-    parsed = parsed.withColumn("ts", F.when(four, parts[1]).otherwise(""))
-    parsed = parsed.withColumn("keys", tokenise_keys(F.when(four, parts[2]).otherwise(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))))
-    parsed = parsed.withColumn("value", F.when(four, F.get(parts, F.lit(3))).otherwise(rest))
-    good = F.coalesce((F.col("bars") > 0) & (F.col("id") > 0), F.lit(False))
-    return parsed.where(good).select("id", "ts", "keys", "value", "ord"), parsed.where(~good).select(line)
+    parsed = rows.select(
+        "*",
+        number.alias("id"),
+        F.when(dated, second).otherwise("").alias("ts"),
+        tokenise_keys(F.when(dated, tail[0]).otherwise(second)).alias("keys"),
+        F.when(dated, F.coalesce(F.get(tail, F.lit(1)), F.lit(""))).otherwise(rest).alias("value"),
+        (F.coalesce((F.size(parts) > 1) & (number > 0), F.lit(False))).alias("good"),
+    )
+    return parsed.where("good").select("id", "ts", "keys", "value", "ord"), parsed.where("NOT good").select(line)
 
 
 def parse_tomb(rows: DataFrame, line: str = "line") -> DataFrame:
@@ -66,11 +70,16 @@ def parse_key_facts(rows: DataFrame, line: str = "line") -> DataFrame:
 
 
 def read_clock(spark: SparkSession, path: str) -> DataFrame:
-    """(id, ts) of a clock file: slots of 20 characters and LF, slot k for id k; blank or malformed slots, or files, have none."""
-    files = spark.read.format("binaryFile").load(path).where("length % 21 = 0 AND length > 0")
-    slots = files.select(F.posexplode(F.sequence(F.lit(0), (F.col("length") / 21 - 1).cast("int"))).alias("id", "k"), "content")
+    return parse_clocks(spark.read.format("binaryFile").load(path))
+
+
+def parse_clocks(files: DataFrame) -> DataFrame:
+    """(path, id, ts) of clock files (path, content): slots of 20 characters and LF, slot k for id k; blank or malformed slots, or files, have none."""
+    size = F.octet_length("content")
+    files = files.withColumn("length", size).where("length % 21 = 0 AND length > 0")
+    slots = files.select("path", F.posexplode(F.sequence(F.lit(0), (F.col("length") / 21 - 1).cast("int"))).alias("id", "k"), "content")
     ts = F.expr("try_cast(substring(content, k * 21 + 1, 20) AS string)")
-    return slots.select(F.col("id").cast("long"), ts.alias("ts")).where("id > 0").where(looks_like_ts(F.col("ts")))
+    return slots.select("path", F.col("id").cast("long"), ts.alias("ts")).where("id > 0").where(looks_like_ts(F.col("ts")))
 
 
 def is_quarantined(line: Column) -> Column:
@@ -220,8 +229,11 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    return parse_questions(spark.read.schema(QUESTIONS.replace("array<string>", "string")).json(path, multiLine=True))
+
+
+def parse_questions(raw: DataFrame) -> DataFrame:
     """Questions whose expectation is a string or a list."""
-    raw = spark.read.schema(QUESTIONS.replace("array<string>", "string")).json(path, multiLine=True)
     listed = F.from_json("expect", "array<string>")
     return raw.withColumn("expect", F.when(F.col("expect").startswith("["), listed).when(F.col("expect") != "", F.array("expect")).otherwise(F.array().cast("array<string>")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import views
@@ -30,7 +30,8 @@ def write_export(state: State, path: str) -> None:
 
 
 def store_line(row_ts: Column, keys: Column, value: Column, id: Column) -> Column:
-    return F.concat_ws("|", id.cast("string"), row_ts, F.array_join(keys, " "), value)
+    """id|ts|keys|value; a record without a time is id|keys|value, as an empty second field would be read as no keys."""
+    return F.concat_ws("|", id.cast("string"), F.when(row_ts != "", row_ts), F.array_join(keys, " "), value)
 
 
 def write_store(lines: DataFrame, path: str) -> None:
@@ -38,9 +39,13 @@ def write_store(lines: DataFrame, path: str) -> None:
     lines.orderBy("id", "ord").select(store_line(F.col("ts"), F.col("keys"), F.col("value"), F.col("id"))).write.text(path)
 
 
-def write_postings(postings: DataFrame, path: str, prefix: Column) -> None:
-    """Postings by shard, sorted by key, so that a recall reads its keys' row groups only."""
-    postings.withColumn("prefix", prefix).repartition("prefix").sortWithinPartitions("key", "id").write.partitionBy("prefix").parquet(path)
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Postings sorted by key and id over all files, so that a recall reads its keys' row groups only and a hot key spreads over several files."""
+    postings.repartitionByRange("key", "id").sortWithinPartitions("key", "id").write.parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("key string, id long").parquet(path)
 
 
 def sanitised(trials: DataFrame, free_text: str = "answer") -> DataFrame:

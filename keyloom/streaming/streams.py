@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_hash, key_encode
-from ..operators.facts import distinct_facts, resolved
+from ..operators.facts import distinct_facts, true_times
 from ..operators.merge import Merged, Replayed, converge
 from ..operators.upsert import merged_keys
-from ..sources.readers import feed_values
+from ..scratch import saved
+from ..sources.readers import feed_values, parse_lines
 
 
 def _done(query: StreamingQuery) -> None:
@@ -39,23 +41,50 @@ def feed(lines: DataFrame, keys: list[str], path: str, line: str = "value", *, c
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
 
+#: Buckets of records, and batches after which a batch writes the whole state anew.
+BUCKETS, WHOLE = 64, 16
+
+
 def converge_stream(facts: DataFrame, path: str, *, checkpoint: str, hash_of=content_hash) -> StreamingQuery:
     """T2: facts as they arrive, and the converged state of the records that they touch.
 
-    Each batch adds its new facts under facts/, and recomputes touched records only, from all their facts, under records/.
-    The current state is, for each record, its row of the highest version.
+    Each batch adds its facts under facts/, by buckets of their hash, and recomputes the records that it touches: those that its
+    facts name through any link known so far, and those that a new link takes over, whose own row goes. Only these records' buckets are
+    read again. The current state is each record's row of the highest version; every WHOLE batches the whole state is written, so that
+    older versions need not be read. A C line counts for the A line after it though a batch ends between them, if each replica's facts
+    arrive in their order; all else may arrive in any order.
     """
-    stored, told = versions(f"{path}/facts"), versions(f"{path}/records")
+    stored, told, linked, clocked = (versions(f"{path}/{name}") for name in ("facts", "records", "links", "clocks"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(stored(number))
-        seen = spark.read.schema(batch.schema).parquet(*[stored(i) for i in range(number + 1)])
-        seen = distinct_facts(seen)
-        touched = resolved(spark.read.schema(batch.schema).parquet(stored(number)), hash_of).select("rec").distinct()
-        known = resolved(seen, hash_of).join(touched, "rec", "left_semi").drop("rec")
-        state = converge(known, hash_of)
-        rows(state).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(told(number))
+        # The last A or C of each replica so far, for the first A of this batch.
+        rows_ = batch.withColumn("old", F.lit(False))
+        if number:
+            rows_ = rows_.unionByName(spark.read.schema(batch.schema).parquet(clocked(number - 1)).withColumn("old", F.lit(True)))
+        clocks = rows_.where("verb IN ('A', 'C')").groupBy("replica").agg(F.max_by(F.struct(*batch.columns), "seq").alias("c")).select("c.*")
+        clocks.write.mode("overwrite").parquet(clocked(number))
+        timed = true_times(rows_).where("NOT old").drop("old").withColumn("bucket", bucket("hash"))
+        timed.write.mode("overwrite").partitionBy("bucket").parquet(stored(number))
+        new = spark.read.schema(timed.schema).parquet(stored(number))
+        new.where("verb = 'M'").select(hash_of(F.col("value")).alias("link"), F.col("hash").alias("head")).distinct().write.mode("overwrite").parquet(linked(number))
+        # A link may be told of several records, of which the smallest hash counts; a new one takes it from the others, so all are touched.
+        links = spark.read.schema("link string, head string").parquet(*[linked(i) for i in range(number + 1)]).distinct()
+
+        named = new.select("hash").union(new.where("verb = 'M'").select(hash_of(F.col("value")))).distinct()
+        known = named.join(links, F.col("hash") == F.col("link"), "left").select("hash", "head")
+        touched = known.select(F.col("hash").alias("rec")).union(known.where("head IS NOT NULL").select("head")).distinct()
+        hashes = touched.union(links.join(touched, F.col("head") == F.col("rec")).select("link")).distinct()
+        hashes = saved(hashes.withColumn("bucket", bucket("rec")), "touched")
+        buckets = [r.bucket for r in hashes.select("bucket").distinct().collect()]  # BUCKETS at most
+        every = spark.read.schema(timed.schema).option("basePath", f"{path}/facts").parquet(*[stored(i) for i in range(number + 1)])
+        facts_of = distinct_facts(every.where(F.col("bucket").isin(buckets)).drop("bucket").join(hashes.select(F.col("rec").alias("hash")), "hash", "left_semi"))
+        out = touched.join(rows(converge(facts_of, hash_of)), "rec", "left").withColumn("gone", F.col("live").isNull())
+        if number and number % WHOLE == 0:
+            rest = _latest(spark, told, number - 1).join(touched, "rec", "left_anti")
+            out = out.unionByName(rest.withColumn("gone", F.lit(False)))
+        out.write.mode("overwrite").parquet(told(number))
 
     return facts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
@@ -66,11 +95,19 @@ def rows(state: Merged) -> DataFrame:
     return state.records.join(keys, "rec", "left").select("rec", "value", "live", F.coalesce("keys", F.lit("")).alias("keys"))
 
 
+def _latest(spark, told: Callable[[int], str], last: int) -> DataFrame:
+    """The state after batch last: versions since the last whole one."""
+    start = last - last % WHOLE
+    schema = "rec string, value string, live boolean, keys string, gone boolean"
+    parts = [spark.read.schema(schema).parquet(told(i)).withColumn("version", F.lit(i)) for i in range(start, last + 1)]
+    last_rows = reduce(DataFrame.unionByName, parts).groupBy("rec").agg(F.max_by(F.struct("value", "live", "keys", "gone"), "version").alias("s"))
+    return last_rows.where("NOT s.gone").select("rec", "s.value", "s.live", "s.keys")
+
+
 def current(spark, path: str) -> DataFrame:
     """The state that converge_stream has reached."""
-    told = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/records")
-    last = told.groupBy("rec").agg(F.max_by(F.struct("value", "live", "keys"), "version").alias("s"))
-    return last.select("rec", "s.*")
+    last = spark.read.parquet(f"{path}/records").agg(F.max("version")).first()[0]
+    return _latest(spark, versions(f"{path}/records"), last)
 
 
 def liveness(facts: DataFrame) -> DataFrame:
@@ -83,7 +120,8 @@ def liveness(facts: DataFrame) -> DataFrame:
 def replay_stream(facts: DataFrame) -> DataFrame:
     """T3: records as facts arrive, each batch's in order of replica and sequence: (rec, live, ts, keys), in update mode.
 
-    A record's state is its own row in the state store, whatever number of facts made it.
+    A record's state is its own row in the state store, whatever number of facts made it. C facts and links are not looked up here (both need
+    other rows than the record's own): streams that have any go through true_times and resolved first, or through converge_stream.
     """
     coded = facts.withColumn("key", key_encode(F.col("key"))).withColumn("keys", F.transform("keys", key_encode)).withColumn("ts", F.coalesce("ts", F.lit("")))
 
@@ -100,8 +138,9 @@ def replay_stream(facts: DataFrame) -> DataFrame:
 
 
 def without_replays(facts: DataFrame, at: str, delay: str) -> DataFrame:
-    """T5: replays within the watermark go; state is bounded by the delay."""
-    return facts.withWatermark(at, delay).dropDuplicatesWithinWatermark(["verb", "hash", "key", "ts", "value"])
+    """T5: replays within the watermark go; state is bounded by the delay. What a fact says includes its keys, in any order."""
+    told = facts.withColumn("sorted_keys", F.array_sort("keys")).withWatermark(at, delay)
+    return told.dropDuplicatesWithinWatermark(["verb", "hash", "key", "ts", "value", "sorted_keys"]).drop("sorted_keys")
 
 
 def forgetting(facts: DataFrame, at: str, delay: str) -> DataFrame:
@@ -109,6 +148,12 @@ def forgetting(facts: DataFrame, at: str, delay: str) -> DataFrame:
     return facts.where("verb = 'D'").withWatermark(at, delay).groupBy(F.window(at, "1 day"), "hash").agg(F.max("ts").alias("del_ts"))
 
 
+def tail(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """T8: (lines, rejects) of a store that grows by whole files of lines; a torn line is rejected, or kept short, alone."""
+    text = spark.readStream.option("lineSep", "\n").text(path)
+    return parse_lines(text.select(F.col("value").alias("line"), F.lit(0).cast("long").alias("ord")))
+
+
 def per_day(records: DataFrame, at: str, delay: str = "1 day") -> DataFrame:
     """T7: records per day."""
     return records.withWatermark(at, delay).groupBy(F.window(at, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
