@@ -69,14 +69,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_passes: in
     copies are put in one global order of that time and cut at the budget, the sum of all sizes.
 
     Returns doc_id, source, size, source_size, weight, target, taken (words, repeats counted), and
-    with carry all other columns of docs. Decided cases: a null or blank text has size 0 and
+    with carry all columns of docs, in one struct named row. Decided cases: a null or blank text has size 0 and
     takes 0; null sources form one source, last in order; rows that repeat are documents of their
-    own; an empty table gives no rows; extra columns are dropped or, with carry, kept, but those
-    whose names are taken by the results (src, size, taken, ...) are replaced. Order among equal hashes
+    own; an empty table gives no rows; extra columns, whatever their names, are dropped or, with carry, in row. Order among equal hashes
     is by doc_id and size; equal copies may swap, which changes no result but which of them is taken.
     """
-    own = {"src", "size", "source_size", "source_rows", "weight", "target", "taken", "h", "cum", "bucket", "offset"}
-    kept = [c for c in docs.columns if c not in {"doc_id", "source"} | own] if carry else []
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     h = F.xxhash64("doc_id", "source", "size", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1))
     base = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *kept).withColumn("h", h), "mix")
 
@@ -126,14 +124,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_passes: in
 
         some = (F.col("size") > 0) & (F.col("target") > 0)
         taken = F.when(some, sum((goes(i).cast("int") for i in range(1, max_passes)), goes(0).cast("int"))).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "weight", "target", (taken * F.col("size")).cast("long").alias("taken"), *kept)
+    return placed.select("doc_id", "source", "size", "source_size", "weight", "target", (taken * F.col("size")).cast("long").alias("taken"), *(["row"] if carry else []))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
+    """The mix itself: each document as often as it is taken, with the columns of docs, whatever their names."""
     rows = mix(docs, carry=True, **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return rows.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return rows.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

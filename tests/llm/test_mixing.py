@@ -68,3 +68,14 @@ def test_mixed_repeats_rows(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_columns_of_other_names(spark):
+    plain = spark.createDataFrame([(i, "a b c " * (i % 4 + 1), f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
+    names = ("h", "cum", "bucket", "source_rows", "its_source", "src", "offset", "copy", "row", "size", "taken", "target", "weight", "finish", "range", "run", "place")
+    odd = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in names])
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in mixing.mixed(plain).collect()) and rows
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
