@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let
+from .common import documents, let, maybe_in, saved, spread_join
 
 #: A boundary follows a line if the rolling hash over WINDOW line hashes is 0 modulo EVERY.
 WINDOW, EVERY = 2, 3
@@ -52,35 +52,33 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     the text itself). The place with the smallest (doc_id, position) stays. Returns docs with text replaced, and lines_in,
     lines_removed. Decided cases: a null text stays null with 0 lines, an empty text is one empty line; rows with a null
     doc_id have no place, so they count as repeats but are never cut; rows that repeat a doc_id and
-    position are both first, and both stay; columns named lines_in or lines_removed are replaced; an empty table
-    gives no rows. Hot chunks: counts are partial sums before the shuffle, and the joins can be split by AQE.
+    position are both first, and both stay; columns named lines_in or lines_removed are replaced, all others kept, whatever their
+    names; an empty table gives no rows. Hot chunks: counts are partial sums before the shuffle, and places of one chunk are dealt
+    over several tasks where they meet their first place.
     """
     kept = [c for c in docs.columns if c not in ("lines_in", "lines_removed")]
-    pieces = docs.select("doc_id", F.explode(line_chunks(F.col("text"))).alias("c")).select("doc_id", "c.*").where(F.col("n_lines") >= MIN_LINES)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"))
+    pieces = rows.select("doc_id", F.explode(line_chunks(F.col("text"))).alias("c")).select("doc_id", "c.*").where(F.col("n_lines") >= MIN_LINES)
     pieces = pieces.withColumn("key", F.xxhash64("chunk"))
-    # Hashes that occur again, as a map of MAP_BITS bits in words of 64, which has a row per word at most and goes to all
-    # tasks. Only pieces whose bit is set take their text along; a bit set by another hash costs a look at the bytes.
+    # Only pieces whose hash may occur again take their text along.
     again = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bit = F.pmod("key", F.lit(MAP_BITS))
-    bits = again.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    set_ = F.expr(f"shiftrightunsigned(bits, cast(pmod(key, {MAP_BITS}) & 63 as int)) & 1") == 1
-    seen = pieces.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(bits), "word").where(set_)
+    seen = saved(maybe_in(pieces, F.col("key"), again, F.col("key"), MAP_BITS), "lines-seen")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "pos"))).alias("first")
     same = seen.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1 AND first IS NOT NULL")
     gone = (
-        seen.join(same, ["key", "chunk"])
+        spread_join(seen, same, ["key", "chunk"], ["doc_id", "pos"])
         .where(F.col("doc_id").isNotNull() & (F.struct("doc_id", "pos") != F.col("first")))
         .groupBy(F.col("doc_id").alias("gone_id"))
         .agg(F.collect_set(F.struct("pos", "key")).alias("gone"))
     )
-    joined = docs.select(*kept).join(gone, F.col("doc_id") == F.col("gone_id"), "left")
+    joined = rows.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
     out = joined.withColumn("chunks", line_chunks(F.col("text")))
     stays = F.filter("chunks", lambda c: (c["n_lines"] < MIN_LINES) | ~F.array_contains("gone", F.struct(c["pos"].alias("pos"), F.xxhash64(c["chunk"]).alias("key"))))
     lines = lambda name: F.aggregate(name, F.lit(0), lambda a, c: a + c["n_lines"])
     out = out.withColumn("left", F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(stays))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.col("left")["chunk"], "\n"))
     return out.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in kept],
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
         lines("chunks").cast("long").alias("lines_in"),
         (lines("chunks") - lines("left")).cast("long").alias("lines_removed"),
     )

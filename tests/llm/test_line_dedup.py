@@ -40,3 +40,14 @@ def test_copies_lose_whole_text_and_rows_stay(spark):
     multi = sum(n for _, n, _ in chunks(spark, block) if n > 1)
     assert all(r.lines_removed == multi for r in out if r.doc_id != 0)
     assert D.line_dedup(frame.where("false")).count() == 0
+
+
+def test_columns_of_other_names(spark):
+    text = "\n".join(f"line {i} of many" for i in range(40))
+    plain = spark.createDataFrame([(1, text), (2, "x\n" + text), (3, None)], "doc_id long, text string")
+    names = ("gone", "gone_id", "chunks", "left", "row", "key", "chunk", "first", "pos", "n", "c", "n_lines", "seen", "bucket_", "part_", "word_", "kept a.b")
+    odd = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in names])
+    out = {r.doc_id: r for r in D.line_dedup(odd).collect()}
+    want = {r.doc_id: (r.text, r.lines_in, r.lines_removed) for r in D.line_dedup(plain).collect()}
+    assert {i: (r.text, r.lines_in, r.lines_removed) for i, r in out.items()} == want and want[2][2] > 0
+    assert all(r[c] == f"{c}{i}" for i, r in out.items() for c in names)
