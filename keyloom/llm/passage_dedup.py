@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, word_count
+from .common import documents, let, maybe_in, saved, spread_join, word_count
 from .line_dedup import MIN_LINES, ends
 
 #: A repeated passage of more words than this, over two lines or more, is found wherever it begins and ends.
@@ -89,35 +89,34 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
 
     def piece(all_: Column, r: Column) -> Column:
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), F.array_join(F.slice(all_, r["start"], r["end"] - r["start"] + 1), "\n").alias("piece"))
-
-    found = let(lines, lambda all_: F.transform(line_ranges(all_), lambda r: piece(all_, r)))
-    pieces = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("whole"), F.explode_outer(found).alias("c")).select("doc_id", "whole", "c.*")
-    # An inner explode lets the optimiser put filters on the array before it, which evaluate it again.
-    pieces = pieces.where("start IS NOT NULL").withColumn("key", F.xxhash64("piece"))
-    again = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bit = F.pmod("key", F.lit(MAP_BITS))
-    bits = again.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    set_ = F.expr(f"shiftrightunsigned(bits, cast(pmod(key, {MAP_BITS}) & 63 as int)) & 1") == 1
-    seen = pieces.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(bits), "word").where(set_)
+        return F.array_join(F.slice(all_, r["start"], r["end"] - r["start"] + 1), "\n")
+
+    keyed = let(lines, lambda all_: F.transform(line_ranges(all_), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(piece(all_, r)).alias("key"))))
+    # The ranges are found once and kept beside their text; only those whose hash may occur again become texts of their own.
+    whole = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("whole"), keyed.alias("ranges"))
+    whole = saved(whole, "passages")
+    again = whole.select(F.explode("ranges.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranges = maybe_in(whole.select("doc_id", "whole", "text", F.explode("ranges").alias("r")).select("doc_id", "whole", "text", "r.*"), F.col("key"), again, F.col("key"), MAP_BITS)
+    seen = saved(ranges.select("doc_id", "whole", "start", "end", "key", piece(lines, {"start": F.col("start"), "end": F.col("end")}).alias("piece")), "passages-seen")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "start"))).alias("first")
     same = seen.groupBy("key", "piece").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1 AND first IS NOT NULL").drop("n")
     first_end = F.col("first.start") + F.col("end") - F.col("start")
     over = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") <= first_end)
     cut = F.struct(F.when(over, first_end + 1).otherwise(F.col("start")).alias("start"), F.col("end").alias("end"))
     gone = (
-        seen.join(same, ["key", "piece"])
+        spread_join(seen, same, ["key", "piece"], ["doc_id", "start"])
         .where(F.col("doc_id").isNotNull() & (F.struct("doc_id", "start") != F.col("first")))
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("whole").alias("gone_whole"))
         .agg(F.collect_set(cut).alias("gone"))
     )
-    joined = docs.select(*kept).join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_whole")), "left")
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"))
+    joined = rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_whole")), "left")
     left = let(lines, lambda all_: let(_merged(F.col("gone")), lambda g: _left(all_, g)))
     out = joined.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
     return out.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in kept],
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
         n.alias("lines_in"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n - F.size("left")).cast("long").alias("lines_removed"),
     )
