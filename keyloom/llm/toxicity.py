@@ -14,10 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents
+from .common import ascii_lower, documents, saved, unused
 
-#: The bound on labelled rows that the fit takes: those with the smallest hash of doc_id.
-MAX_ROWS = 20_000
+#: The bounds on what the fit takes: labelled rows, those with the smallest hash of doc_id, and words, those that differ most between the
+#: classes. Whatever the texts' lengths, the driver gets MAX_ROWS lists of at most MAX_WORDS numbers.
+MAX_ROWS, MAX_WORDS = 20_000, 4096
 #: Weight of the squared change of score under a swap, of the ridge, passes of the fit; texts
 #: a word must be in, and standard errors by which its rates in the two classes must differ, to have a weight.
 SWAP_WEIGHT, RIDGE, PASSES, MIN_TEXTS, MIN_Z = 4.0, 1e-4, 300, 3, 4.0
@@ -84,16 +85,17 @@ def swaps(words: set[str]) -> list[tuple[list[str], list[str]]]:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_rows: int) -> pd.DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max_rows: int, max_words: int = MAX_WORDS) -> pd.DataFrame:
     """(features, swapped, toxic) of at most max_rows labelled rows outside the held-out fold.
 
-    Texts become features inside the tasks, so the driver only sees numbers: the hashes of each text's words, and those of its
-    counterfactuals. A doc_id labelled twice counts as toxic if either label is.
+    Texts become hashes of their words inside the tasks; these are counted by class with a shuffle, and only the max_words of them that
+    tell the classes apart best come to the driver, with the counterfactuals' words. A doc_id labelled twice counts as toxic if either
+    label is; of rows that repeat a doc_id the one with the smallest hash of its words is learnt from.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), folds) != held_out)
     marked = marked.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
-    rows = docs.select("doc_id", ascii_lower(F.col("text")).alias("text")).join(chosen, F.col("doc_id") == F.col("label_id"))
+    rows = docs.select("doc_id", ascii_lower(F.col("text")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -102,15 +104,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int,
                 {
                     "doc_id": frame["doc_id"],
                     "toxic": frame["toxic"].astype(float),
-                    "x": [np.unique([key_of(w) for w in ws]).astype(np.int64).tobytes() for ws in words],
-                    "gone": [[np.array([key_of(w) for w in a], np.int64).tobytes() for a, _ in swaps(ws)] for ws in words],
-                    "new": [[np.array([key_of(w) for w in b], np.int64).tobytes() for _, b in swaps(ws)] for ws in words],
+                    "x": [np.unique([key_of(w) for w in ws]).astype(np.int64) for ws in words],
+                    "gone": [[np.array([key_of(w) for w in a], np.int64) for a, _ in swaps(ws)] for ws in words],
+                    "new": [[np.array([key_of(w) for w in b], np.int64) for _, b in swaps(ws)] for ws in words],
                 }
             )
 
-    out = rows.mapInPandas(featured, "doc_id long, toxic double, x binary, gone array<binary>, new array<binary>")
-    # Repeated rows of a document add to the bound, so it is applied again.
-    return out.orderBy("doc_id", "x").limit(max_rows).toPandas()
+    out = rows.mapInPandas(featured, "doc_id long, toxic double, x array<long>, gone array<array<long>>, new array<array<long>>")
+    out = out.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("x", "gone", "new"), F.xxhash64("x")).alias("f")).select("doc_id", "toxic", "f.*")
+    out = saved(out, "toxicity-rows")
+    n, bad = out.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
+    if not 0 < bad < n:
+        return out.select("doc_id", "toxic").withColumns({c: F.array().cast(t) for c, t in (("x", "array<long>"), ("gone", "array<array<long>>"), ("new", "array<array<long>>"))}).toPandas()
+    seen, rate = F.col("n"), F.col("n") / n
+    z = (F.col("bad") / bad - (seen - F.col("bad")) / (n - bad)) / F.sqrt(rate * (1 - rate) * (1 / bad + 1 / (n - bad)))
+    counts = out.select("toxic", F.explode("x").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    telling = counts.where((seen >= MIN_TEXTS) & (seen < n)).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z - 1e-6)
+    words = np.sort(np.array([r["word"] for r in telling.orderBy(F.desc("z"), "word").limit(max_words).select("word").collect()], np.int64))
+
+    def known(keys: np.ndarray) -> list[int]:
+        keys = np.asarray(keys, np.int64)
+        return keys[np.isin(keys, words)].tolist()
+
+    def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            swapped = {c: [[known(k) for k in ks] for ks in frame[c]] for c in ("gone", "new")}
+            yield frame.assign(x=[known(k) for k in frame["x"]], **swapped)
+
+    return out.mapInPandas(narrowed, out.schema).orderBy("doc_id").toPandas()
 
 
 def fit(rows: pd.DataFrame) -> ToxicityModel:
@@ -121,9 +142,9 @@ def fit(rows: pd.DataFrame) -> ToxicityModel:
     y = rows["toxic"].to_numpy(float) if len(rows) else np.empty(0)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0 if not len(y) else (4.0 if y[0] else -4.0))
-    parts = [np.frombuffer(x, np.int64) for x in rows["x"]]
+    parts = [np.asarray(x, np.int64) for x in rows["x"]]
     flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    gone, new = ([np.frombuffer(x, np.int64) for row in rows[c] for x in row] for c in ("gone", "new"))
+    gone, new = ([np.asarray(x, np.int64) for row in rows[c] for x in row] for c in ("gone", "new"))
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum())
     # A word of few training texts, or about as frequent in both classes, says nothing; its weight stays 0. Only the other
     # words get a column, so that the passes below hold little.
@@ -184,7 +205,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: in
     """
     fitted = fit(training_rows(docs, labels, folds, held_out, max_rows))
     model = docs.sparkSession.sparkContext.broadcast(fitted)
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "lower")]
+    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    lower = unused("lower", docs)
     schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +214,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: in
         for batch in batches:
             if len(known) > 500_000:
                 known.clear()
-            scores = model.value.scores(batch.column("lower").to_pylist(), known)
+            scores = model.value.scores(batch.column(lower).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 
-    scored = docs.select(*kept, ascii_lower(F.col("text")).alias("lower")).mapInArrow(run, schema)
+    scored = docs.select(*kept, ascii_lower(F.col("text")).alias(lower)).mapInArrow(run, schema)
     return scored.withColumns({"held_out": fold(F.col("doc_id"), folds) == held_out, "predicted": ((F.col("score") >= 0.5) & F.lit(bool(fitted.weights))).cast("int")})
 
 

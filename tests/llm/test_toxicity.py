@@ -1,5 +1,8 @@
+import math
 import random
+import zlib
 
+import numpy as np
 import pandas as pd
 
 from keyloom.llm import toxicity as T
@@ -62,3 +65,62 @@ def test_nulls_empties_and_missing_labels(spark):
     assert len(rows) == 4 and {r.score for r in rows} == {0.5}
     assert T.toxicity(docs.where("false"), none).count() == 0
     assert T.fit(pd.DataFrame({"toxic": []})).bias == 0
+
+
+def test_columns_of_other_names(spark):
+    docs, labels = frames(spark, corpus(300, 4))
+    odd = docs.selectExpr("*", "1 AS lower", "2 AS label_id", "3 AS toxic", "4 AS score", "5 AS x")
+    out = T.toxicity(odd, labels)
+    assert out.columns == ["doc_id", "text", "lower", "label_id", "toxic", "x", "score", "held_out", "predicted"]
+    want = {r.doc_id: r.score for r in T.toxicity(docs, labels).collect()}
+    assert all((r.lower, r.label_id, r.toxic, r.x) == (1, 2, 3, 5) and r.score == want[r.doc_id] for r in out.collect())
+
+
+def brute_fit(rows):
+    """The same objective on a dense matrix, by plain gradient descent to the end."""
+    words = sorted({w for _, t, _ in rows for w in T.tokens(t)})
+    x = np.array([[w in T.tokens(t) for w in words] for _, t, _ in rows], float)
+    y = np.array([b for *_, b in rows], float)
+    n, total, bad = len(y), x.sum(0), x.T @ y
+    rate = np.clip(total / n, 1e-9, 1 - 1e-9)
+    z = (bad / y.sum() - (total - bad) / (n - y.sum())) / np.sqrt(rate * (1 - rate) * (1 / y.sum() + 1 / (n - y.sum())))
+    keep = (total >= T.MIN_TEXTS) & (np.abs(z) >= T.MIN_Z)
+    x, words = x[:, keep], [w for w, k in zip(words, keep, strict=True) if k]
+    at = {w: i for i, w in enumerate(words)}
+    swapped = []
+    for _, t, _ in rows:
+        for out, new in T.swaps(T.tokens(t)):
+            d = np.zeros(len(words))
+            for ws, sign in ((out, -1), (new, 1)):
+                for w in ws:
+                    if w in at:
+                        d[at[w]] += sign
+            swapped.append(d)
+    swapped = np.array(swapped).reshape(-1, len(words))
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    w, b = np.zeros(len(words)), 0.0
+    for _ in range(60_000):
+        err = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        pull = 2 * T.SWAP_WEIGHT * swapped.T @ (swapped @ w) / len(swapped) if len(swapped) else 0
+        w, b = w - 0.05 * (x.T @ err + T.RIDGE * w + pull), b - 0.05 * err.sum()
+    return dict(zip(words, w, strict=True)), b
+
+
+def test_scores_against_a_dense_fit(spark, monkeypatch):
+    monkeypatch.setattr(T, "RIDGE", 0.02)  # so that both fits come to rest
+    monkeypatch.setattr(T, "PASSES", 3000)
+    rows = corpus(240, 6)
+    docs, labels = frames(spark, rows)
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0]
+    weights, bias = brute_fit(learnt)
+    got = {r.doc_id: r.score for r in T.toxicity(docs, labels).collect()}
+    for i, text, _ in rows:
+        want = 1 / (1 + math.exp(-(bias + sum(weights.get(w, 0) for w in T.tokens(text)))))
+        assert abs(got[i] - want) < 1e-3
+
+
+def test_very_long_text(spark):
+    docs, labels = frames(spark, corpus(300, 5))
+    long = spark.createDataFrame([(10_000, "idiot " + " ".join(f"z{i}" for i in range(200_000)))], docs.schema)
+    rows = {r.doc_id: r for r in T.toxicity(docs.union(long), labels.union(spark.createDataFrame([(10_000, 1)], labels.schema))).collect()}
+    assert len(rows) == 301 and 0 <= rows[10_000].score <= 1
