@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, documents, let, saved
 
+#: Kinds that the contract's patterns give, and a kind that only the method finds: keys and tokens that a text holds in the clear.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 
 # Each pattern finds the same spans as the plain one of the contract, but possessively and never from inside a run, so
 # that long runs of digits or letters cost linear time and no stack.
@@ -25,19 +27,25 @@ WIDE = {
     "ip": r"(?:(?<![0-9A-Fa-f:])|\G)(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+",
     "card": r"(?:(?<![0-9])|\G)[0-9]{4}+(?:[\x20./-][0-9]{4}+){3}+(?![0-9])",
     "phone": r"(?:(?<![0-9A-Za-z+])|\G)(?:\([0-9]{2,4}+\)|[0-9]{2,4}+)(?:[\x20./-][0-9]{2,4}+){2,4}+(?![0-9])",
+    "secret": r"(?:(?<![A-Za-z0-9_+/-])|\G)[A-Za-z0-9_+/-]{20,}+",
 }
+#: The shape of a secret that is not a word: both letters and several digits.
+SECRET_SHAPE = r"^(?=.*[A-Za-z])(?:[^0-9]*[0-9]){4}"
 #: Words that stand near a kind's data, and parts of the data that speak for it.
 CONTEXT = {
     "email": ("mail", "contact", "write", "kontakt", "correo", "courriel"),
     "ip": ("server", "host", "address", "client", "login"),
     "card": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
+    "secret": ("token", "secret", "passw", "key", "auth", "bearer", "credential"),
 }
 GAZETTEER = {
-    "email": r"(?i)(?:com|net|org|edu|gov|info|de|fr|es|uk|io)$",
-    "ip": r"^(?:10|127|172|192)\.|^[0-9A-Fa-f]{1,4}:",
-    "card": r"^(?:4|5[1-5]|3[47]|6(?:011|5))",
-    "phone": r"^\+?(?:1|33|34|44|49|00)[^0-9]?|^\(",
+    # Generic top-level domains and those of countries, private and loopback networks, issuers of cards, country codes of phones, issuers of keys.
+    "email": r"(?i)\.(?:com|net|org|edu|gov|mil|int|info|biz|io|ai|app|dev|eu|ar|at|au|be|br|ca|ch|cl|cn|co|cz|de|dk|es|fi|fr|gr|hu|ie|il|in|it|jp|kr|mx|nl|no|nz|pe|pl|pt|ro|ru|se|tr|tw|ua|uk|us|za)$",
+    "ip": r"^(?:10|127|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168)\.|^(?:fe80|fc00|fd00|2001|2a0[0-9]):",
+    "card": r"^(?:4|5[1-5]|2(?:2[2-9]|[3-6]|7[01]|720)|3[47]|6(?:011|4[4-9]|5)|35(?:2[89]|[3-8])|62)",
+    "phone": r"^\+?(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|00)[^0-9]?|^\(",
+    "secret": r"^(?:AKIA|ASIA|AIza|gh[pousr]_|glpat-|xox[abprs]-|sk[-_]|pk[-_]|eyJ)|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$",
 }
 #: Code points before a span in which context words are sought.
 NEAR = 24
@@ -104,6 +112,8 @@ def _may_hold(text: Column, kind: str) -> Column:
     """A cheap look at the whole text: without these no pattern of the kind matches."""
     if kind == "email":
         return text.contains("@") | text.contains("(at)") | text.contains("[at]")
+    if kind == "secret":
+        return text.rlike("[A-Za-z0-9_+/-]{20}")
     return text.rlike("[0-9]") if kind != "phone" else text.contains("+") | text.rlike("[0-9]")
 
 
@@ -111,12 +121,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, row, kind, start, end, span, base, votes...): base spans, and wide ones that touch no base span of any kind."""
     none = F.array().cast("array<struct<start:int,end:int,span:string,before:string>>")
     frame = docs
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         may = _may_hold(F.col("text"), kind)
-        frame = frame.withColumn(f"base_{kind}", F.when(may, found(F.col("text"), BASE[kind])).otherwise(none))
+        frame = frame.withColumn(f"base_{kind}", F.when(may, found(F.col("text"), BASE[kind])).otherwise(none) if kind in BASE else none)
         frame = frame.withColumn(f"wide_{kind}", F.when(may, found(F.col("text"), WIDE[kind])).otherwise(none))
     frame = frame.drop("text")
-    spans = [_labelled(code, kind, base) for code, kind in enumerate(KINDS) for base in (True, False)]
+    spans = [_labelled(code, kind, base) for code, kind in enumerate(ALL_KINDS) for base in (True, False) if kind in BASE or not base]
     frame = frame.select("doc_id", "row", F.concat(*spans).alias("spans"))
 
     def apart(s: Column, bases: Column) -> Column:
@@ -139,7 +149,7 @@ def _labelled(code: int, kind: str, base: bool) -> Column:
 
 def _by_kind(cases: dict[str, Column]) -> Column:
     out = F.lit(0)
-    for code, kind in enumerate(KINDS):
+    for code, kind in enumerate(ALL_KINDS):
         out = F.when(F.col("kind") == code, cases[kind].cast("int")).otherwise(out)
     return out
 
@@ -152,15 +162,15 @@ def votes(spans: DataFrame) -> DataFrame:
     """
     length = F.length("span")
     digits = F.length(_digits(F.col("span")))
-    usual = {"email": length.between(6, 64), "ip": length.between(7, 39), "card": digits.between(15, 16), "phone": digits.between(10, 13)}
+    usual = {"email": length.between(6, 64), "ip": length.between(7, 39), "card": digits.between(15, 16), "phone": digits.between(10, 13), "secret": length.between(24, 72)}
     shape = F.substring(F.regexp_replace(F.regexp_replace("span", "[0-9]+", "9"), "[A-Za-z]+", "a"), 1, 12)
     return spans.select(
         "*",
-        F.col("base").cast("int").alias("v_pattern"),
-        _by_kind({k: F.col("span").rlike(GAZETTEER[k]) for k in KINDS}).alias("v_gazetteer"),
-        _by_kind({k: F.col("before").rlike("|".join(CONTEXT[k])) for k in KINDS}).alias("v_context"),
+        _by_kind({k: F.col("base") if k in BASE else F.col("span").rlike(SECRET_SHAPE) for k in ALL_KINDS}).alias("v_pattern"),
+        _by_kind({k: F.col("span").rlike(GAZETTEER[k]) for k in ALL_KINDS}).alias("v_gazetteer"),
+        _by_kind({k: F.col("before").rlike("|".join(CONTEXT[k])) for k in ALL_KINDS}).alias("v_context"),
         _by_kind(usual).alias("v_length"),
-        (F.col("before").rlike(r"[\s:<(]$") | (F.length("before") == 0)).cast("int").alias("v_free"),
+        (F.col("before").rlike(r"[\s:<(='\"]$") | (F.length("before") == 0)).cast("int").alias("v_free"),
         F.md5(shape.cast("binary")).substr(1, 2).alias("f_shape"),
         F.substring("before", -1, 1).rlike("[0-9A-Za-z]").cast("string").alias("f_before"),
     )
@@ -204,16 +214,17 @@ def find_pii(docs: DataFrame) -> DataFrame:
     to soft labels; a naive Bayes classifier over the span's features is trained on these by one aggregation (a bounded number of
     feature values) and decides on the spans that the contract's patterns don't give. Those that they give always stay.
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone (contract's spans), base_sha256 and spans (all: kind:start:end by start, then kind, joined by commas).
+    Returns doc_id, n_email, n_ip, n_card, n_phone (contract's spans), base_sha256 and spans (all: kind:start:end by start, then kind, joined by commas;
+    those of kind secret are the method's alone), n_added and n_spans.
     Decided cases: null and empty texts have no spans; rows that repeat are searched each; nothing depends on other columns; an added
     span never overlaps one of the contract's, and added spans of different kinds may overlap; an empty table gives no rows.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("row"))
     held = saved(candidates(texts), "pii-spans")
     rows = votes(held.select(F.explode("spans").alias("s")).select("s.*"))
-    votes_of = rows.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()  # 4 * 2 ** 5 rows at most
+    votes_of = rows.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()  # 5 * 2 ** 5 rows at most
     soft = {}
-    for code in range(len(KINDS)):
+    for code in range(len(ALL_KINDS)):
         counts = [(tuple(r[v] for v in LABELERS), r["n"]) for r in votes_of if r["kind"] == code]
         fitted = reliabilities(counts)
         soft |= {(code, *v): posterior(v, *fitted) for v, _ in counts}
@@ -222,7 +233,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     label = _lookup(["kind", *LABELERS], soft, 0.0)
     weighed = rows.withColumn("p", label)
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in FEATURES]))
-    sums = weighed.select("kind", "p", pairs.alias("x")).groupBy("kind", "x.f", "x.v").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # 4 * (2 * 6 + 256) rows at most
+    sums = weighed.select("kind", "p", pairs.alias("x")).groupBy("kind", "x.f", "x.v").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # 5 * (2 * 6 + 256) rows at most
     whole: dict[int, list[float]] = {}
     for r in sums:
         if r["f"] == FEATURES[0]:
@@ -245,7 +256,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     out = numbered.join(added, F.col("row") == F.col("of"), "left")
 
     def told(spans: Column) -> Column:
-        name = F.array(*map(F.lit, KINDS))
+        name = F.array(*map(F.lit, ALL_KINDS))
         return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
@@ -257,6 +268,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(told(F.col("b")), 256).alias("base_sha256"),
         told(F.concat("b", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("b") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 from keyloom.llm import pii
 
 from . import brute_pii
@@ -13,7 +15,7 @@ def check(rows, texts):
     for r in rows:
         counts, digest, told = brute_pii.base(texts[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == digest
-        assert set(told) <= set(r.spans.split(","))  or not told
+        assert set(told) <= set(r.spans.split(",")) or not told
 
 
 def test_odd_texts(spark):
@@ -30,7 +32,18 @@ def test_documents(spark):
 def test_labelers_add_spans(spark):
     rows = [(i, f"contact mail: user{i}@site{i}.com ok") for i in range(200)] + [(1000 + i, f"contact mail: user{i}(at)site{i}.com ok") for i in range(20)]
     out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(out[i].n_email == 1 for i in range(200)) and all(out[1000 + i].n_email == 0 for i in range(20))
+    assert all(out[i].n_email == 1 and out[i].n_spans == 1 for i in range(200))
+    for i in range(20):
+        start, end = 14, 14 + len(f"user{i}(at)site{i}.com")
+        assert out[1000 + i].n_email == 0 and out[1000 + i].spans == f"email:{start}:{end}"
+
+
+def test_secrets_are_told_from_long_words(spark):
+    rows = [(i, f'settings token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end') for i in range(40)]
+    rows += [(100 + i, "a path/of/long/words/without/end and Donaudampfschifffahrtsgesellschaft " + "x" * i) for i in range(40)]
+    out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].spans == "secret:18:58" and out[i].n_added == 1 for i in range(40))
+    assert all(out[100 + i].spans == "" and out[100 + i].n_spans == 0 for i in range(40))
 
 
 def test_em_tells_good_labelers_from_bad():
