@@ -21,6 +21,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Upper bound on the bytes of a rule file, since each executor holds a copy.
 MAX_RULE_BYTES = 1 << 30
 _VERDICTS = ("block", "allow")
+#: Rule files that went out already, by application.
+_SENT: set[tuple[str, str]] = set()
 
 
 def host_of(url: Column) -> Column:
@@ -39,39 +41,49 @@ def _rest(url: Column) -> Column:
 
 
 class DigestArray:
-    """Rules sorted by the 64-bit xxhash of host suffix and path prefix, in one flat file.
+    """Rules sorted by the 64-bit xxhash of host suffix and path prefix, in one flat file that is opened in constant time.
 
-    File: counts, digests, string offsets, verdicts, then the strings themselves. A probe is a binary search
-    for the digest; a hit counts only if the stored string is the probed one.
+    File: a head of counts; digests, string offsets and verdicts of the rules, then their strings; digests of the distinct host suffixes
+    and the lengths of the path prefixes that each has. A probe is a binary search for the digest; a hit counts only if the stored
+    string is the probed one.
     """
 
+    HEAD = 5  # rules, bytes of strings, hosts, lengths, labels of the longest host
+
     def __init__(self, path: str):
-        head = np.memmap(path, np.uint64, "r", 0, 1)
-        n = int(head[0])
-        self.digests = np.memmap(path, np.uint64, "r", 8, n) if n else np.empty(0, np.uint64)
-        self.offsets = np.memmap(path, np.uint64, "r", 8 + 8 * n, n + 1)
-        self.verdicts = np.memmap(path, np.uint8, "r", 16 + 16 * n, n) if n else np.empty(0, np.uint8)
-        size = int(self.offsets[-1])
-        self.text = np.memmap(path, np.uint8, "r", 16 + 17 * n, size) if size else np.empty(0, np.uint8)
-        keys = [self.key(i) for i in range(n)]
-        hosts = [k.partition("/")[0] for k in keys]
-        self.most_labels = max((h.count(".") + 1 for h in hosts), default=0)
-        self.path_lengths = sorted({len(k) - len(h) for k, h in zip(keys, hosts, strict=True)})
-
-    @staticmethod
-    def write(rules: Iterable[tuple[str, str]], path: str) -> None:
+        self.n, size, hosts, lengths, self.most_labels = (int(x) for x in np.memmap(path, np.uint64, "r", 0, self.HEAD))
+        at = 8 * self.HEAD
+
+        def mapped(kind: type, n: int) -> np.ndarray:
+            nonlocal at
+            start, at = at, at + n * np.dtype(kind).itemsize
+            return np.memmap(path, kind, "r", start, n) if n else np.empty(0, kind)
+
+        self.digests, self.offsets = mapped(np.uint64, self.n), mapped(np.uint64, self.n + 1)
+        self.hosts, self.ends, self.lengths = mapped(np.uint64, hosts), mapped(np.uint64, hosts + 1), mapped(np.uint64, lengths)
+        self.verdicts, self.text = mapped(np.uint8, self.n), mapped(np.uint8, size)
+
+    @classmethod
+    def write(cls, rules: Iterable[tuple[str, str]], path: str) -> None:
         """Of rules with the same key, the last one counts."""
         found = {k: v for k, v in dict(rules).items() if "/" in k}
         rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), _VERDICTS.index(v)) for k, v in found.items())
-        text = b"".join(k for _, k, _ in rows)
-        if len(text) + 17 * len(rows) > MAX_RULE_BYTES:
+        size = sum(len(k) for _, k, _ in rows)
+        by_host: dict[str, set[int]] = {}
+        for k in found:
+            host = k.partition("/")[0]
+            by_host.setdefault(host, set()).add(len(k) - len(host))
+        hosts = sorted((xxhash.xxh64_intdigest(h.encode()), sorted(n)) for h, n in by_host.items())
+        lengths = [n for _, ns in hosts for n in ns]
+        if size + 17 * len(rows) + 16 * len(hosts) + 8 * len(lengths) > MAX_RULE_BYTES:
             raise ValueError(f"the rules exceed {MAX_RULE_BYTES} bytes")
+        flat = lambda values: np.array(values, np.uint64).tobytes()
         with open(path, "wb") as f:
-            f.write(np.array([len(rows)], np.uint64).tobytes())
-            f.write(np.array([d for d, _, _ in rows], np.uint64).tobytes())
-            f.write(np.cumsum([0, *(len(k) for _, k, _ in rows)]).astype(np.uint64).tobytes())
+            f.write(flat([len(rows), size, len(hosts), len(lengths), max((h.count(".") + 1 for h in by_host), default=0)]))
+            f.write(flat([d for d, _, _ in rows]) + flat(np.cumsum([0, *(len(k) for _, k, _ in rows)])))
+            f.write(flat([d for d, _ in hosts]) + flat(np.cumsum([0, *(len(n) for _, n in hosts)])) + flat(lengths))
             f.write(np.array([v for _, _, v in rows], np.uint8).tobytes())
-            f.write(text)
+            f.write(b"".join(k for _, k, _ in rows))
 
     def key(self, i: int) -> str:
         return bytes(self.text[int(self.offsets[i]) : int(self.offsets[i + 1])]).decode()
@@ -87,14 +99,25 @@ class DigestArray:
             out[i] = next((j for j in range(lo[i], hi[i]) if self.key(j) == keys[i]), -1)
         return out
 
+    def suffixes(self, hosts: list[str]) -> dict[str, list[tuple[str, list[int]]]]:
+        """Of each distinct host, the suffixes that rules have and their path lengths. Each suffix is probed once."""
+        ends: dict[str, list[str]] = {}
+        for host in set(hosts):
+            labels = host.rsplit(".", self.most_labels)[-self.most_labels :] if host and self.most_labels else []
+            ends[host] = [".".join(labels[-k:]) for k in range(1, len(labels) + 1)]
+        asked = sorted({s for of in ends.values() for s in of})
+        digests = np.array([xxhash.xxh64_intdigest(s.encode()) for s in asked], np.uint64)
+        lo, hi = (np.searchsorted(self.hosts, digests, side) for side in ("left", "right"))
+        known = {asked[i]: self.lengths[int(self.ends[lo[i]]) : int(self.ends[hi[i]])].tolist() for i in np.flatnonzero(hi > lo)}
+        return {host: [(s, known[s]) for s in of if s in known] for host, of in ends.items()}
+
     def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str | None, str | None]]:
         """The longest rule that fits each host and path, and its verdict."""
+        places = self.suffixes(hosts)
         keys, owner = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            labels = host.rsplit(".", self.most_labels)[-self.most_labels :] if host and self.most_labels else []
-            for k in range(1, len(labels) + 1):
-                suffix = ".".join(labels[-k:])
-                for n in self.path_lengths:
+            for suffix, lengths in places[host]:
+                for n in lengths:
                     if len(path) >= n:
                         keys.append(suffix + path[:n])
                         owner.append(i)
@@ -117,11 +140,12 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, *, ur
     spark = pages.sparkSession
     rules = list(rules)
     name = "keyloom-urls-" + hashlib.sha256(repr(rules).encode()).hexdigest()[:20]
-    local = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(local):
-        DigestArray.write(rules, f"{local}.{os.getpid()}")
-        os.replace(f"{local}.{os.getpid()}", local)
-    spark.sparkContext.addFile(local)
+    if (spark.sparkContext.applicationId, name) not in _SENT:
+        # A folder of its own: no file that lies there already is taken for the rules.
+        local = os.path.join(tempfile.mkdtemp(prefix="keyloom-"), name)
+        DigestArray.write(rules, local)
+        spark.sparkContext.addFile(local)
+        _SENT.add((spark.sparkContext.applicationId, name))
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     schema = pages.select(*kept).withColumns({"host": F.lit(""), "path": F.lit(""), "rule": F.lit(None).cast("string"), "verdict": F.lit("")}).schema

@@ -27,3 +27,15 @@ def test_no_rules_and_no_pages(spark):
     row = U.url_filter(pages, []).first()
     assert (row.rule, row.verdict, row.host, row.extra) == (None, "allow", "a.net", "kept")
     assert U.url_filter(pages.where("false")).count() == 0
+
+
+def test_opening_reads_a_head_and_many_rules(tmp_path):
+    rules = [(f"h{i}.net/" + "p" * (i % 5), ("block", "allow")[i % 2]) for i in range(20_000)]
+    path = str(tmp_path / "rules")
+    U.DigestArray.write(rules, path)
+    array = U.DigestArray(path)
+    # Nothing but the head is copied to memory: all else is mapped.
+    assert all(isinstance(x, U.np.memmap) for x in (array.digests, array.offsets, array.hosts, array.ends, array.lengths, array.verdicts, array.text))
+    got = array.judge([f"www.h{i}.net" for i in range(500)], ["/ppppp"] * 500)
+    assert got == [(f"h{i}.net/" + "p" * (i % 5), ("block", "allow")[i % 2]) for i in range(500)]
+    assert array.judge(["h1.com", "net"], ["/", "/"]) == [(None, None)] * 2
