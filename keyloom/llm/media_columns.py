@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, saved, spread_join
 
 #: Chunk sizes in bytes: least, mean beyond the least (a power of two), most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 2048, 16384
@@ -170,7 +170,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
     The chunk store has each document's own chunks beside its chunk list, and every chunk that occurs more than once under its
     digest, once. Which digests occur more than once goes to all tasks as a map of MAP_BITS bits. Documents whose chunks are all their
-    own are read back by a scan; the others fetch the shared chunks by a join on the digest.
+    own are read back by a scan; the others fetch the shared chunks by a join on the digest, which deals a hot digest over tasks.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Decided cases: null is
     stored like the empty text, as 64 zeros; rows that repeat and rows with a null doc_id are stored each; equal texts give equal
@@ -190,9 +190,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     alone = rows.where(F.size("shared") == 0).withColumn("fetched", none)
     asked = rows.where(F.size("shared") > 0)
     fetched = (
-        asked.select("uid", F.explode("shared").alias("c"))
-        .select("uid", "c.pos", "c.digest")
-        .join(lent, "digest")
+        spread_join(asked.select("uid", F.explode("shared").alias("c")).select("uid", "c.pos", "c.digest"), lent, ["digest"], ["uid"])
         .groupBy(F.col("uid").alias("of"))
         .agg(F.collect_list(F.struct("pos", "chunk")).alias("fetched"))
     )

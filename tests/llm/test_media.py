@@ -1,5 +1,8 @@
 import hashlib
+import io
+import math
 import random
+import wave
 import zlib
 
 import pytest
@@ -8,10 +11,22 @@ from keyloom.llm import media_columns as M
 
 
 def want(text):
+    """The contract by the standard library and plain Python."""
     raw = (text or "").encode()
     payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-    media = M.wav(payload)
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), M.features(payload)
+    held = io.BytesIO()
+    with wave.open(held, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(1)
+        f.setframerate(8000)
+        f.writeframes(payload)
+    media = held.getvalue()
+    n = len(payload)
+    mean = sum(payload) / n
+    deviation = math.sqrt(math.fsum((x - mean) ** 2 for x in payload) / n)
+    changes = sum((x >= 128) != (y >= 128) for x, y in zip(payload, payload[1:])) / (n - 1)
+    feature = f"mean={mean:.4f};std={deviation:.4f};zcr={changes:.6f};peak={max(payload)}"
+    return len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def test_documents_come_back(spark):
@@ -52,3 +67,9 @@ def test_map_may_be_full(spark):
 
 def test_empty(spark):
     assert M.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_other_names(spark):
+    plain = spark.createDataFrame([(i, "text " * (i % 3 * 400)) for i in range(12)], "doc_id long, text string")
+    odd = plain.selectExpr("*", *[f"1 AS {c}" for c in ("uid", "digest", "chunk", "pos", "shared", "fetched", "own", "sizes", "feature")])
+    assert sorted(map(tuple, M.media_columns(odd).collect())) == sorted(map(tuple, M.media_columns(plain).collect()))
