@@ -5,14 +5,15 @@ The steps, each on all rows that the step before kept:
 1. Texts become sets of shingle hashes; texts with the same set are one class, which its smallest doc_id stands for.
 2. A class's signature has COORDINATES coordinates: the smallest hash among those with the same leading 8 bits. Coordinates without a
    hash are left out, so a short text's signature is nearly its set. A share of s of two classes' coordinates is expected to agree
-   at similarity s, with a deviation of 0.025 at most; classes link only if SHARE of the larger number agree, 4 deviations below 0.8.
+   at similarity s, with a deviation of 0.025 at most; classes link only if SHARE of those that either has agree, 4 deviations below 0.8.
 3. Post: every class is posted under each of its coordinate values; counts and the smallest holder (the hub) are one aggregation.
    Prefix: classes that agree in SHARE of their coordinates share one of the rarest 1 - SHARE of each, so only these stay posted.
    Skip: a value that no other class has is never posted. A template's values are common, so pages that only share it skip one another.
 4. Each posting list is joined to its hub instead of to all pairs; these pairs are confirmed on the full sets and merged to components.
-5. Lists that still span components are walked in pairs of blocks of bounded size. A task counts the agreeing coordinates of members of
-   different components on 4-bit sketches of their signatures, which never hides a pair of step 2, and tells each member's first
-   PARTNERS pairs. Blocks in which a member has more are compared on full sets inside the task, which tells links only.
+5. Lists that still span components are walked in pairs of blocks of bounded size, members of a list's largest component against the
+   others only. A task counts the agreeing coordinates on 4-bit sketches of the signatures, which never hides a pair of step 2, and tells
+   a spanning forest of the pairs that agree enough: fewer rows than members. Whatever such a forest joins is a family, in which every
+   document takes part once; families are walked like lists, on full sets, and a task tells only links that join what its earlier links don't.
    So no link between different texts is lost to the shortcut of step 4, and nobody emits all pairs of a list.
 """
 
@@ -31,8 +32,8 @@ from .words import WordHashes, hashes_of, slices
 
 #: Number of coordinates (by leading bits of a hash), and the percentage of them in which linked classes agree.
 COORDINATES, SHARE = 256, 70
-#: Members of a list that are compared with as many others at a time, and candidates told for each before sets are compared in the task.
-BLOCK, PARTNERS = 512, 16
+#: Members of a list that are compared with as many others at a time.
+BLOCK = 512
 #: Sizes of the maps of shared coordinate values, and of doc_ids whose sets are to be compared.
 VALUE_BITS, ID_BITS = 1 << 25, 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,15 +73,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(coordinates: np.ndarray) -> np.ndarray:
-    """A byte for each coordinate: 4 bits of its hash, above 15 for none."""
-    out = np.full(COORDINATES, 255, np.uint8)
-    out[(coordinates >> np.uint64(64 - COORDINATES.bit_length() + 1)).astype(np.int64)] = (coordinates & np.uint64(15)).astype(np.uint8)
-    return out
+    """4 bits for each coordinate: its hash modulo 15, and 15 for none; two to a byte."""
+    out = np.full(COORDINATES, 15, np.uint8)
+    out[(coordinates >> np.uint64(64 - COORDINATES.bit_length() + 1)).astype(np.int64)] = ((coordinates & np.uint64(0xFFFFFFFF)) % np.uint64(15)).astype(np.uint8)
+    return out[::2] << np.uint8(4) | out[1::2]
+
 
+class Sketches:
+    """Sketches of a group's members, by rows."""
 
-def needed(n: int) -> int:
-    """Agreeing coordinates without which a class of n coordinates links with none that has as many or fewer."""
-    return -(-SHARE * n // 100)
+    def __init__(self, packed: np.ndarray):
+        flat = np.empty((len(packed), COORDINATES), np.uint8)
+        flat[:, ::2], flat[:, 1::2] = packed >> np.uint8(4), packed & np.uint8(15)
+        self.flat, self.there = flat, flat < 15
+
+    def close(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """Those of rest that may agree with i in SHARE of the coordinates that either has."""
+        agree = ((self.flat[rest] == self.flat[i]) & self.there[i]).sum(1)
+        return rest[100 * agree >= SHARE * (self.there[rest] | self.there[i]).sum(1)]
 
 
 _KEY = ["n_shingles", "key_a", "key_b"]
@@ -165,16 +175,22 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(edges.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("component")))
 
 
-def _blocks(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (id, component, own) of the pairs of blocks (token, p, q) of lists that span components.
+def _blocks(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (id, component, own) of the pairs of blocks (token, p, q) of lists (token, id) that span components.
 
-    A list is dealt by id hash into blocks of about BLOCK members and every two blocks meet, so what a task holds at a time is bounded
-    however long the list is.
+    A list is dealt by id hash into blocks of about BLOCK members, its largest component and the rest apart, and every two blocks meet but
+    those of that component. So what a task holds at a time is bounded however long the list is, and members of a large component that
+    meet few others are sent once.
     """
-    labelled = posted.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    wide = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("sides")).where("x < y")
-    met = spread_join(labelled, wide.select("token", "sides"), ["token"], ["id"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-    both = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    labelled = lists.join(labels, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
+    sizes = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    wide = sizes.groupBy("token").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    side = lambda n: F.ceil(n / BLOCK).cast("int")
+    wide = wide.select("token", F.col("main.component").alias("main"), side(F.col("main.n")).alias("mains"), side(F.col("n") - F.col("main.n")).alias("others"))
+    met = spread_join(labelled, wide, ["token"], ["id"])
+    inside, deal = F.col("component") == F.col("main"), F.xxhash64("id")
+    met = met.withColumn("own", F.when(inside, F.pmod(deal, F.col("mains"))).otherwise(F.col("mains") + F.pmod(deal, F.col("others"))).cast("int"))
+    both = met.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
     return both.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
 
 
@@ -204,27 +220,22 @@ def _strangers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, boo
     return *(table.column(c).to_numpy() for c in ("id", "component", "own")), table.column("p")[0] != table.column("q")[0]
 
 
-def candidates(table: pa.Table) -> pa.RecordBatch:
-    """(token, p, q, a, b) of pairs that may agree enough; a row without a and b if a member has more than PARTNERS of them."""
+def forest(table: pa.Table) -> pa.RecordBatch:
+    """Pairs (a, b) of a group's members that may agree enough, as many as join all that such pairs join."""
     ids, comp, own, two = _strangers(table)
-    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
-    there = sketches < 255
-    size = there.sum(1)
-    a, b, more = [], [], False
+    sketches = Sketches(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), COORDINATES // 2))
+    top, found = np.arange(len(ids)), []
     for i in range(len(ids) - 1):
         rest = np.arange(i + 1, len(ids))
         able = comp[rest] != comp[i]
         if two:
             able &= own[rest] != own[i]
-        rest = rest[able]
-        agree = ((sketches[rest] == sketches[i]) & there[i]).sum(1)
-        good = rest[100 * agree >= SHARE * np.maximum(size[rest], size[i])]
-        more |= len(good) > PARTNERS
-        a += [int(ids[i])] * min(len(good), PARTNERS)
-        b += [int(x) for x in ids[good[:PARTNERS]]]
-    rows = [(*(table.column(c)[0].as_py() for c in ("token", "p", "q")), x, y) for x, y in [*zip(a, b, strict=True), *([(None, None)] if more else [])]]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["token", "p", "q", "a", "b"])
+        for j in sketches.close(i, rest[able]):
+            if top[i] != top[j]:
+                found.append((i, j))
+                top[top == top[j]] = top[i]
+    a, b = (ids[[f[k] for f in found]] if found else np.empty(0, np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _links(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
@@ -234,18 +245,15 @@ def _links(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
         ids, comp, own, two = _strangers(table)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets])
-        sketches = np.stack([sketch(signature(s)) for s in sets])
-        there, top = sketches < 255, comp.copy()
-        n = there.sum(1)
+        sketches = Sketches(np.stack([sketch(signature(s)) for s in sets]))
+        top = comp.copy()
         found: list[tuple[int, int]] = []
         for i in range(len(ids) - 1):
             rest = np.arange(i + 1, len(ids))
             able = (top[rest] != top[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
             if two:
                 able &= own[rest] != own[i]
-            rest = rest[able]
-            agree = ((sketches[rest] == sketches[i]) & there[i]).sum(1)
-            for j in rest[100 * agree >= SHARE * np.maximum(n[rest], n[i])]:
+            for j in sketches.close(i, rest[able]):
                 if top[i] != top[j] and _linked(sets[i], sets[j], percent):
                     found.append((int(ids[i]), int(ids[j])))
                     top[top == top[j]] = top[i]
@@ -267,18 +275,15 @@ def _sketched(signed: DataFrame) -> DataFrame:
 
 def _rest(posted: DataFrame, labels: DataFrame, signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between components whose members meet in a list, enough of them to join all that have any."""
-    group = ["token", "p", "q"]
     blocks = saved(_blocks(posted, labels), "dedup-blocks")
     sketches = _sketched(signed.join(blocks.select("id").distinct(), "id", "left_semi"))
-    found = _in_groups(blocks.join(sketches, "id"), candidates, "token long, p int, q int, a long, b long")
-    found = saved(found, "dedup-met")
-    pairs = saved(found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-candidates")
-    links = confirmed(pairs, sets_of(_ends(pairs)), percent)
-    full = blocks.join(found.where("a IS NULL").select(*group).distinct(), group)
-    if full.isEmpty():
-        return links
-    sets = sets_of(full.select(F.col("id").alias("class")).distinct())
-    return links.union(_in_groups(full.join(sets, "id"), _links(percent), "a long, b long"))
+    near = saved(_in_groups(blocks.join(sketches, "id"), forest, "a long, b long"), "dedup-near")
+    if near.isEmpty():
+        return near
+    families = components(near)
+    members = saved(_blocks(families.select(F.col("component").alias("token"), "id"), labels), "dedup-families")
+    sets = sets_of(members.select(F.col("id").alias("class")).distinct())
+    return _in_groups(members.join(sets, "id"), _links(percent), "a long, b long")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -75,9 +75,8 @@ def test_pages_of_one_template_do_not_meet(spark):
     assert M.near_duplicates(frame).where("kept").count() == n
 
 
-def test_a_component_in_more_pairs_than_are_told_at_once(spark, monkeypatch):
+def test_neighbours_in_a_ring_join(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 8)
-    monkeypatch.setattr(M, "PARTNERS", 1)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(100)]
     docs = []
