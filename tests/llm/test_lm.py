@@ -13,7 +13,7 @@ def check(rows, docs):
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4], rel=1e-9, abs=1e-9)
-        assert abs(r.score - w[5]) <= L.STEP * r.n_tokens
+        assert abs(r.score - w[5]) <= 2 * L.STEP * r.n_tokens + 1e-3
 
 
 def test_documents(spark):
@@ -23,7 +23,8 @@ def test_documents(spark):
 
 
 def test_small_batches_and_odd_texts(spark, monkeypatch):
-    monkeypatch.setattr(L, "BATCH_TOKENS", 4)
+    monkeypatch.setattr(L, "UNIT_TOKENS", 4)
+    monkeypatch.setattr(L, "ROOT", 1)
     docs = {i: t for i, t in enumerate(["a b a", None, "", "A  B\tc", "é É", "x" * 50_000, "the " * 3000, "a b", "new words only", "c\x0bd\x0ce", "z\x1cy"] * 3)}
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     check(L.score_texts(frame).collect(), docs)
@@ -37,32 +38,57 @@ def test_nulls_repeats_and_empty(spark):
     assert L.score_texts(frame.where("false")).count() == 0
 
 
-def test_elias_fano_round_trip(tmp_path):
-    rng = np.random.default_rng(1)
-    for values in ([], [0], [5, 5, 5], np.sort(rng.integers(0, 2**63, 1000, np.uint64)), np.arange(300), np.sort(rng.integers(0, 40, 500))):
-        values = np.array(values, np.uint64)
-        path = str(tmp_path / "level")
-        with open(path, "wb") as f:
-            f.write(b"head")
-            place = L.EliasFano.of(values).write(f)
-        level = L.EliasFano.mapped(path, place)
-        assert (level.values() == values).all()
-        assert (level.values(len(values) // 3, len(values) // 2) == values[len(values) // 3 : len(values) // 2]).all()
-
-
-def test_trie_finds_each_pair_in_its_range(tmp_path, monkeypatch):
-    monkeypatch.setattr(L.Trie, "PIECE", 7)
-    rng = np.random.default_rng(2)
-    words = np.unique(rng.integers(0, 2**63, 50, np.uint64))
-    sizes = rng.integers(1, 6, len(words))
-    before = np.concatenate([np.sort(rng.choice(100, n, replace=False)) for n in sizes]).astype(np.uint32)
-    values = rng.uniform(0, 5, len(before))
-    path = str(tmp_path / "trie")
-    trie = L.Trie(path, L.Trie.write(path, words, sizes, before, values))
-    all_words = np.repeat(words, sizes)
-    assert np.abs(trie.find(all_words, before) - values).max() <= L.STEP
-    known = set(zip(all_words.tolist(), before.tolist(), strict=True))
-    ask_w, ask_b = rng.choice(words, 500), rng.integers(0, 100, 500).astype(np.uint32)
-    got = trie.find(ask_w, ask_b)
-    assert all((g > 0) <= ((w, b) in known) for g, w, b in zip(got, ask_w.tolist(), ask_b.tolist(), strict=True))
-    assert (trie.find(np.array([1], np.uint64), np.array([1], np.uint32)) == 0).all()
+SEQUENCES = ([], [0], [5], [5, 5, 5], np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, np.uint64)), np.arange(300), np.sort(np.random.default_rng(2).integers(0, 40, 500)), [2**64 - 1], [0, 2**64 - 2])
+
+
+def mapped(tmp_path, values):
+    path = str(tmp_path / "level")
+    with open(path, "wb") as f:
+        f.write(b"head")
+        place = L.EliasFano.of(np.array(values, np.uint64)).write(f)
+    return L.EliasFano.mapped(path, place)
+
+
+@pytest.mark.parametrize("values", SEQUENCES, ids=range(len(SEQUENCES)))
+def test_elias_fano_finds_what_is_there(tmp_path, values):
+    values = np.array(values, np.uint64)
+    level = mapped(tmp_path, values)
+    got = level.find(values, 7)
+    assert (values[got] == values).all() and (got >= 0).all()
+    asked = np.unique(np.r_[values + np.uint64(1), values - np.uint64(1), np.random.default_rng(3).integers(0, 2**63, 200, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    there = np.isin(asked, values)
+    got = level.find(asked, 11)
+    assert ((got >= 0) == there).all() and (values[got[there]] == asked[there]).all()
+
+
+class Counted:
+    """An array that counts the bytes taken from it."""
+
+    def __init__(self, held):
+        self.held, self.taken = held, 0
+
+    def __getitem__(self, i):
+        got = self.held[i]
+        self.taken += np.asarray(got).nbytes
+        return got
+
+
+def test_a_probe_touches_few_bytes(tmp_path):
+    values = np.sort(np.random.default_rng(4).integers(0, 2**50, 300_000, np.uint64))
+    level = mapped(tmp_path, values)
+    level.low, level.high = Counted(level.low), Counted(level.high)
+    assert level.find(values[1234:1235])[0] >= 0 and level.find(np.array([7], np.uint64))[0] == -1
+    assert level.low.taken + level.high.taken < 1000
+
+
+def test_rows_grow_with_the_tokens(spark, monkeypatch):
+    """A batch and a shard grow with the root of the tokens, so four times the text is about four times the rows, not sixteen times."""
+    monkeypatch.setattr(L, "UNIT_TOKENS", 1)
+    monkeypatch.setattr(L, "LEAST_SHARDS", 1)
+    rows = []
+    frequent = spark.sparkContext.broadcast((np.zeros(1, np.uint64),))
+    for n in (250, 1000):
+        frame = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + k * k) % 5000}" for k in range(40)), False) for i in range(n)], "doc_id long, text string, held_out boolean").coalesce(1)
+        unit = L.ROOT * int((41 * n) ** 0.5)
+        rows.append(L._sent(frame, frequent, 1 + 41 * n // unit, unit).count())
+    assert rows[1] < 6 * rows[0]
