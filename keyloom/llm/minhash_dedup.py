@@ -34,7 +34,7 @@ from .words import WordHashes, hashes_of, slices
 COORDINATES, SHARE = 256, 70
 #: Members of a list that are compared with as many others at a time.
 BLOCK = 512
-#: Sizes of the maps of shared coordinate values, and of doc_ids whose sets are to be compared.
+#: Sizes of the maps of coordinate values that are shared, and of doc_ids whose sets are compared.
 VALUE_BITS, ID_BITS = 1 << 25, 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,22 +119,67 @@ def _sets(docs: DataFrame, shingle: int, kind: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key_a long, key_b long, {kind} {'array<long>' if kind == 'sig' else 'binary'}")
 
 
+def _needed(n):
+    """Coordinates of n that agree with a class that links: all but the prefix and one more. Of a column or an array."""
+    return (n * SHARE + 99) // 100 if isinstance(n, np.ndarray) else F.ceil(n * SHARE / 100).cast("int")
+
+
+def _shared_tokens(signed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, token) of the coordinates that may be shared, of classes whose prefix may hold any of them; nothing is shuffled.
+
+    Shared values go to all tasks as a map of VALUE_BITS bits. A class with more values outside the map than its prefix is long is left out.
+    A full map leaves nothing out, which costs what a join of all values would.
+    """
+    place = F.pmod("token", F.lit(VALUE_BITS))
+    words = shared.select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    held = words.toPandas()  # VALUE_BITS / 64 rows at most
+    filled = np.zeros(VALUE_BITS >> 6, np.int64)
+    filled[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    known = signed.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = batch.column("sig")
+            size = sig.value_lengths().to_numpy(zero_copy_only=False)
+            token, row = sig.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            bit = (token % VALUE_BITS).astype(np.uint64)
+            met = (known.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+            own = size - np.bincount(row[met], minlength=len(size))
+            met &= (own < size - _needed(size) + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[row[met]]), pa.array(token[met])], ["id", "token"])
+
+    return signed.select("id", "sig").mapInArrow(run, "id long, token long")
+
+
 def prefixes(signed: DataFrame) -> DataFrame:
-    """(id, n, prefix) of classes (id, n, sig): array<struct<count, token, hub>> of the rarest coordinates, less those it alone has.
+    """(id, prefix) of classes (id, n, sig): array<struct<count, token, hub>> of the rarest coordinates, less those it alone has.
 
     Order is by count, then value, for all classes alike.
     """
-    tokens = signed.select("id", F.explode("sig").alias("token"))
+    tokens = signed.select(F.explode("sig").alias("token"), "id")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("hub")).where("count > 1")
     shared = saved(shared, "dedup-shared")
-    some = maybe_in(tokens, F.col("token"), shared, F.col("token"), VALUE_BITS)
+    some = _shared_tokens(signed, shared)
     met = spread_join(some, shared, ["token"], ["id"], n="count").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token", "hub"))).alias("met"))
     # The coordinates that a class alone has come first in its prefix.
-    length = F.col("n") - F.ceil(F.col("n") * SHARE / 100).cast("int") + 1
+    length = F.col("n") - _needed(F.col("n")) + 1
     prefix = F.slice("met", F.lit(1), F.greatest(length - (F.col("n") - F.size("met")), F.lit(0)))
     return met.join(signed.select("id", "n"), "id").select("id", prefix.alias("prefix")).where(F.size("prefix") > 0)
 
 
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may agree in SHARE of their coordinates, by their sketches."""
+    one, two = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"of_{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (Sketches(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES // 2)) for c in ("of_a", "of_b"))
+            agree = ((x.flat == y.flat) & x.there).sum(1)
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(100 * agree >= SHARE * (x.there | y.there).sum(1))))
+
+    return spread_join(pairs, one, ["a"], ["b"]).join(two, "b").mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that agree in SHARE of their coordinates, with 100 * intersection >= percent * union on the full sets."""
     one, two = (classes.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
@@ -332,10 +377,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) ->
         ids = saved(named.join(classes, "class"), "dedup-wanted")
         some = maybe_in(docs, F.xxhash64("doc_id"), ids, F.xxhash64("doc_id"), ID_BITS)
         own = _sets(some, shingle, "shingles").join(ids, [*key, "doc_id"])
-        return saved(own.select(F.col("class").alias("id"), "shingles").dropDuplicates(["id"]), "dedup-sets")
+        # Rows that repeat are alike; they meet where the join has put them.
+        own = own.groupBy(*key, "doc_id").agg(F.first("class").alias("id"), F.first("shingles").alias("shingles"))
+        return saved(own.select("id", "shingles"), "dedup-sets")
 
     hubs = F.filter(F.array_distinct(F.col("prefix")["hub"]), lambda h: h != F.col("id"))
     star = saved(prefix.select(F.explode(hubs).alias("a"), F.col("id").alias("b")), "dedup-star")
+    ends = _sketched(signed.join(_ends(star).withColumnRenamed("class", "id"), "id", "left_semi"))
+    star = saved(_close(star, ends), "dedup-close")
     labels = saved(components(confirmed(star, sets_of(_ends(star)), percent)), "dedup-labels")
     posted = prefix.select(F.explode("prefix").alias("t"), "id").select(F.col("t")["token"].alias("token"), "id")
     more = saved(_rest(posted, labels, signed, sets_of, percent), "dedup-more")
