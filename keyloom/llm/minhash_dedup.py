@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,8 @@ COORDINATES, SHARE = 256, 70
 #: Members of a list that are compared with as many others at a time.
 BLOCK = 512
 #: Sizes of the maps of coordinate values that are shared, and of doc_ids whose sets are compared.
-VALUE_BITS, ID_BITS = 1 << 25, 1 << 23
+VALUE_BITS, ID_BITS = 1 << 24, 1 << 23
+_PAGE = 1 << 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,10 +134,17 @@ def _shared_tokens(signed: DataFrame, shared: DataFrame) -> DataFrame:
     """
     place = F.pmod("token", F.lit(VALUE_BITS))
     words = shared.select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
-    held = words.toPandas()  # VALUE_BITS / 64 rows at most
-    filled = np.zeros(VALUE_BITS >> 6, np.int64)
-    filled[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
-    known = signed.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(_PAGE, np.int64)
+        out[frame["word"].to_numpy() % _PAGE] = frame["bits"].to_numpy()
+        return pd.DataFrame({"page": [int(frame["word"].iat[0]) // _PAGE], "bits": [out.tobytes()]})
+
+    pages = words.groupBy(F.floor(F.col("word") / _PAGE)).applyInPandas(packed, "page int, bits binary").collect()  # VALUE_BITS / 8 bytes at most
+    filled = np.zeros(VALUE_BITS >> 6, np.uint64)
+    for page in pages:
+        filled[page.page * _PAGE : (page.page + 1) * _PAGE] = np.frombuffer(page.bits, np.uint64)
+    known = signed.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
