@@ -183,6 +183,19 @@ def edit_state(state: State, edits: DataFrame, as_of: str) -> State:
     return state._replace(lines=lines, ktomb=ktomb, katt=katt, mts=_clock(state.mts, edited, as_of))
 
 
+def set_value_state(state: State, edits: DataFrame, as_of: str) -> State:
+    """The whole state after the accepted ones of edits (id, old, new); they stamp the edit clock."""
+    done = set_value(state.lines, state.tomb, edits).where("status = 0")
+    return state._replace(lines=apply_set_value(state.lines, done), mts=_clock(state.mts, done.select("id").distinct(), as_of))
+
+
+def delete_ids_state(state: State, ids: DataFrame, as_of: str) -> State:
+    """The whole state after delete_ids: clocks and attachments of the records that it deletes are cleared."""
+    gone = ids.select("id").distinct().join(state.tomb.select("id").distinct(), "id", "left_anti").join(state.lines.select("id").distinct(), "id", "left_semi")
+    off = lambda df: df.join(gone, "id", "left_anti")
+    return state._replace(tomb=delete_ids(state.lines, state.tomb, ids, as_of), katt=off(state.katt), mts=off(state.mts), sts=off(state.sts))
+
+
 def delete_under_state(state: State, key: str, as_of: str) -> State:
     """The whole state after delete_under: one new tombstone per record under key, clocks and attachments of those records cleared."""
     ids = delete_under(state.lines, state.tomb, key, as_of).select("id")

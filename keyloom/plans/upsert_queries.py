@@ -152,6 +152,22 @@ def untag_facts(spark, sf):
     return _facts(U.untag_state(T.orders_state(spark, sf), "3-MEDIUM", "2024-05-05T00:00:00Z"))
 
 
+@query(W + f"""{_HASHED}, gone AS (SELECT id FROM base WHERE id % 9 = 0 AND id NOT IN (SELECT id FROM tomb)), tomb2 AS (SELECT id, ts, hash FROM tomb UNION ALL SELECT id, {_AS_OF}, hash FROM hashed WHERE id IN (SELECT id FROM gone)),
+ktomb2 AS (SELECT * FROM ktomb), katt2 AS (SELECT * FROM katt WHERE id NOT IN (SELECT id FROM gone)), mts2 AS (SELECT * FROM mts WHERE id NOT IN (SELECT id FROM gone)) {_KINDS} UNION ALL SELECT 'sts', id, NULL, ts, NULL FROM sts WHERE id NOT IN (SELECT id FROM gone)""")
+def delete_ids_facts(spark, sf):
+    s = T.orders_state(spark, sf)
+    out = U.delete_ids_state(s, s.lines.where("id % 9 = 0").select("id"), "2024-05-05T00:00:00Z")
+    none = F.lit(None).cast("string")
+    return _facts(out).unionByName(out.sts.select(F.lit("sts").alias("kind"), "id", none.alias("key"), "ts", none.alias("hash")))
+
+
+@query(W + f""", {_SET}, done AS (SELECT DISTINCT e.id FROM edits e JOIN live l ON l.id = e.id AND l.value = e.old LEFT JOIN lines o ON o.value = e.new WHERE NOT contains(e.new, chr(10)) AND (o.id IS NULL OR o.id = e.id)),
+tomb2 AS (SELECT * FROM tomb), ktomb2 AS (SELECT * FROM ktomb), katt2 AS (SELECT * FROM katt), mts2 AS (SELECT id, ts FROM mts WHERE id NOT IN (SELECT id FROM done) UNION ALL SELECT id, {_AS_OF} FROM done) {_KINDS}""")
+def set_value_facts(spark, sf):
+    s = T.orders_state(spark, sf)
+    return _facts(U.set_value_state(s, _set_edits(s), "2024-05-05T00:00:00Z"))
+
+
 @query(W + "SELECT id, ts, array_to_string(keys, ' ') AS keys, value, ord FROM shown")
 def compact_lines(spark, sf):
     s = T.orders_state(spark, sf)
