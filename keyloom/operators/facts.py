@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, ts_next_second
 from ..schema import State
+from ..spread import spread_join
 from . import views
 
 #: Facts of one replica that are ordered together.
@@ -120,9 +121,9 @@ def link_heads(facts: DataFrame, hash_of=content_hash) -> DataFrame:
 
 
 def resolved(facts: DataFrame, hash_of=content_hash) -> DataFrame:
-    """Facts with rec, the hash of their record, through any of its links."""
-    heads = link_heads(facts, hash_of)
-    return facts.join(heads, F.col("hash") == F.col("link"), "left").withColumn("rec", F.coalesce("head", "hash")).drop("link", "head")
+    """Facts with rec, the hash of their record, through any of its links. Facts of one busy record are dealt over tasks."""
+    heads = link_heads(facts, hash_of).withColumnRenamed("link", "hash")
+    return spread_join(facts, heads, ["hash"], ["replica", "seq"], "left").withColumn("rec", F.coalesce("head", "hash")).drop("head")
 
 
 def distinct_facts(facts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, key_encode
 from ..sources.readers import latest_bundles, parse_facts, payload_lines
+from ..spread import spread_join
 from .facts import resolved, true_times
 
 
@@ -42,7 +43,7 @@ def converge(facts: DataFrame, hash_of=content_hash) -> Merged:
     live = F.col("add_ts").isNotNull() & F.coalesce(F.col("add_ts") > F.col("del_ts"), F.lit(True))
     records = dead.withColumn("live", live).select("rec", "value", "add_ts", "del_ts", "live")
 
-    told = known.where(F.col("verb").isin("A", "K", "T")).join(records.where("live").select("rec", "del_ts"), "rec")
+    told = spread_join(known.where(F.col("verb").isin("A", "K", "T")), records.where("live").select("rec", "del_ts"), ["rec"], ["replica", "seq"])
     stays = (F.col("verb") == "K") | F.coalesce(F.col("ts") > F.col("del_ts"), F.lit(True))
     names = F.when(is_("A"), F.col("keys")).otherwise(F.array("key"))
     each = told.where(stays).select("rec", "verb", "ts", "true_ts", F.explode(names).alias("key")).withColumn("key", key_encode(F.col("key")))
