@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import fresh
+from ..spread import spread_join
+
+__all__ = ["ascii_lower", "documents", "let", "maybe_in", "saved", "spread_join", "unused", "word_count"]
 
 #: A word of the contracts: a longest run without blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,27 +44,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Parts of the key space whose rows are counted to find hot keys, and rows of a part below which it is not split.
-SPREAD_BUCKETS, SPREAD_ROWS = 1 << 12, 256
-
-
-def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: list[str], how: str = "inner", n: str | None = None) -> DataFrame:
-    """rows joined to other on keys, of which a few may hold most of rows.
-
-    Rows are counted by SPREAD_BUCKETS hashes of their keys; other may hold these numbers already, in the column n. A bucket of over four times the average is dealt over several tasks by
-    the columns spread, and other's rows of that bucket go to each of these. At most a quarter more of other is sent for each of the few
-    buckets that can be that large. What is broadcast has a row for a bucket at most.
-    """
-    bucket = lambda: F.pmod(F.xxhash64(*keys), F.lit(SPREAD_BUCKETS)).cast("int")
-    counts = (other if n else rows).groupBy(bucket().alias("bucket_")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n_"))
-    most = F.greatest(F.lit(SPREAD_ROWS), 4 * F.sum("n_").over(Window.partitionBy()) / SPREAD_BUCKETS)
-    hot = counts.withColumn("parts_", F.ceil(F.col("n_") / most).cast("int")).where("parts_ > 1").select("bucket_", "parts_")
-    parts = F.coalesce("parts_", F.lit(1))
-    dealt = rows.withColumn("bucket_", bucket()).join(F.broadcast(hot), "bucket_", "left").withColumn("part_", F.pmod(F.xxhash64(*spread), parts).cast("int"))
-    copies = other.withColumn("bucket_", bucket()).join(F.broadcast(hot), "bucket_", "left").withColumn("part_", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.drop("bucket_", "parts_").join(copies.drop("bucket_", "parts_"), [*keys, "part_"], how).drop("part_")
-
-
 def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int) -> DataFrame:
     """Rows whose key is among keys' own, and a few others; rows stay where they are.
 
