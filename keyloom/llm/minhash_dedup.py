@@ -36,7 +36,7 @@ COORDINATES, SHARE = 256, 70
 #: Members of a list that are compared with as many others at a time.
 BLOCK = 512
 #: Sizes of the maps of coordinate values that are shared, and of doc_ids whose sets are compared.
-VALUE_BITS, ID_BITS = 1 << 24, 1 << 23
+VALUE_BITS, ID_BITS = 1 << 26, 1 << 23
 _PAGE = 1 << 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
