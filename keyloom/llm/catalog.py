@@ -10,6 +10,7 @@ from .mixing import op1_mixing
 from .passage_dedup import op8_passage_dedup
 from .pii import op4_pii
 from .sentencepiece_bpe import op2_sentencepiece
+from .sharding import op11_sharding
 from .topk_search import OP3_SQL, op3_topk
 from .toxicity import op9_toxicity
 from .url_filters import OP6_SQL, op6_url_filters
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
+    "op11_sharding": op11_sharding,
 }
 
 ORACLES = {
