@@ -9,6 +9,7 @@ from .minhash_dedup import op5_minhash_dedup
 from .mixing import op1_mixing
 from .passage_dedup import op8_passage_dedup
 from .pii import op4_pii
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .sentencepiece_bpe import op2_sentencepiece
 from .sharding import op11_sharding
 from .topk_search import OP3_SQL, op3_topk
@@ -28,10 +29,12 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
     "op11_sharding": op11_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
     "op3_topk": OP3_SQL,
     "op6_url_filters": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
