@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP12_SQL, op12_collocations
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .lm_scoring import op7_lm_scoring
 from .media_columns import op10_media
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
     "op11_sharding": op11_sharding,
+    "op12_collocations": op12_collocations,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -36,5 +38,6 @@ ORACLES = {
     "op3_topk": OP3_SQL,
     "op6_url_filters": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
