@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, saved, spread_join
 
-#: A-Z lower-cased, and what ends a piece made a line end.
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
-_BLANK = re.compile(rb"[ \t\n]")
-#: Bytes of a text that are split at once, and tokens after which a task emits its stripes.
-WINDOW, CHUNK = 1 << 22, 1 << 21
+#: A-Z lower-cased, and what ends a piece made a full stop, which no word holds.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
+_BLANK = re.compile(rb"[ \t.]")
+#: Bytes of a text that are split at once, and bytes after which a task emits its stripes.
+WINDOW, CHUNK = 1 << 22, 1 << 24
+#: Entries of stripes that are merged at once.
+ENTRIES = 1 << 20
 #: Bits of the map of frequent phrases.
 BITS = 1 << 26
 #: Parts of the empty prefix's stripe. Of other prefixes those with over 1 / HOT of all words, and over HOT_WORDS, have parts in proportion.
@@ -47,75 +49,80 @@ def _hash(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data)
 
 
-class Words(dict):
-    """Numbers of one language's words in a chunk; all languages share the numbering."""
+def _distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, all below bound, in order, and where each of values is among them."""
+    if bound > 4 * len(values):
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(bound, bool)
+    there[values] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[values]
 
-    def __init__(self, lang: str, chunk: Chunk):
-        self.lang, self.chunk = lang, chunk
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.chunk.words)
-        self.chunk.words.append(word)
-        self.chunk.langs.append(self.lang)
-        return n
+class Chunk:
+    """Tokens of some rows (language, folded text, words that were counted before).
 
+    words are distinct by language, with their number in langs; flat has the number of each token's word, -1 ends a piece. Places in old give context only.
+    """
 
-class Chunk:
-    """Tokens of some texts as numbers of (language, word); -1 ends a piece. Places in old were counted in the chunk before and give context only."""
-
-    def __init__(self) -> None:
-        self.words: list[bytes] = []
-        self.langs: list[str] = []
-        self.of: dict[str, Words] = {}
-        self.flat: list[int] = []
-        self.old = 0
-
-    def numbers(self, lang: str) -> Words:
-        if lang not in self.of:
-            self.of[lang] = Words(lang, self)
-        return self.of[lang]
-
-    def followed(self, lang: str, most: int) -> Chunk:
-        """The next chunk, which starts with up to most last words of this one's open piece."""
-        tail: list[int] = []
-        for x in reversed(self.flat[-most:] if most else []):
-            if x < 0:
-                break
-            tail.append(x)
-        out = Chunk()
-        out.flat = [out.numbers(lang)[self.words[x]] for x in reversed(tail)]
-        out.old = len(out.flat)
-        return out
+    def __init__(self, rows: list[tuple[str, bytes, int]]):
+        self.names = sorted({r[0] for r in rows})
+        number = {x: i for i, x in enumerate(self.names)}
+        texts = pa.array([r[1] + b"." for r in rows], pa.large_binary()).view(pa.large_string())
+        split = pa.compute.ascii_split_whitespace(pa.compute.replace_substring(texts, pattern=".", replacement=" . "))
+        encoded = split.flatten().dictionary_encode()
+        at, known = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+        row = np.repeat(np.arange(len(rows)), pa.compute.list_value_length(split).to_numpy())
+        full = at != pa.compute.index(known, "").as_py()  # blanks at an end
+        at, row = at[full], row[full]
+        lang = np.array([number[r[0]] for r in rows], np.int64)[row]
+        word = at != pa.compute.index(known, ".").as_py()
+        codes, of = _distinct(lang[word] * len(known) + at[word], len(self.names) * len(known))
+        self.flat = np.full(len(at), -1, np.int64)
+        self.flat[word] = of
+        self.langs, own = codes // max(len(known), 1), codes % max(len(known), 1)
+        self.words = known.take(pa.array(own)).cast(pa.string())
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known.to_pylist()), np.uint64, len(known))
+        self.plain = hashes[own]
+        self.old = np.zeros(len(at), bool)
+        for i, (_, _, n) in enumerate(rows):
+            if n:
+                first = int(np.searchsorted(row, i))
+                self.old[first : first + n] = True
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """Hashes of the phrases that are one word."""
+        return _mixed(np.array([_hash(x.encode()) for x in self.names], np.uint64)[self.langs], self.plain)
+
+
+def windows(data: bytes, context: int) -> Iterator[tuple[bytes, int]]:
+    """A folded text in parts of WINDOW bytes, cut between words. The last words of an open piece stand in front of the next part again; their number follows."""
+    start, before = 0, b""
+    while start < len(data) or not start:
+        stop = start + WINDOW
+        if stop < len(data):
+            stop = m.start() if (m := _BLANK.search(data, stop)) else len(data)
+        tail = before.rpartition(b".")[2].split()[-context:] if context and start else []
+        before = b" ".join([*tail, data[start:stop]])
+        yield before, len(tail)
+        start = max(stop, 1)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], context: int) -> Iterator[Chunk]:
-    """Tokens of (lang, text) rows, CHUNK at a time or little more. A text is split WINDOW bytes at a time, its pieces are not cut thereby."""
-    chunk = Chunk()
+    """Tokens of (lang, text) rows, CHUNK bytes at a time or little more."""
+    rows: list[tuple[str, bytes, int]] = []
+    size = 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
             raw = text.as_buffer()
-            data = memoryview(raw) if raw is not None else memoryview(b"")
-            start = 0
-            while start < len(data):
-                stop = start + WINDOW
-                part = bytes(data[start:stop])
-                while stop < len(data) and not _BLANK.search(more := bytes(data[stop : stop + WINDOW]).translate(_FOLD)):
-                    part, stop = part + more, stop + WINDOW  # a word longer than a window
-                if stop < len(data):
-                    cut = _BLANK.search(more).start()
-                    part, stop = part + more[:cut], stop + cut
-                of = chunk.numbers(lang).__getitem__
-                for k, piece in enumerate(part.translate(_FOLD).split(b"\n")):
-                    if k:
-                        chunk.flat.append(-1)
-                    chunk.flat.extend(map(of, piece.split()))
-                start = stop
-                if len(chunk.flat) >= CHUNK:
-                    yield chunk
-                    chunk = chunk.followed(lang, context)
-            chunk.flat.append(-1)
-    if chunk.flat:
-        yield chunk
+            for part, old in windows(raw.to_pybytes().translate(_FOLD) if raw is not None else b"", context):
+                rows.append((lang, part, old))
+                size += len(part)
+                if size >= CHUNK:
+                    yield Chunk(rows)
+                    rows, size = [], 0
+    if rows:
+        yield Chunk(rows)
 
 
 class Sieve:
@@ -128,12 +135,13 @@ class Sieve:
         place = hashes & np.uint64(BITS - 1)
         return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
-
-def _word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each number's word, and of the phrase that is this word of its language."""
-    seeds = {lang: _hash(lang.encode()) for lang in chunk.of}
-    plain = np.fromiter(map(_hash, chunk.words), np.uint64, len(chunk.words))
-    return plain, _mixed(np.fromiter((seeds[x] for x in chunk.langs), np.uint64, len(chunk.langs)), plain)
+    def parts(self, langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+        """Parts of the stripes that phrases are the prefix of."""
+        out = np.ones(len(phrases), np.int64)
+        if self.hot:
+            for i in np.flatnonzero(pa.compute.is_in(phrases, value_set=pa.array(sorted({p for _, p in self.hot}), pa.string()))):
+                out[i] = self.hot.get((langs[int(i)].as_py(), phrases[int(i)].as_py()), 1)
+        return out
 
 
 def _emitted(size: int, lang: pa.Array, prefix: pa.Array, part: np.ndarray, firsts: np.ndarray, following: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -146,43 +154,37 @@ def _emitted(size: int, lang: pa.Array, prefix: pa.Array, part: np.ndarray, firs
 def word_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stripe of the empty prefix, in parts, and at size 0 the number of all words."""
     for chunk in chunks(batches, 0):
-        flat = np.array(chunk.flat, np.int64)
-        n = np.bincount(flat[flat >= 0], minlength=len(chunk.words))
+        n = np.bincount(chunk.flat[chunk.flat >= 0], minlength=len(chunk.words))
         if not len(n):
             continue
-        names = list(chunk.of)
-        lang = np.fromiter(map({x: i for i, x in enumerate(names)}.__getitem__, chunk.langs), np.int64, len(n))
-        part = (_word_hashes(chunk)[0] & np.uint64(ROOT_PARTS - 1)).astype(np.int64)
-        order = np.lexsort((part, lang))
-        lang, part = lang[order], part[order]
+        part = (chunk.plain & np.uint64(ROOT_PARTS - 1)).astype(np.int64)
+        order = np.lexsort((part, chunk.langs))
+        lang, part = chunk.langs[order], part[order]
         firsts = np.flatnonzero(np.r_[True, (np.diff(lang) != 0) | (np.diff(part) != 0)])
-        empty = lambda k: pa.array([""] * k, pa.string())
-        words = pa.array(chunk.words, pa.binary()).cast(pa.string()).take(pa.array(order))
-        yield _emitted(1, pa.array(names, pa.string()).take(pa.array(lang[firsts])), empty(len(firsts)), part[firsts], firsts, words, n[order])
+        names, empty = pa.array(chunk.names, pa.string()), lambda k: pa.array([""] * k, pa.string())
+        yield _emitted(1, names.take(pa.array(lang[firsts])), empty(len(firsts)), part[firsts], firsts, chunk.words.take(pa.array(order)), n[order])
         totals = np.bincount(lang, n[order], len(names)).astype(np.int64)
-        yield _emitted(0, pa.array(names, pa.string()), empty(len(names)), np.full(len(names), -1), np.arange(len(names)), empty(len(names)), totals)
+        yield _emitted(0, names, empty(len(names)), np.full(len(names), -1), np.arange(len(names)), empty(len(names)), totals)
 
 
 def phrase_stripes(batches: Iterator[pa.RecordBatch], words: Sieve, pairs: Sieve | None, longest: int) -> Iterator[pa.RecordBatch]:
     """Stripes of words that are frequent, or, where pairs are given, of phrases of two words or more all of whose pairs are."""
     for chunk in chunks(batches, longest - 1):
-        plain, hashes = _word_hashes(chunk)
+        plain, hashes, flat, text = chunk.plain, chunk.hashes, chunk.flat, chunk.words
         m = len(plain)
-        flat = np.array(chunk.flat, np.int64)
         at = np.where(words.has(hashes)[flat], flat, -1) if m else flat  # the place -1 ends a piece
         at[flat < 0] = -1
-        text = pa.array(chunk.words, pa.binary()).cast(pa.string())
-        langs = pa.array(chunk.langs, pa.string())
+        langs = pa.array(chunk.names, pa.string()).take(pa.array(chunk.langs))
         # Of the phrases one word shorter: their number where they end, their text, hash and the parts of their stripe.
         before, heads, seeds = at, text, hashes
-        parts = np.array([words.hot.get(k, 1) for k in zip(chunk.langs, text.to_pylist(), strict=True)] if words.hot else np.ones(m), np.int64)
+        parts = words.parts(langs, text)
         pair_at = None
         for size in range(2, longest + 1):
             goes = np.flatnonzero((before[:-1] >= 0) & (at[1:] >= 0) & (True if pair_at is None else pair_at[1:] >= 0)) + 1
             codes, of = np.unique(before[goes - 1] * m + at[goes], return_inverse=True)
             prefix, last = codes // max(m, 1), codes % max(m, 1)
             if pairs is None or size > 2:
-                n = np.bincount(of[goes >= chunk.old], minlength=len(codes))
+                n = np.bincount(of[~chunk.old[goes]], minlength=len(codes))
                 part = (plain[last] % parts[prefix].astype(np.uint64)).astype(np.int64)
                 order = np.lexsort((part, prefix))
                 order = order[n[order] > 0]
@@ -198,7 +200,7 @@ def phrase_stripes(batches: Iterator[pa.RecordBatch], words: Sieve, pairs: Sieve
                 known = pairs.has(seeds)
                 before[goes[known[of]]] = of[known[of]]
                 pair_at = before
-                parts = np.array([pairs.hot.get(k, 1) for k in zip(langs.take(pa.array(last)).to_pylist(), heads.to_pylist(), strict=True)] if pairs.hot else np.ones(len(codes)), np.int64)
+                parts = pairs.parts(langs.take(pa.array(last)), heads)
             else:
                 before[goes] = of
                 parts = parts[prefix]
@@ -207,13 +209,60 @@ def phrase_stripes(batches: Iterator[pa.RecordBatch], words: Sieve, pairs: Sieve
 def merged(stripes: DataFrame, least: int) -> DataFrame:
     """(lang, size, phrase, n): stripes of one prefix merged element by element; what occurs least times or more, and totals.
 
-    All of a prefix's part is in one task, as rows that spill.
+    A part of a prefix's stripe is in one task, where its stripes follow one another; a task holds ENTRIES of them and one merged part at a time.
     """
-    each = stripes.repartition("lang", "prefix", "part").select("lang", "prefix", "part", "size", F.explode(F.arrays_zip("next", "n")).alias("x")).select("lang", "prefix", "part", "size", "x.*")
-    sums = each.groupBy("lang", "prefix", "part", "size", "next").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done in merge_sorted(batches):
+            some = pa.compute.or_(pa.compute.greater_equal(done["n"], least), pa.compute.equal(done["size"], 0))
+            yield from done.filter(some).select(["lang", "size", "prefix", "next", "n"]).to_batches()
+
+    keys = ["lang", "size", "prefix", "part"]
+    sums = stripes.repartition("lang", "prefix", "part").sortWithinPartitions(*keys).mapInArrow(merge, "lang string, size int, prefix string, next string, n long")
     return sums.select("lang", "size", F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")).alias("phrase"), "n")
 
 
+def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Counters (lang, size, prefix, part, next, n) of stripes that come sorted by the first four, each told once."""
+    held: list[pa.Table] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            table = pa.Table.from_batches([batch.slice(at, 4096)])
+            lengths = pa.compute.list_value_length(table["n"])
+            rows = pa.array(np.repeat(np.arange(table.num_rows), lengths.to_numpy()))
+            flat = table.select(["lang", "size", "prefix", "part"]).take(rows)
+            held.append(flat.append_column("next", pa.compute.list_flatten(table["next"])).append_column("n", pa.compute.list_flatten(table["n"])))
+            size += len(rows)
+            if size >= ENTRIES:
+                done, rest = _summed(held, last_open=True)
+                yield done
+                held, size = [rest], 0  # an open part counts from its next entries on
+    if held:
+        yield _summed(held, last_open=False)[0]
+
+
+def _summed(held: list[pa.Table], last_open: bool) -> tuple[pa.Table, pa.Table]:
+    """The sums of all stripes, and those of the last one, whose other stripes may follow."""
+    table = pa.concat_tables(held)
+    keys = ["lang", "size", "prefix", "part"]
+    # Runs of equal keys get numbers, so that entries are told apart by two numbers.
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        col = table[k].combine_chunks()
+        new[1:] |= pa.compute.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+    run = np.cumsum(new) - 1
+    words = table["next"].combine_chunks().dictionary_encode()
+    at = words.indices.to_numpy().astype(np.int64)
+    codes, first, of = np.unique(run * max(len(words.dictionary), 1) + at, return_index=True, return_inverse=True)
+    n = np.zeros(len(codes), np.int64)
+    np.add.at(n, of, table["n"].to_numpy())
+    out = table.select([*keys, "next"]).take(pa.array(first)).append_column("n", pa.array(n))
+    open_ = int(np.searchsorted(run[first], run[-1])) if last_open and len(run) else len(codes)
+    return out.slice(0, open_), out.slice(open_)
+
+
 def sieve(found: DataFrame, size: int, total: int) -> Broadcast:
     """The phrases of a size that are frequent. What reaches the driver is a row for each word of 64 bits at most, and HOT phrases."""
     spark = found.sparkSession

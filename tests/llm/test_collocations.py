@@ -67,12 +67,12 @@ def test_chunks_windows_and_hot_stripes_change_nothing(spark):
 
     def small(f):
         def run(batches):
-            kept = C.WINDOW, C.CHUNK
+            kept = C.WINDOW, C.CHUNK, C.ENTRIES
             try:
-                C.WINDOW, C.CHUNK = 37, 25
+                C.WINDOW, C.CHUNK, C.ENTRIES = 37, 150, 40
                 yield from f(batches)
             finally:
-                C.WINDOW, C.CHUNK = kept
+                C.WINDOW, C.CHUNK, C.ENTRIES = kept
 
         return run
 
@@ -104,7 +104,7 @@ def test_chunk_borders_in_one_process():
 
     plain_counts = (counts(None, 2), counts(every, 4))
     try:
-        for C.WINDOW, C.CHUNK in ((10, 3), (64, 30), (1, 1)):
+        for C.WINDOW, C.CHUNK in ((10, 30), (64, 200), (1, 1)):
             assert (counts(None, 2), counts(every, 4)) == plain_counts
     finally:
         C.WINDOW, C.CHUNK = window, chunk
