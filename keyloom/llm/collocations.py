@@ -25,17 +25,18 @@ from .common import documents, saved, spread_join
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
 _BLANK = re.compile(rb"[ \t.]")
 #: Bytes of a text that are split at once, and bytes after which a task emits its stripes.
-WINDOW, CHUNK = 1 << 22, 1 << 24
-#: Entries of stripes that are merged at once.
-ENTRIES = 1 << 20
+WINDOW, CHUNK = 1 << 22, 1 << 23
+#: Entries of stripes that are merged at once, and stripes in a batch.
+ENTRIES, ROWS = 1 << 19, 1 << 15
 #: Bits of the map of frequent phrases.
 BITS = 1 << 26
 #: Parts of the empty prefix's stripe. Of other prefixes those with over 1 / HOT of all words, and over HOT_WORDS, have parts in proportion.
 ROOT_PARTS, HOT, HOT_WORDS = 1 << 12, 1 << 12, 1 << 16
 #: Salts of a language's phrases when its best are found.
 SALTS = 256
-_STRIPE = "lang string, size int, prefix string, part int, next array<string>, n array<long>"
-_ARROW = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+#: next holds words parted by blanks, n their counts likewise, or null if all are 1.
+_STRIPE = "lang string, size int, prefix string, part int, next string, n string"
+_ARROW = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.string()), ("n", pa.string())])
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,11 +145,23 @@ class Sieve:
         return out
 
 
-def _emitted(size: int, lang: pa.Array, prefix: pa.Array, part: np.ndarray, firsts: np.ndarray, following: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+def _emitted(size: int, lang: pa.Array, prefix: pa.Array, part: np.ndarray, firsts: np.ndarray, following: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stripes: runs of (following, n) that begin at firsts, under their prefix."""
-    offsets = pa.array(np.r_[firsts, len(n)], pa.int32())
-    columns = [lang, pa.array(np.full(len(firsts), size), pa.int32()), prefix, pa.array(part, pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, following), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))], schema=_ARROW)
+    if not len(firsts):
+        return
+    offsets = np.r_[firsts, len(n)].astype(np.int32)
+    more = np.flatnonzero(np.maximum.reduceat(n, firsts) > 1)
+    some = np.repeat(np.isin(np.arange(len(firsts)), more), np.diff(offsets))
+    sizes = np.diff(offsets)[more]
+    told = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(n[some]).cast(pa.string())), " ")
+    at = np.full(len(firsts), -1)
+    at[more] = np.arange(len(more))
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(offsets), following), " ")
+    whole = pa.RecordBatch.from_arrays(
+        [lang, pa.array(np.full(len(firsts), size), pa.int32()), prefix, pa.array(part, pa.int32()), joined, told.take(pa.array(at, mask=at < 0))], schema=_ARROW
+    )
+    for first in range(0, len(firsts), ROWS):
+        yield whole.slice(first, ROWS)
 
 
 def word_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +175,10 @@ def word_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, part = chunk.langs[order], part[order]
         firsts = np.flatnonzero(np.r_[True, (np.diff(lang) != 0) | (np.diff(part) != 0)])
         names, empty = pa.array(chunk.names, pa.string()), lambda k: pa.array([""] * k, pa.string())
-        yield _emitted(1, names.take(pa.array(lang[firsts])), empty(len(firsts)), part[firsts], firsts, chunk.words.take(pa.array(order)), n[order])
+        yield from _emitted(1, names.take(pa.array(lang[firsts])), empty(len(firsts)), part[firsts], firsts, chunk.words.take(pa.array(order)), n[order])
         totals = np.bincount(lang, n[order], len(names)).astype(np.int64)
-        yield _emitted(0, names, empty(len(names)), np.full(len(names), -1), np.arange(len(names)), empty(len(names)), totals)
+        own = np.flatnonzero(totals)
+        yield from _emitted(0, names.take(pa.array(own)), empty(len(own)), np.full(len(own), -1), np.arange(len(own)), empty(len(own)), totals[own])
 
 
 def phrase_stripes(batches: Iterator[pa.RecordBatch], words: Sieve, pairs: Sieve | None, longest: int) -> Iterator[pa.RecordBatch]:
@@ -188,9 +202,9 @@ def phrase_stripes(batches: Iterator[pa.RecordBatch], words: Sieve, pairs: Sieve
                 part = (plain[last] % parts[prefix].astype(np.uint64)).astype(np.int64)
                 order = np.lexsort((part, prefix))
                 order = order[n[order] > 0]
-                firsts = np.flatnonzero(np.r_[True, (np.diff(prefix[order]) != 0) | (np.diff(part[order]) != 0)]) if len(order) else order
+                firsts = np.flatnonzero(np.r_[len(order) > 0, (np.diff(prefix[order]) != 0) | (np.diff(part[order]) != 0)])
                 first = order[firsts]
-                yield _emitted(size, langs.take(pa.array(last[first])), heads.take(pa.array(prefix[first])), part[first], firsts, text.take(pa.array(last[order])), n[order])
+                yield from _emitted(size, langs.take(pa.array(last[first])), heads.take(pa.array(prefix[first])), part[first], firsts, text.take(pa.array(last[order])), n[order])
             if size == longest:
                 break
             seeds = _mixed(seeds[prefix], plain[last])
@@ -228,12 +242,15 @@ def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     size = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
-            table = pa.Table.from_batches([batch.slice(at, 4096)])
-            lengths = pa.compute.list_value_length(table["n"])
-            rows = pa.array(np.repeat(np.arange(table.num_rows), lengths.to_numpy()))
-            flat = table.select(["lang", "size", "prefix", "part"]).take(rows)
-            held.append(flat.append_column("next", pa.compute.list_flatten(table["next"])).append_column("n", pa.compute.list_flatten(table["n"])))
-            size += len(rows)
+            part = batch.slice(at, 4096)
+            words = pa.compute.split_pattern(part.column("next"), " ")
+            lengths = pa.compute.list_value_length(words).to_numpy()
+            n = np.ones(int(lengths.sum()), np.int64)
+            told = part.column("n")
+            n[np.repeat(told.is_valid().to_numpy(zero_copy_only=False), lengths)] = pa.compute.split_pattern(told.drop_null(), " ").flatten().cast(pa.int64()).to_numpy()
+            flat = pa.Table.from_batches([part]).select(["lang", "size", "prefix", "part"]).take(pa.array(np.repeat(np.arange(part.num_rows), lengths)))
+            held.append(flat.append_column("next", words.flatten()).append_column("n", pa.array(n)))
+            size += len(n)
             if size >= ENTRIES:
                 done, rest = _summed(held, last_open=True)
                 yield done

@@ -98,8 +98,9 @@ def test_chunk_borders_in_one_process():
         out = Counter()
         for b in C.phrase_stripes([batch], every, pairs, longest):
             for r in b.to_pylist():
-                for word, n in zip(r["next"], r["n"]):
-                    out[r["lang"], r["size"], f"{r['prefix']} {word}"] += n
+                words = r["next"].split(" ")
+                for word, n in zip(words, r["n"].split(" ") if r["n"] else [1] * len(words), strict=True):
+                    out[r["lang"], r["size"], f"{r['prefix']} {word}"] += int(n)
         return out
 
     plain_counts = (counts(None, 2), counts(every, 4))
