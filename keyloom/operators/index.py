@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import QUERY_KEYS, key_encode
+from ..functions.text import key_encode
 from ..schema import State
 from ..sources.sinks import read_postings, write_postings
 from . import views
@@ -48,9 +48,9 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.schema(_LINKS).parquet(f"{path}/links"), read_postings(spark, f"{path}/postings"), counts)
 
 
-def lookup(index: Index, keys: list[str], mode: str = "all", after: int | None = None, limit: int | None = None) -> DataFrame:
+def lookup(index: Index, keys: list[str], mode: str = "all", after: int | None = None, limit: int | None = None, most: int | None = None) -> DataFrame:
     """Ids filed under all (or any) of keys: the scan reads the row groups of these keys, and ids meet in one aggregation with partial counts."""
-    asked = [key_encode(F.lit(k)) for k in keys[:QUERY_KEYS]]
+    asked = [key_encode(F.lit(k)) for k in keys[:most]]
     hits = index.postings.where(F.col("key").isin(asked)) if asked else index.postings.where(F.lit(False))
     if after is not None:
         hits = hits.where(F.col("id") > after)
@@ -79,7 +79,7 @@ def lookup_sets(index: Index, queries: DataFrame) -> DataFrame:
 
 def asked_keys(keys):
     """The encoded keys that a query asks for, in order."""
-    return F.array_sort(F.array_distinct(F.transform(F.slice(keys, 1, QUERY_KEYS), key_encode)))
+    return F.array_sort(F.array_distinct(F.transform(keys, key_encode)))
 
 
 def lookup_batch(index: Index, queries: DataFrame) -> DataFrame:

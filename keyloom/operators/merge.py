@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, key_encode
 from ..sources.readers import latest_bundles, parse_facts, payload_lines
+from ..scratch import saved
 from ..spread import spread_join
-from .facts import resolved, true_times
+from .facts import RUN, resolved, true_times
 
 
 class Merged(NamedTuple):
@@ -33,7 +31,8 @@ def converge(facts: DataFrame, hash_of=content_hash) -> Merged:
     Facts that have a true_ts keep it.
     """
     timed = facts if "true_ts" in facts.columns else true_times(facts)
-    known = resolved(timed, hash_of).withColumn("ts", F.coalesce("ts", F.lit("")))
+    # What follows passes over the facts several times; their order and records are found once.
+    known = saved(resolved(timed, hash_of).withColumn("ts", F.coalesce("ts", F.lit(""))).select("rec", "replica", "seq", "verb", "ts", "true_ts", "key", "keys", "value"), "converge")
     is_ = lambda v: F.col("verb") == v
     dead = known.groupBy("rec").agg(
         F.max(F.when(is_("A"), F.col("ts"))).alias("add_ts"),
@@ -41,7 +40,7 @@ def converge(facts: DataFrame, hash_of=content_hash) -> Merged:
         F.min(F.when(is_("A"), F.col("value"))).alias("value"),
     )
     live = F.col("add_ts").isNotNull() & F.coalesce(F.col("add_ts") > F.col("del_ts"), F.lit(True))
-    records = dead.withColumn("live", live).select("rec", "value", "add_ts", "del_ts", "live")
+    records = saved(dead.withColumn("live", live).select("rec", "value", "add_ts", "del_ts", "live"), "converge-records")
 
     told = spread_join(known.where(F.col("verb").isin("A", "K", "T")), records.where("live").select("rec", "del_ts"), ["rec"], ["replica", "seq"])
     stays = (F.col("verb") == "K") | F.coalesce(F.col("ts") > F.col("del_ts"), F.lit(True))
@@ -59,73 +58,38 @@ def converge(facts: DataFrame, hash_of=content_hash) -> Merged:
 def replay(facts: DataFrame, hash_of=content_hash) -> DataFrame:
     """(rec, live, ts, keys): facts applied in stream order, record by record, as one replica would that starts empty.
 
-    Order matters here and early deletes are forgotten. Rows are dealt by record and sorted; a task folds them as they
-    stream by and holds one record's state, however many facts it has.
+    Order matters here and early deletes are forgotten, but what a run of facts does to a record is told by the maximum of its stamps alone: from the first
+    addition on a record is what its latest stamp says, where a delete wins a tie. So runs of RUN facts are summed up first, the runs before a fact then tell the
+    state that it meets, and a record with any part of all facts is folded in many tasks. Its keys are those since it last came back: of each the latest stamp decides,
+    and a detachment wins a tie. What happens to keys while a record is dead is lost.
     """
-    rows = resolved(true_times(facts), hash_of).select("rec", "replica", "seq", "verb", F.coalesce("ts", F.lit("")).alias("ts"), "true_ts", "key", "keys")
-    rows = rows.withColumn("key", key_encode(F.col("key"))).withColumn("keys", F.transform("keys", key_encode))
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, rec = None, None
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.rec != rec:
-                    if state is not None and state.seen:
-                        out.append(state.row(rec))
-                    state, rec = Replayed(), row.rec
-                state.take(row.verb, row.ts, row.true_ts, row.key, row.keys)
-            yield pd.DataFrame(out, columns=["rec", "live", "ts", "keys"])
-        if state is not None and state.seen:
-            yield pd.DataFrame([state.row(rec)], columns=["rec", "live", "ts", "keys"])
-
-    return rows.repartition("rec").sortWithinPartitions("rec", "replica", "seq").mapInPandas(fold, "rec string, live boolean, ts string, keys array<string>")
-
-
-class Replayed:
-    """One record while its facts are replayed."""
-
-    def __init__(self) -> None:
-        self.seen, self.live, self.ts, self.gone = False, False, "", ""
-        self.attached: dict[str, str] = {}
-        self.detached: dict[str, str] = {}
-
-    def take(self, verb: str, ts: str, true_ts: str | None, key: str | None, keys) -> None:
-        if verb == "A":
-            self._add(ts, true_ts or ts, [] if keys is None else list(keys))
-        elif verb == "D" and self.seen and ts >= self.ts:
-            self.live, self.gone = False, max(self.gone, ts)
-        elif verb in ("K", "T") and self.live and key is not None:
-            mine, other = (self.detached, self.attached) if verb == "K" else (self.attached, self.detached)
-            later = ts >= other.get(key, "") if verb == "K" else ts > other.get(key, "") or key not in other
-            if later:
-                mine[key] = max(mine.get(key, ""), ts)
-                other.pop(key, None)
-
-    def _add(self, ts: str, true_ts: str, keys: list[str]) -> None:
-        if self.seen and not self.live:
-            if ts <= self.gone:
-                return
-            # A record that comes back takes the new keys for its own.
-            self.attached, self.detached = {}, {}
-        self.seen = self.live = True
-        self.ts = max(self.ts, ts)
-        for key in keys:
-            if key not in self.detached or true_ts > self.detached[key]:
-                self.detached.pop(key, None)
-                self.attached[key] = max(self.attached.get(key, ""), true_ts)
-
-    def dump(self) -> str:
-        return json.dumps(vars(self))
-
-    @classmethod
-    def load(cls, text: str) -> Replayed:
-        record = cls()
-        vars(record).update(json.loads(text))
-        return record
-
-    def row(self, rec: str) -> tuple:
-        return rec, self.live, self.ts, sorted(self.attached) if self.live else []
+    place = F.struct("replica", "seq")
+    rows = resolved(true_times(facts), hash_of).select(
+        "rec", "replica", "seq", "verb", F.coalesce("ts", F.lit("")).alias("ts"), "true_ts", key_encode(F.col("key")).alias("key"), F.transform("keys", key_encode).alias("keys")
+    )
+    rows = saved(rows.where(F.col("verb").isin("A", "D", "K", "T")), "replay")
+    is_a = F.col("verb") == "A"
+    firsts = rows.where(is_a).groupBy("rec").agg(F.min(place).alias("first"))
+    since = saved(spread_join(rows, firsts, ["rec"], ["replica", "seq"]).where(place >= F.col("first")).drop("first"), "replay-since")
+
+    stamped = since.where(F.col("verb").isin("A", "D")).select("rec", "replica", "seq", "verb", "ts", F.struct("ts", (~is_a).alias("gone")).alias("stamp"), F.floor(F.col("seq") / RUN).alias("run"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    runs = stamped.groupBy("rec", "replica", "run").agg(F.max("stamp").alias("top"))
+    carried = runs.select("rec", "replica", "run", F.max("top").over(before.partitionBy("rec").orderBy("replica", "run")).alias("carry"))
+    met = stamped.withColumn("near", F.max("stamp").over(before.partitionBy("rec", "replica", "run").orderBy("seq", "verb", "ts"))).join(carried, ["rec", "replica", "run"])
+    met = met.withColumn("met", F.greatest("near", "carry"))
+    new = is_a & (F.col("met").isNull() | (F.col("ts") > F.col("met.ts")))
+    heads = met.groupBy("rec").agg(
+        F.max("stamp").alias("top"), F.max(F.when(new, F.col("ts"))).alias("ts"), F.max(F.when(new & F.coalesce("met.gone", F.lit(True)), place)).alias("born"),
+    )
+    heads = saved(heads.select("rec", (~F.col("top.gone")).alias("live"), "ts", "born"), "replay-heads")
+
+    told = spread_join(since.where("verb <> 'D'"), heads.where("live").select("rec", "born"), ["rec"], ["replica", "seq"]).where(place >= F.col("born"))
+    when = F.when(is_a, F.coalesce(F.nullif("true_ts", F.lit("")), "ts")).otherwise(F.col("ts"))
+    each = told.select("rec", F.struct(when.alias("ts"), (F.col("verb") == "K").alias("gone")).alias("stamp"), F.explode(F.when(is_a, F.col("keys")).otherwise(F.array("key"))).alias("key"))
+    last = each.where("key IS NOT NULL").groupBy("rec", "key").agg(F.max("stamp").alias("stamp")).where("NOT stamp.gone")
+    keys = last.groupBy("rec").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    return heads.join(keys, "rec", "left").select("rec", "live", "ts", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
 
 
 def place_documents(bodies: DataFrame) -> DataFrame:
@@ -172,16 +136,6 @@ def merge_folder(bundles: DataFrame, own: DataFrame | None, import_time: str) ->
     return converge(facts if own is None else facts.unionByName(own))
 
 
-def export_merged(merged: Merged) -> DataFrame:
-    """(rec, place, line): what a replica tells after a merge: its records with their keys, their further links, and the deletes it knows."""
-    keys = merged.keys.groupBy("rec").agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))
-    a = merged.records.where("live").join(keys, "rec", "left")
-    a = a.select("rec", F.lit(0).alias("place"), F.concat_ws("|", F.lit("A"), "add_ts", F.coalesce("keys", F.lit("")), "value").alias("line"))
-    m = merged.links.select("rec", F.lit(1).alias("place"), F.concat(F.lit("M|"), "rec", F.lit("|"), "value").alias("line"))
-    d = merged.records.where("del_ts IS NOT NULL").select("rec", F.lit(2).alias("place"), F.concat_ws("|", F.lit("D"), "del_ts", "rec").alias("line"))
-    return a.unionByName(m).unionByName(d)
-
-
 def normal_state(merged: Merged) -> DataFrame:
     """(value, keys) of live records, without ids."""
     keys = merged.keys.groupBy("rec").agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))

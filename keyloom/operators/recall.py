@@ -7,23 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUERY_KEYS, content_hash, key_encode
+from ..functions.text import content_hash, key_encode
 from ..schema import State
 from ..scratch import saved
 from . import views
 
 
-def _asked(keys: list[str]) -> Column:
-    return F.array_distinct(F.array(*[key_encode(F.lit(k)) for k in keys[:QUERY_KEYS]]))
+def _asked(keys: list[str], most: int | None) -> Column:
+    return F.array_distinct(F.array(*[key_encode(F.lit(k)) for k in keys[:most]]))
 
 
-def recall(lines: DataFrame, keys: list[str], mode: str = "all", after: int | None = None, limit: int | None = None) -> DataFrame:
+def recall(lines: DataFrame, keys: list[str], mode: str = "all", after: int | None = None, limit: int | None = None, most: int | None = None) -> DataFrame:
     """Ids filed under all (or any) of keys, from lines with ekeys; a narrow filter, then distinct ids.
 
-    An unknown or empty key gives nothing: all of them becomes empty, any of them goes on without it. Keys beyond
-    64 are not looked at. A page is what follows the id `after`, `limit` rows of it.
+    An unknown or empty key gives nothing: all of them becomes empty, any of them goes on without it. With most,
+    keys beyond so many are not looked at (QUERY_KEYS is the format's own bound). A page is what follows the id `after`, `limit` rows of it.
     """
-    has = [F.array_contains("ekeys", key_encode(F.lit(k))) for k in keys[:QUERY_KEYS]]
+    has = [F.array_contains("ekeys", key_encode(F.lit(k))) for k in keys[:most]]
     if not has:
         hits = F.lit(False)
     else:
@@ -32,21 +32,21 @@ def recall(lines: DataFrame, keys: list[str], mode: str = "all", after: int | No
     return page(out, after, limit)
 
 
-def recall_state(state: State, keys: list[str], mode: str = "all", after: int | None = None, limit: int | None = None) -> DataFrame:
+def recall_state(state: State, keys: list[str], mode: str = "all", after: int | None = None, limit: int | None = None, most: int | None = None) -> DataFrame:
     """The same from a state that is not indexed: a detachment only takes keys away, so lines are filtered before they meet tombstones."""
     coded = F.transform("keys", key_encode)
-    has = [F.array_contains(coded, key_encode(F.lit(k))) for k in keys[:QUERY_KEYS]]
+    has = [F.array_contains(coded, key_encode(F.lit(k))) for k in keys[:most]]
     may = reduce((lambda a, b: a & b) if mode == "all" else (lambda a, b: a | b), has) if has else F.lit(False)
     rows = state.lines.where(may) if after is None else state.lines.where(may & (F.col("id") > after))
-    return recall(views.shown(rows, state.tomb, state.ktomb), keys, mode, None, limit)
+    return recall(views.shown(rows, state.tomb, state.ktomb), keys, mode, None, limit, most)
 
 
-def recall_postings(postings: DataFrame, keys: list[str], mode: str = "all") -> DataFrame:
+def recall_postings(postings: DataFrame, keys: list[str], mode: str = "all", most: int | None = None) -> DataFrame:
     """The same from postings, which need only the asked keys' rows."""
-    asked = postings.where(F.array_contains(_asked(keys), F.col("key")))
+    asked = postings.where(F.array_contains(_asked(keys, most), F.col("key")))
     if mode == "any":
         return asked.select("id").distinct()
-    return asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size(_asked(keys))).select("id")
+    return asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size(_asked(keys, most))).select("id")
 
 
 def page(ids: DataFrame, after: int | None, limit: int | None) -> DataFrame:
@@ -56,9 +56,9 @@ def page(ids: DataFrame, after: int | None, limit: int | None) -> DataFrame:
     return ids.orderBy("id").limit(limit) if limit and limit > 0 else ids
 
 
-def recall_batch(postings: DataFrame, queries: DataFrame, mode: str = "all") -> DataFrame:
+def recall_batch(postings: DataFrame, queries: DataFrame, mode: str = "all", most: int | None = None) -> DataFrame:
     """(qid, id) of many queries (qid, keys) at once by an equi-join on the key."""
-    keys = F.array_distinct(F.transform(F.slice("keys", 1, QUERY_KEYS), key_encode))
+    keys = F.array_distinct(F.transform(F.slice("keys", 1, most) if most else F.col("keys"), key_encode))
     asked = queries.select("qid", keys.alias("asked")).select("qid", F.size("asked").alias("need"), F.explode("asked").alias("key"))
     hits = asked.join(postings, "key")
     if mode == "any":

@@ -9,7 +9,7 @@ from ..operators import generate
 from ..operators import merge as M
 from ..scratch import fresh
 from ..session import table
-from ..streaming import streams
+from ..streaming import stateful, streams
 from . import tables as T
 from .registry import query
 
@@ -190,20 +190,19 @@ def _event_stream(spark, sf):
 @query(T.WITH_CONVERGED + ", ks AS (SELECT rec, string_agg(key, ' ' ORDER BY key) AS keys FROM reckeys GROUP BY rec) SELECT rec, value, live, coalesce(keys, '') AS keys FROM records LEFT JOIN ks USING (rec)")
 def stream_converge(spark, sf):
     path = _scratch(spark)
-    q = streams.converge_stream(_event_stream(spark, sf), path, checkpoint=f"{path}/log", hash_of=itself)
+    q = streams.converge_stream(_event_stream(spark, sf), path, checkpoint=f"{path}/log")
     q.processAllAvailable()
     q.stop()
-    return streams.current(spark, path)
+    return streams.current(spark, path, itself)
 
 
-@query("SELECT DISTINCT p_name AS value, 'shop parts' AS keys FROM part WHERE trim(p_name) <> ''")
+@query("SELECT row_number() OVER (ORDER BY value) AS id, value, 'shop parts' AS keys FROM (SELECT DISTINCT p_name AS value FROM part WHERE trim(p_name) <> '')")
 def stream_feed(spark, sf):
     path = _scratch(spark)
-    q = streams.feed(_stream(spark, sf, "part").select(F.col("p_name").alias("value")), ["shop", "parts"], f"{path}/out", checkpoint=f"{path}/log")
+    q = streams.feed(_stream(spark, sf, "part").select(F.col("p_name").alias("value")), ["shop", "parts"], path, checkpoint=f"{path}/log")
     q.processAllAvailable()
     q.stop()
-    out = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/out")
-    return out.select("value", F.array_join("keys", " ").alias("keys")).distinct()
+    return streams.fed(spark, path).select("id", "value", F.array_join("keys", " ").alias("keys"))
 
 
 @query("WITH " + T.FACTS + "SELECT hash, max(ts) FILTER (verb = 'A') AS add_ts, max(ts) FILTER (verb = 'D') AS del_ts FROM facts GROUP BY hash")
@@ -215,7 +214,7 @@ def stream_liveness(spark, sf):
 @query()
 def stream_replay(spark, sf):
     """Facts replayed as they stream by; equal to replay_merge, as all arrive in one batch."""
-    out = streams.run_once(streams.replay_stream(_event_stream(spark, sf)), _scratch(spark), "update")
+    out = streams.run_once(stateful.replay_stream(_event_stream(spark, sf), itself), _scratch(spark), "append")
     return out.select("rec", "live", "ts", F.array_join("keys", " ").alias("keys"))
 
 
@@ -239,6 +238,14 @@ def stream_forgetting(spark, sf):
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "hash", "del_ts")
 
 
+@query("WITH " + T.FACTS + """SELECT hash, seq, CASE WHEN verb = 'D' THEN 'deleted' WHEN gone IS NULL OR ts > gone THEN 'added' ELSE 'refused' END AS status
+FROM (SELECT *, max(CASE WHEN verb = 'D' THEN ts END) OVER (PARTITION BY hash ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM facts WHERE verb IN ('A', 'D'))""")
+def stream_returns(spark, sf):
+    """Additions that a delete refuses; all events are one batch here, so no delete is forgotten yet."""
+    rows = _event_stream(spark, sf).withColumn("at", F.to_timestamp("ts", T.ISO))
+    return streams.run_once(stateful.forgetting_stream(rows, "at", "1 day", 30 * 86_400_000), _scratch(spark), "append")
+
+
 @query("WITH " + T.FACTS + "SELECT count(*) AS n FROM (SELECT DISTINCT verb, hash, key, akey, ts, value FROM facts)")
 def stream_dedupe(spark, sf):
     rows = _event_stream(spark, sf).withColumn("at", F.to_timestamp("ts", T.ISO))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import facts as C
+from ..operators import lattice as L
 from ..operators import merge as M
 from ..operators import upsert as U
+from ..operators import views
 from ..scratch import fresh
 from ..session import table
 from ..sources import readers as S
@@ -182,11 +184,29 @@ def folder_merge(spark, sf):
     return M.normal_state(M.merge_folder(S.check_bundles(_folder(spark, sf)), None, "2024-01-01T00:00:00Z"))
 
 
-@query("WITH " + _DEVICES + "," + T.CONVERGED + "SELECT 'A' AS verb, count(*) AS n FROM records WHERE live HAVING count(*) > 0 UNION ALL SELECT 'D', count(*) FROM records WHERE del_ts IS NOT NULL HAVING count(*) > 0")
+_TOLD = "WITH " + _DEVICES + "," + T.CONVERGED + f""", named AS (SELECT *, {T.FNV} AS name FROM (SELECT rec, coalesce(value, rec) AS value, add_ts, del_ts, live FROM records)),
+atts AS (SELECT hash AS rec, coalesce(akey, key) AS key, max(ts) AS ts FROM facts WHERE verb IN ('A', 'T') GROUP BY ALL),
+att AS (SELECT a.*, n.name, n.live AND a.ts = n.add_ts AS now FROM atts a JOIN named n USING (rec) WHERE n.del_ts IS NULL OR a.ts > n.del_ts),
+own AS (SELECT rec, string_agg(key, ' ' ORDER BY key) AS keys FROM att WHERE now GROUP BY rec)
+SELECT 0 AS section, 'A|' || add_ts || '|' || coalesce(keys, '') || '|' || value AS line FROM named LEFT JOIN own USING (rec) WHERE live
+UNION ALL SELECT 1, 'D|' || del_ts || '|' || name FROM named WHERE del_ts IS NOT NULL
+UNION ALL SELECT 2, 'K|' || max(f.ts) || '|' || n.name || '|' || f.key FROM facts f JOIN named n ON n.rec = f.hash WHERE f.verb = 'K' GROUP BY n.name, f.key
+UNION ALL SELECT 3, 'T|' || ts || '|' || name || '|' || key FROM att WHERE NOT now OR now IS NULL"""
+
+
+@query(_TOLD)
 def folder_export(spark, sf):
-    """What a device tells after the pass."""
-    lines = M.export_merged(M.merge_folder(S.check_bundles(_folder(spark, sf)), None, "2024-01-01T00:00:00Z"))
-    return lines.groupBy(F.substring("line", 1, 1).alias("verb")).agg(F.count(F.lit(1)).alias("n"))
+    """The lines that a device tells after the pass."""
+    return L.told_lines(L.folder_pass(S.check_bundles(_folder(spark, sf)), None, "2024-01-01T00:00:00Z")).select("section", "line")
+
+
+@query("WITH " + _DEVICES + "," + T.CONVERGED + ", ks AS (SELECT rec, string_agg(key, ' ' ORDER BY key) AS keys FROM reckeys GROUP BY rec) SELECT value, coalesce(keys, '') AS keys FROM records LEFT JOIN ks USING (rec) WHERE live")
+def folder_export_merge(spark, sf):
+    """A new device that merges nothing but another one's export ends where that one did."""
+    path = _written(L.told_lines(L.folder_pass(S.check_bundles(_folder(spark, sf)), None, "2024-01-01T00:00:00Z")).select("line"), spark, "told")
+    facts = S.parse_facts(S.read_text(spark, path), "").where("status = 'fact'")
+    named = facts.withColumn("hash", F.when(F.col("verb") == "A", X.content_hash(F.col("value"))).otherwise(F.col("hash")))
+    return M.normal_state(M.converge(named))
 
 
 _LINKS = """, m AS (SELECT o_orderkey AS seq, 'order/' || (o_orderkey // 2) AS head, CASE o_orderkey % 3 WHEN 0 THEN 'more/' || (o_orderkey % 700) WHEN 1 THEN 'order/' || (o_orderkey + 1) ELSE 'more/' || o_orderkey END AS value FROM orders),
@@ -234,10 +254,10 @@ def put_vs_tomb_hash(spark, sf):
     return U.put_status(s.lines, tomb, arrive)
 
 
-@query(W + "SELECT id, ts, array_to_string(keys, ' ') AS keys, value FROM lines")
+@query(W + "SELECT id, ts, array_to_string(keys, ' ') AS keys, value, row_number() OVER (PARTITION BY id ORDER BY ord) AS place FROM lines")
 def stream_tail(spark, sf):
-    """A store that grows by files, read as a stream."""
+    """A store that grows by files, read as a stream; a record's links keep their order."""
     path = fresh(spark, "growing")
     K.write_store(T.orders_lines(spark, sf), path)
     out = streams.run_once(streams.tail(spark, path)[0], fresh(spark, "stream"), "append")
-    return out.select("id", "ts", F.array_join("keys", " ").alias("keys"), "value")
+    return out.select("id", "ts", F.array_join("keys", " ").alias("keys"), "value", F.row_number().over(views.by_id()).cast("long").alias("place"))

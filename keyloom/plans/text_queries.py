@@ -29,14 +29,14 @@ def key_prefix(spark, sf):
     return d.select("doc_id", "key", X.key_prefix(F.col("key")).alias("prefix"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 300), '[\\x00-\\x1f|]', '_', 'g') AS stored FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f|]', '_', 'g') AS stored FROM documents")
 def key_fold_stored(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.key_fold_stored(F.substring("text", 1, 300)).alias("stored"))
+    return table(spark, sf, "documents").select("doc_id", X.key_fold_stored(F.col("text")).alias("stored"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f|]', '_', 'g') AS stored, coalesce(try_cast(text AS DOUBLE), 0) AS num FROM documents")
 def key_fold_whole(spark, sf):
-    """Whole texts, where key_fold_stored and the num of approx_tokens read their beginning, as their SQL does."""
+    """Texts as stored keys and as numbers."""
     return table(spark, sf, "documents").select("doc_id", X.key_fold_stored(F.col("text")).alias("stored"), X.safe_num(F.col("text")).alias("num"))
 
 
@@ -129,10 +129,10 @@ def doc_preview(spark, sf):
     return d.select("doc_id", X.preview(body, F.concat(F.lit("blobs/"), "doc_id"), 100).alias("shown"), X.snippet(F.col("text")).alias("snippet"))
 
 
-@query("SELECT doc_id, greatest(1, length(text) // 4) AS log_tokens, strlen(text) // 4 AS byte_tokens, coalesce(try_cast(substr(text, 1, 3) AS DOUBLE), 0) AS num FROM documents")
+@query("SELECT doc_id, greatest(1, length(text) // 4) AS log_tokens, strlen(text) // 4 AS byte_tokens, coalesce(try_cast(text AS DOUBLE), 0) AS num FROM documents")
 def approx_tokens(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", X.approx_tokens_log(F.col("text")).alias("log_tokens"), X.approx_tokens_bytes(F.col("text")).alias("byte_tokens"), X.safe_num(F.substring("text", 1, 3)).alias("num"))
+    return d.select("doc_id", X.approx_tokens_log(F.col("text")).alias("log_tokens"), X.approx_tokens_bytes(F.col("text")).alias("byte_tokens"), X.safe_num(F.col("text")).alias("num"))
 
 
 @query("SELECT o_orderkey, 'shop/' || strftime(o_orderdate, '%Y') || '/' || strftime(o_orderdate, '%Y-%m-%d') || '/photo' AS keys FROM orders")

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import content_hash, key_encode
-from ..operators.facts import distinct_facts, true_times
-from ..operators.merge import Merged, Replayed, converge
-from ..operators.upsert import merged_keys
-from ..scratch import saved
+from ..functions.text import content_hash
+from ..operators.facts import true_times
+from ..operators.lattice import LATTICE, joined, partials, reduced
+from ..operators.lattice import state as lattice_state
+from ..operators.merge import Merged
+from ..operators.recall import numbered
+from ..schema import LINES
+from ..scratch import removed
 from ..sources.readers import feed_values, parse_lines
+from ..sources.tailing import tail_lines
+from .stateful import use_store
 
 
 def _done(query: StreamingQuery) -> None:
@@ -30,84 +32,106 @@ def versions(path: str) -> Callable[[int], str]:
 
 
 def feed(lines: DataFrame, keys: list[str], path: str, line: str = "value", *, checkpoint: str) -> StreamingQuery:
-    """T1: values of an arriving stream under fixed keys, idempotently by batch: each batch is written once under its own number."""
-    at = versions(path)
+    """T1: values of an arriving stream under fixed keys, as records (id, ts, keys, value, ord) under path: a value names one record, whatever batch it comes in again with.
+
+    Values that were fed are in the stream's state, so a batch looks up its own only. New ids follow those of the batch before, in order of the value; a batch that runs again
+    writes the same under its own number.
+    """
+    at, counted = versions(f"{path}/lines"), versions(f"{path}/counts")
+    use_store(lines.sparkSession)
+    values = lines.select(feed_values(F.col(line)).alias("value")).where("value IS NOT NULL").dropDuplicates(["value"])
 
     def put(batch: DataFrame, number: int) -> None:
-        values = batch.select(feed_values(F.col(line)).alias("value")).where("value IS NOT NULL")
-        rows = values.withColumn("seq", F.monotonically_increasing_id()).withColumn("keys", F.array(*map(F.lit, keys))).withColumn("ts", F.lit(""))
-        merged_keys(rows).drop("seq").write.mode("overwrite").parquet(at(number))
+        spark = batch.sparkSession
+        before = spark.read.schema("n long").parquet(counted(number - 1)).first()[0] if number else 0
+        rows = numbered(batch, ["value"], before).withColumns({"ts": F.lit(""), "keys": F.array(*map(F.lit, keys)), "ord": F.lit(0).cast("long")})
+        rows.select("id", "ts", "keys", "value", "ord").write.mode("overwrite").parquet(at(number))
+        own = spark.read.schema(LINES).parquet(at(number)).agg((F.count(F.lit(1)) + before).alias("n"))
+        own.write.mode("overwrite").parquet(counted(number))
 
-    return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+    return values.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
 
-#: Buckets of records, and batches after which a batch writes the whole state anew.
-BUCKETS, WHOLE = 64, 16
+def fed(spark: SparkSession, path: str) -> DataFrame:
+    """The records that feed has put."""
+    return spark.read.schema(LINES).parquet(f"{path}/lines").select(*[c.split()[0] for c in LINES.split(", ")])
 
 
-def converge_stream(facts: DataFrame, path: str, *, checkpoint: str, hash_of=content_hash) -> StreamingQuery:
-    """T2: facts as they arrive, and the converged state of the records that they touch.
+#: Runs of one level that are merged into one of the next.
+FAN = 8
 
-    Each batch adds its facts under facts/, by buckets of their hash, and recomputes the records that it touches: those that its
-    facts name through any link known so far, and those that a new link takes over, whose own row goes. Only these records' buckets are
-    read again. The current state is each record's row of the highest version; every WHOLE batches the whole state is written, so that
-    older versions need not be read. A C line counts for the A line after it though a batch ends between them, if each replica's facts
-    arrive in their order; all else may arrive in any order.
+
+def converge_stream(facts: DataFrame, path: str, *, checkpoint: str) -> StreamingQuery:
+    """T2: facts as they arrive, kept as the lattice that they have merged into.
+
+    A batch is reduced to its own partial maxima and written as a run; FAN runs of one level are merged into a run of the next. So a batch reads its own
+    facts and, once in FAN batches, runs of its like: over n batches each fact is read about log(n) / log(FAN) times, however long the history. A run is
+    named after its batch, so a batch that runs again overwrites its own; runs that the batch before has merged are removed. A C line counts for the A line after it though a
+    batch ends between them, if each replica's facts arrive in their order; all else may arrive in any order, links included: names meet when the state is read.
     """
-    stored, told, linked, clocked = (versions(f"{path}/{name}") for name in ("facts", "records", "links", "clocks"))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    clocked, done = versions(f"{path}/clocks"), versions(f"{path}/done")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        removed(spark, *[_run(path, level, i) for level, i in _merged_at(number - 1)], *[x(number - 2) for x in (clocked, done) if number > 1])
         # The last A or C of each replica so far, for the first A of this batch.
         rows_ = batch.withColumn("old", F.lit(False))
         if number:
             rows_ = rows_.unionByName(spark.read.schema(batch.schema).parquet(clocked(number - 1)).withColumn("old", F.lit(True)))
         clocks = rows_.where("verb IN ('A', 'C')").groupBy("replica").agg(F.max_by(F.struct(*batch.columns), "seq").alias("c")).select("c.*")
         clocks.write.mode("overwrite").parquet(clocked(number))
-        timed = true_times(rows_).where("NOT old").drop("old").withColumn("bucket", bucket("hash"))
-        timed.write.mode("overwrite").partitionBy("bucket").parquet(stored(number))
-        new = spark.read.schema(timed.schema).parquet(stored(number))
-        new.where("verb = 'M'").select(hash_of(F.col("value")).alias("link"), F.col("hash").alias("head")).distinct().write.mode("overwrite").parquet(linked(number))
-        # A link may be told of several records, of which the smallest hash counts; a new one takes it from the others, so all are touched.
-        links = spark.read.schema("link string, head string").parquet(*[linked(i) for i in range(number + 1)]).distinct()
-
-        named = new.select("hash").union(new.where("verb = 'M'").select(hash_of(F.col("value")))).distinct()
-        known = named.join(links, F.col("hash") == F.col("link"), "left").select("hash", "head")
-        touched = known.select(F.col("hash").alias("rec")).union(known.where("head IS NOT NULL").select("head")).distinct()
-        hashes = touched.union(links.join(touched, F.col("head") == F.col("rec")).select("link")).distinct()
-        hashes = saved(hashes.withColumn("bucket", bucket("rec")), "touched")
-        buckets = [r.bucket for r in hashes.select("bucket").distinct().collect()]  # BUCKETS at most
-        every = spark.read.schema(timed.schema).option("basePath", f"{path}/facts").parquet(*[stored(i) for i in range(number + 1)])
-        facts_of = distinct_facts(every.where(F.col("bucket").isin(buckets)).drop("bucket").join(hashes.select(F.col("rec").alias("hash")), "hash", "left_semi"))
-        out = touched.join(rows(converge(facts_of, hash_of)), "rec", "left").withColumn("gone", F.col("live").isNull())
-        if number and number % WHOLE == 0:
-            rest = _latest(spark, told, number - 1).join(touched, "rec", "left_anti")
-            out = out.unionByName(rest.withColumn("gone", F.lit(False)))
-        out.write.mode("overwrite").parquet(told(number))
+        _written(reduced(partials(true_times(rows_).where("NOT old").drop("old"))), _run(path, 0, number))
+        below = _merged_at(number)
+        for k in range(0, len(below), FAN):
+            level, last = below[k + FAN - 1]
+            _written(reduced(spark.read.schema(LATTICE).parquet(*[_run(path, *r) for r in below[k : k + FAN]])), _run(path, level + 1, last // FAN))
+        spark.range(1).write.mode("overwrite").parquet(done(number))
 
     return facts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
 
+def _run(path: str, level: int, number: int) -> str:
+    return f"{path}/runs/{level:02d}-{number:010d}"
+
+
+def _written(rows: DataFrame, run: str) -> None:
+    """Rows of a record lie together, so that a lookup of names skips most of a file."""
+    rows.sortWithinPartitions("hash").write.mode("overwrite").parquet(run)
+
+
+def _merged_at(number: int) -> list[tuple[int, int]]:
+    """The runs (level, number) that batch number merges, FAN after FAN from the lowest level."""
+    level, out = 0, []
+    while number >= 0 and (number + 1) % FAN == 0:
+        out += [(level, number + 1 - FAN + i) for i in range(FAN)]
+        level, number = level + 1, number // FAN
+    return out
+
+
+def _live_runs(batches: int) -> list[tuple[int, int]]:
+    """The runs that hold all of so many batches: at each level those that don't make up a whole one of the next."""
+    level, out = 0, []
+    while batches:
+        out += [(level, i) for i in range(batches - batches % FAN, batches)]
+        level, batches = level + 1, batches // FAN
+    return out
+
+
+def merged_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """The lattice that converge_stream has reached."""
+    last = spark.read.schema("id long, version int").parquet(f"{path}/done").agg(F.max("version")).first()[0]
+    return joined(spark.read.schema(LATTICE).parquet(*[_run(path, *r) for r in _live_runs(last + 1)]))
+
+
 def rows(state: Merged) -> DataFrame:
     """(rec, value, live, keys) of a merged state."""
     keys = state.keys.groupBy("rec").agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("keys"))
     return state.records.join(keys, "rec", "left").select("rec", "value", "live", F.coalesce("keys", F.lit("")).alias("keys"))
 
 
-def _latest(spark, told: Callable[[int], str], last: int) -> DataFrame:
-    """The state after batch last: versions since the last whole one."""
-    start = last - last % WHOLE
-    schema = "rec string, value string, live boolean, keys string, gone boolean"
-    parts = [spark.read.schema(schema).parquet(told(i)).withColumn("version", F.lit(i)) for i in range(start, last + 1)]
-    last_rows = reduce(DataFrame.unionByName, parts).groupBy("rec").agg(F.max_by(F.struct("value", "live", "keys", "gone"), "version").alias("s"))
-    return last_rows.where("NOT s.gone").select("rec", "s.value", "s.live", "s.keys")
-
-
-def current(spark, path: str) -> DataFrame:
-    """The state that converge_stream has reached."""
-    last = spark.read.parquet(f"{path}/records").agg(F.max("version")).first()[0]
-    return _latest(spark, versions(f"{path}/records"), last)
+def current(spark: SparkSession, path: str, hash_of=content_hash) -> DataFrame:
+    """(rec, value, live, keys) that converge_stream has reached."""
+    return rows(lattice_state(merged_so_far(spark, path), hash_of))
 
 
 def liveness(facts: DataFrame) -> DataFrame:
@@ -117,26 +141,6 @@ def liveness(facts: DataFrame) -> DataFrame:
     return out.withColumn("live", F.col("add_ts").isNotNull() & F.coalesce(F.col("add_ts") > F.col("del_ts"), F.lit(True)))
 
 
-def replay_stream(facts: DataFrame) -> DataFrame:
-    """T3: records as facts arrive, each batch's in order of replica and sequence: (rec, live, ts, keys), in update mode.
-
-    A record's state is its own row in the state store, whatever number of facts made it. C facts and links are not looked up here (both need
-    other rows than the record's own): streams that have any go through true_times and resolved first, or through converge_stream.
-    """
-    coded = facts.withColumn("key", key_encode(F.col("key"))).withColumn("keys", F.transform("keys", key_encode)).withColumn("ts", F.coalesce("ts", F.lit("")))
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        record = Replayed.load(state.get[0]) if state.exists else Replayed()
-        for row in pd.concat(frames).sort_values(["replica", "seq"]).itertuples(index=False):
-            record.take(row.verb, row.ts, None, row.key, row.keys)
-        state.update((record.dump(),))
-        if record.seen:
-            yield pd.DataFrame([record.row(key[0])], columns=["rec", "live", "ts", "keys"])
-
-    wanted = coded.select("hash", "replica", "seq", "verb", "ts", "key", "keys")
-    return wanted.groupBy("hash").applyInPandasWithState(fold, "rec string, live boolean, ts string, keys array<string>", "record string", "update", GroupStateTimeout.NoTimeout)
-
-
 def without_replays(facts: DataFrame, at: str, delay: str) -> DataFrame:
     """T5: replays within the watermark go; state is bounded by the delay. What a fact says includes its keys, in any order."""
     told = facts.withColumn("sorted_keys", F.array_sort("keys")).withWatermark(at, delay)
@@ -149,9 +153,8 @@ def forgetting(facts: DataFrame, at: str, delay: str) -> DataFrame:
 
 
 def tail(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """T8: (lines, rejects) of a store that grows by whole files of lines; a torn line is rejected, or kept short, alone."""
-    text = spark.readStream.option("lineSep", "\n").text(path)
-    return parse_lines(text.select(F.col("value").alias("line"), F.lit(0).cast("long").alias("ord")))
+    """T8: (lines, rejects) of a store that grows by lines or files; ord is a line's place, so that a record's links keep their order."""
+    return parse_lines(tail_lines(spark, path))
 
 
 def per_day(records: DataFrame, at: str, delay: str = "1 day") -> DataFrame:

@@ -101,10 +101,10 @@ def test_stream_of_batches_equals_one_batch(spark, tmp_path):
     for part in range(3):
         every.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(every.schema).parquet(src)
-        q = streams.converge_stream(stream, out, checkpoint=f"file://{tmp_path}/log", hash_of=itself)
+        q = streams.converge_stream(stream, out, checkpoint=f"file://{tmp_path}/log")
         q.processAllAvailable()
         q.stop()
-    got = sorted((r.rec, r.live, r["keys"] if r.live else "") for r in streams.current(spark, out).collect())
+    got = sorted((r.rec, r.live, r["keys"] if r.live else "") for r in streams.current(spark, out, itself).collect())
     want = sorted((r.rec, r.live, r["keys"] if r.live else "") for r in streams.rows(M.converge(every, itself)).collect())
     assert got == want
 

@@ -34,20 +34,18 @@ def plain(rows):
     return sorted((r.rec, r.value, r.live, r["keys"] if r.live else "") for r in rows.collect())
 
 
-@pytest.mark.parametrize("whole", [16, 2])
+@pytest.mark.parametrize("fan", [8, 2])
 @pytest.mark.parametrize("name", CASES)
-def test_stream_ends_as_the_merge(spark, tmp_path, monkeypatch, name, whole):
-    if whole == 2 and len(CASES[name]) < 3:
-        pytest.skip("no whole state is written")
-    monkeypatch.setattr(streams, "WHOLE", whole)
+def test_stream_ends_as_the_merge(spark, tmp_path, monkeypatch, name, fan):
+    monkeypatch.setattr(streams, "FAN", fan)
     src, out = str(tmp_path / "in"), f"file://{tmp_path}/out"
     for rows in CASES[name]:
         spark.createDataFrame(rows, FACTS).coalesce(1).write.mode("append").parquet(src)
-        q = streams.converge_stream(spark.readStream.schema(FACTS).parquet(src), out, checkpoint=f"file://{tmp_path}/log", hash_of=itself)
+        q = streams.converge_stream(spark.readStream.schema(FACTS).parquet(src), out, checkpoint=f"file://{tmp_path}/log")
         q.processAllAvailable()
         q.stop()
     every = spark.createDataFrame([r for rows in CASES[name] for r in rows], FACTS)
-    assert plain(streams.current(spark, out)) == plain(streams.rows(M.converge(every, itself)))
+    assert plain(streams.current(spark, out, itself)) == plain(streams.rows(M.converge(every, itself)))
 
 
 def test_facts_that_say_other_keys_are_not_replays(spark):
