@@ -12,6 +12,7 @@ from .line_dedup import MIN_LINES, ends
 MAX_WORDS = 50
 #: Size of the map of repeated hashes.
 MAP_BITS = 1 << 25
+_LOW = (1 << 32) - 1
 
 
 def line_ranges(lines: Column) -> Column:
@@ -23,11 +24,12 @@ def line_ranges(lines: Column) -> Column:
     """
 
     def range_(start: Column, end: Column) -> Column:
-        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+        """As one number: the union of numbers is taken by hash, that of structs by comparing all with all."""
+        return F.shiftleft(start.cast("long"), 32) + end.cast("long")
 
     def of_chunks(e: Column) -> Column:
         all_ = F.transform(e, lambda end, k: range_(F.when(k == 0, F.lit(1)).otherwise(F.try_element_at(e, F.greatest(k, F.lit(1))) + 1), end))
-        return F.filter(all_, lambda r: r["end"] - r["start"] + 1 >= MIN_LINES)
+        return F.filter(all_, lambda r: F.shiftright(r, 32) + MIN_LINES <= r.bitwiseAND(F.lit(_LOW)) + 1)
 
     def reach(words: Column) -> Column:
         """Number of the leading lines that make a window; 0 where they are too few."""
@@ -51,30 +53,14 @@ def line_ranges(lines: Column) -> Column:
         return F.filter(F.flatten(F.transform(full, both)), lambda r: r.isNotNull())
 
     full = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("i"), word_count(x).alias("w"))), lambda x: x["w"] > 0)
-    chunks = let(ends(F.transform(lines, lambda x: F.md5(x))), of_chunks)
-    return F.array_union(chunks, let(full, windows))
-
-
-def _merged(ranges: Column) -> Column:
-    """Sorted ranges without overlap."""
-
-    def add(done: Column, r: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when(last["end"] + 1 >= r["start"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(r)))
-
-    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<start:int,end:int>>"), add)
+    chunks = let(F.transform(lines, lambda x: F.md5(x)), lambda digests: let(ends(digests), of_chunks))
+    return F.transform(F.array_union(chunks, let(full, windows)), lambda r: F.struct(F.shiftright(r, 32).cast("int").alias("start"), r.bitwiseAND(F.lit(_LOW)).cast("int").alias("end")))
 
 
 def _left(lines: Column, gone: Column) -> Column:
-    """The lines outside the merged ranges."""
-
-    def gap(k: Column) -> Column:
-        start = F.coalesce(F.try_element_at(gone, F.when(k > 0, k))["end"], F.lit(0)) + 1
-        end = F.coalesce(F.try_element_at(gone, k + 1)["start"], F.size(lines) + 1) - 1
-        return F.slice(lines, start, F.greatest(end - start + 1, F.lit(0)))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), gap))
+    """The lines outside the ranges gone; one look at each line of each range."""
+    stays = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.flatten(F.transform(gone, lambda r: F.sequence(r["start"], r["end"]))))
+    return F.transform(stays, lambda i: F.element_at(lines, i))
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:
@@ -92,12 +78,14 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
         return F.array_join(F.slice(all_, r["start"], r["end"] - r["start"] + 1), "\n")
 
     keyed = let(lines, lambda all_: F.transform(line_ranges(all_), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(piece(all_, r)).alias("key"))))
-    # The ranges are found once and kept beside their text; only those whose hash may occur again become texts of their own.
+    # The ranges are found once and kept beside their text; only those whose hash may occur again become rows that move. A text is split once, and a
+    # range's row holds its own lines only, so the work grows with the lines of a text.
     whole = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("whole"), keyed.alias("ranges"))
     whole = saved(whole, "passages")
     again = whole.select(F.explode("ranges.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranges = maybe_in(whole.select("doc_id", "whole", "text", F.explode("ranges").alias("r")).select("doc_id", "whole", "text", "r.*"), F.col("key"), again, F.col("key"), MAP_BITS)
-    seen = saved(ranges.select("doc_id", "whole", "start", "end", "key", piece(lines, {"start": F.col("start"), "end": F.col("end")}).alias("piece")), "passages-seen")
+    cut_out = let(lines, lambda all_: F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["key"].alias("key"), piece(all_, r).alias("piece"))))
+    ranges = whole.select("doc_id", "whole", F.explode(cut_out).alias("r")).select("doc_id", "whole", "r.*")
+    seen = saved(maybe_in(ranges, F.col("key"), again, F.col("key"), MAP_BITS), "passages-seen")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "start"))).alias("first")
     same = seen.groupBy("key", "piece").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1 AND first IS NOT NULL").drop("n")
     first_end = F.col("first.start") + F.col("end") - F.col("start")
@@ -111,7 +99,7 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     )
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"))
     joined = rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_whole")), "left")
-    left = let(lines, lambda all_: let(_merged(F.col("gone")), lambda g: _left(all_, g)))
+    left = let(lines, lambda all_: _left(all_, F.col("gone")))
     out = joined.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))

@@ -1,9 +1,13 @@
+import random
+import time
 from collections import defaultdict
 
 import corpus_pipeline as P
 from keyloom.llm import line_dedup
 from keyloom.llm import passage_dedup as D
 
+from . import brute_passage
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -59,3 +63,33 @@ def test_stage_cuts_passages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = {r.doc_id: r.text for r in dict(P.STAGES)["line_dedup"](spark, docs, SF).collect()}
     assert a == {r.doc_id: r.text for r in D.passage_dedup(docs).collect()}
+
+
+def test_documents_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = dict(zip([d for d, _ in docs], brute_passage.passage_dedup(docs)))
+    out = D.op8_passage_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: r.text for r in out} == want
+    assert any(want[d] != t for d, t in docs)
+
+
+def test_random_texts_against_brute_force(spark):
+    """Few short and long lines, blank ones among them, so that ranges overlap, repeat inside a text and touch its ends."""
+    rng = random.Random(4)
+    some = ["", " ", "a", *[" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((3, 20, 26, 60))]]
+    docs = [(i if i % 9 else None, "\n".join(rng.choice(some) for _ in range(rng.randrange(0, 25)))) for i in range(120)] + [(500, None), (501, "")]
+    got = {(r.n, r.doc_id): r.text for r in D.passage_dedup(spark.createDataFrame([(d, t, n) for n, (d, t) in enumerate(docs)], "doc_id long, text string, n long")).collect()}
+    assert got == {(n, d): t for n, ((d, _), t) in enumerate(zip(docs, brute_passage.passage_dedup(docs)))}
+
+
+def test_work_grows_with_the_lines_of_a_text(spark):
+    """Two equal texts of 20,000 lines, of which the second goes but for what line order decides."""
+    text = "\n".join(" ".join(f"l{i}w{j}" for j in range(30)) for i in range(20_000))
+    began = time.time()
+    out = cut(spark, [(1, text), (2, text)])
+    took = time.time() - began
+    assert out[1].text == text and out[2].text == "" and out[2].lines_removed == 20_000
+    began = time.time()
+    half = "\n".join(text.split("\n")[:10_000])
+    assert cut(spark, [(1, half), (2, half)])[2].text == ""
+    assert took < 4 * (time.time() - began) + 5
