@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import browse as B
+from ..operators import index as X
 from ..operators import quality as Q
 from ..operators import views
 from ..operators.upsert import split_documents
@@ -74,10 +75,8 @@ def day_groups(spark, sf):
 
 @query(W + "SELECT (SELECT count(DISTINCT id) FROM live) AS records, (SELECT count(DISTINCT k) FROM (SELECT unnest(keys) AS k FROM base)) AS keys, (SELECT count(DISTINCT id) FROM tomb) AS deleted")
 def stats(spark, sf):
-    """Live records and tags from the stored index; keys of dead records count too, so these are read besides."""
-    s = T.orders_state(spark, sf)
-    every = s.lines.where("ord = 0").select(F.explode("keys").alias("key"))
-    return B.stats(s.lines.where("ord = 0"), s.tomb, every)
+    """What the stored index has counted."""
+    return X.stats(T.orders_index(spark, sf))
 
 
 @query(W + "SELECT count(DISTINCT id) AS n FROM live")

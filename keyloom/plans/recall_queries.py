@@ -19,13 +19,52 @@ FNV = T.FNV
 
 @query(W + "SELECT f.id, f.value FROM firsts f WHERE list_contains(keys, 'f') AND list_contains(keys, '1-urgent') AND list_contains(keys, '1997')")
 def recall_and(spark, sf):
-    state = T.orders_state(spark, sf)
-    return R.resolve(R.recall_state(state, ["F", "1-URGENT", "1997"]), state.lines.where("ord = 0")).select("id", "value")
+    index = T.orders_index(spark, sf)
+    return R.resolve(X.lookup(index, ["F", "1-URGENT", "1997"]), index.records).select("id", "value")
 
 
 @query(W + "SELECT DISTINCT id FROM postings WHERE key IN ('1995-03', '1996-07')")
 def recall_or(spark, sf):
-    return R.recall_state(T.orders_state(spark, sf), ["1995-03", "1996-07", "no such key"], "any")
+    return X.lookup(T.orders_index(spark, sf), ["1995-03", "1996-07", "no such key"], "any")
+
+
+@query(W + "SELECT f.id FROM firsts f WHERE list_contains(keys, 'f') AND list_contains(keys, '1997')")
+def recall_scan(spark, sf):
+    """From the records themselves, where no index is stored."""
+    return R.recall_state(T.orders_state(spark, sf), ["F", "1997"])
+
+
+@query(W + "SELECT f.id FROM firsts f WHERE list_contains(keys, 'f') AND NOT list_contains(keys, '1-urgent') AND NOT list_contains(keys, '1997')")
+def recall_without(spark, sf):
+    """Under one key and none of others, by bits."""
+    return X.lookup(T.orders_index(spark, sf), ["F"], without=["1-URGENT", "1997", "no such key"])
+
+
+_EDITED = W + """, now AS (SELECT f.id, list_filter(f.keys, lambda k: NOT (f.id % 29 = 0 AND k = b.keys[2])) AS keys, f.value FROM firsts f JOIN base b USING (id) WHERE f.id % 23 <> 0
+  UNION ALL SELECT id + 100000000, ['new', keys[1]], 'new/' || id FROM base WHERE id % 31 = 0) """
+
+
+def _edited(spark, sf):
+    """The stored index after deletes, a key taken off and new records: their rows alone are told."""
+    s = T.orders_state(spark, sf)
+    base = s.lines.where("ord = 0")
+    dead = base.where("id % 23 = 0").select("id", F.lit(T.DELETED).alias("ts"), F.lit("").alias("hash"), F.col("id").alias("ord"))
+    off = base.where("id % 29 = 0").select("id", F.lit(T.DELETED).alias("ts"), F.lit("").alias("hash"), F.col("keys")[1].alias("key"), F.col("id").alias("ord"))
+    new = base.where("id % 31 = 0").select((F.col("id") + 100_000_000).alias("id"), F.lit("").alias("ts"), F.array(F.lit("new"), F.col("keys")[0]).alias("keys"), F.concat(F.lit("new/"), "id").alias("value"), "ord")
+    edited = "id % 23 = 0 OR id % 29 = 0"
+    part = s._replace(lines=s.lines.where(edited).unionByName(new), tomb=s.tomb.where(edited).unionByName(dead), ktomb=s.ktomb.where(edited).unionByName(off))
+    return X.changed(T.orders_index(spark, sf), part, part.lines.select("id"))
+
+
+@query(_EDITED + "SELECT k AS key, count(*) AS n FROM (SELECT DISTINCT unnest(keys) AS k, id FROM now) GROUP BY k")
+def index_after_edits(spark, sf):
+    return _edited(spark, sf).counts
+
+
+@query(_EDITED + "SELECT id, value FROM now WHERE list_contains(keys, 'f') AND NOT list_contains(keys, '1-urgent')")
+def recall_after_edits(spark, sf):
+    index = _edited(spark, sf)
+    return R.resolve(X.lookup(index, ["F"], without=["1-URGENT"]), index.records).select("id", "value")
 
 
 @query(W + "SELECT id FROM postings WHERE key IN ('o', '5-low') GROUP BY id HAVING count(*) = 2")

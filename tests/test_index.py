@@ -55,6 +55,51 @@ def test_key_filter_reaches_the_scan(spark, index, capsys):
     assert "In(key" in capsys.readouterr().out
 
 
+def tables(index):
+    """All that an index holds, in order."""
+    return [sorted(map(str, df.select(*sorted(df.columns)).collect())) for df in (index.links, index.words, index.counts, index.deleted)]
+
+
+def test_edits_leave_what_a_rebuilt_index_has(spark, state, index, tmp_path):
+    """Put, untag and delete, in two steps, as overlays and stored again."""
+    put = [(2, "", ["k0", "K2", "All", "extra"], "v2", 0), (100, "", ["extra", "k1"], "v100", 0), (200, "2021-01-01", [], "v200", 0), (5, "", ["k1"], "v5/last", 2)]
+    put_ids = [2, 100, 200, 5]
+    lines = state.lines.where("id <> 2").unionByName(spark.createDataFrame(put, LINES))
+    after = state._replace(lines=lines)
+    some = lambda s, ids: s._replace(**{n: getattr(s, n).where(F.col("id").isin(ids)) for n in ("lines", "tomb", "ktomb")})
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "id long")
+    once = I.changed(index, some(after, put_ids), ids(put_ids))
+    assert tables(once) == tables(I.write_index(after, f"file://{tmp_path}/a"))
+    last = after._replace(
+        tomb=after.tomb.where("id <> 4").unionByName(spark.createDataFrame([(9, "", "", 0), (100, "", "", 0)], TOMB)),
+        ktomb=after.ktomb.unionByName(spark.createDataFrame([(i, "", "", "all", 0) for i in (2, 11, 13)], KEY_FACTS)),
+    )
+    edited = [4, 9, 100, 2, 11, 13]
+    twice = I.changed(once, some(last, edited), ids(edited))
+    rebuilt = I.write_index(last, f"file://{tmp_path}/b")
+    again = I.rewritten(twice, f"file://{tmp_path}/c")
+    assert tables(twice) == tables(rebuilt) == tables(again)
+    assert [tuple(r) for r in I.stats(again).collect()] == [tuple(r) for r in I.stats(rebuilt).collect()]
+    for keys in QUERIES:
+        assert sorted(r.id for r in I.lookup(again, keys).collect()) == sorted(r.id for r in I.lookup(rebuilt, keys).collect())
+
+
+def test_without_and_many_keys(spark, state, index):
+    shown = views.shown(state.lines, state.tomb, state.ktomb)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(I.lookup(index, ["k0"], without=["K1", "none"])) == ids(R.set_difference(R.recall(shown, ["k0"]), R.recall(shown, ["K1"])))
+    many = ["k0", *["All"] * 70, "K1"]
+    assert ids(I.lookup(index, many)) == ids(R.recall(shown, ["k0", "K1", "all"])) == ids(R.recall(shown, many))
+    assert ids(I.lookup(index, many, most=64)) == ids(R.recall(shown, ["k0", "all"])) == ids(R.recall(shown, many, most=64))
+
+
+def test_words_move_in_place_of_ids(spark):
+    """A busy key's postings are a row for 64 ids."""
+    ids = spark.range(1, 10_001).withColumn("key", F.lit("hot"))
+    words = I.words_of(ids, "key")
+    assert words.count() == 157 and sorted(r.id for r in I.ids_of(words, "key").collect()) == list(range(1, 10_001))
+
+
 def test_links_are_imported_once(spark, state):
     def told(rows):
         frame = spark.createDataFrame(rows, "seq long, hash_of string, value string")
