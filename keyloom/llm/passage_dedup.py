@@ -78,10 +78,9 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
         return F.array_join(F.slice(all_, r["start"], r["end"] - r["start"] + 1), "\n")
 
     keyed = let(lines, lambda all_: F.transform(line_ranges(all_), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(piece(all_, r)).alias("key"))))
-    # The ranges are found once and kept beside their text; only those whose hash may occur again become rows that move. A text is split once, and a
-    # range's row holds its own lines only, so the work grows with the lines of a text.
+    # The ranges are found twice, as keeping them beside their texts would take the disk of all texts; only those whose hash may occur again become rows that move.
+    # A range's row holds its own lines only, so the work grows with the lines of a text.
     whole = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("whole"), keyed.alias("ranges"))
-    whole = saved(whole, "passages")
     again = whole.select(F.explode("ranges.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cut_out = let(lines, lambda all_: F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["key"].alias("key"), piece(all_, r).alias("piece"))))
     ranges = whole.select("doc_id", "whole", F.explode(cut_out).alias("r")).select("doc_id", "whole", "r.*")
