@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import facts as X
 from ..operators import generate
 from ..operators import merge as M
+from ..operators import replicas as R
 from ..scratch import fresh
 from ..session import table
 from ..streaming import stateful, streams
@@ -126,13 +127,25 @@ def convergence_check(spark, sf):
     """Two replicas that get the facts in other orders end alike: no differences."""
     f = T.event_facts(spark, sf)
     other = f.withColumn("seq", 1_000_000_000 - F.col("seq")).withColumn("replica", F.lit("z"))
-    return M.differences(M.normal_state(M.converge(f, itself)), M.normal_state(M.converge(other, itself)))
+    return R.compared(M.normal_state(M.converge(f, itself)), M.normal_state(M.converge(other, itself)))
 
 
 @query(T.WITH_FACTS + "SELECT hash AS value, '' AS keys, 'a' AS side FROM facts WHERE false")
 def idempotence_check(spark, sf):
     f = T.event_facts(spark, sf)
-    return M.differences(M.normal_state(M.converge(f, itself)), M.normal_state(M.converge(f.unionByName(f), itself)))
+    return R.compared(M.normal_state(M.converge(f, itself)), M.normal_state(M.converge(f.unionByName(f), itself)))
+
+
+_ENDS = ", ks AS (SELECT rec, string_agg(key, ' ' ORDER BY key) AS keys FROM reckeys GROUP BY rec), state AS (SELECT value, coalesce(keys, '') AS keys FROM records LEFT JOIN ks USING (rec) WHERE live)"
+_PART = T.WITH_CONVERGED.replace("FROM events)", "FROM events WHERE event_id % 4 <> 3)") + _ENDS + " SELECT * FROM state"
+
+
+@query("WITH whole AS (" + T.WITH_CONVERGED + _ENDS + " SELECT * FROM state), part AS (" + _PART + """)
+SELECT *, 'a' AS side FROM (SELECT * FROM whole EXCEPT ALL SELECT * FROM part) UNION ALL SELECT *, 'b' FROM (SELECT * FROM part EXCEPT ALL SELECT * FROM whole)""")
+def replica_differences(spark, sf):
+    """A replica that has not heard of one device yet, against one that has."""
+    f = T.event_facts(spark, sf)
+    return R.compared(M.normal_state(M.converge(f, itself)), M.normal_state(M.converge(f.where("replica <> '3'"), itself)))
 
 
 @query(T.WITH_CONVERGED + "SELECT rec, live FROM records")
