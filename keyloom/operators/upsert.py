@@ -147,7 +147,9 @@ def untag(lines: DataFrame, ktomb: DataFrame, key: str) -> DataFrame:
 
 def _stamped(lines: DataFrame, rows: DataFrame, as_of: str) -> DataFrame:
     """Rows (id, ...) with ts, the content hash of the record's value and no ord."""
-    hashes = views.first_link(lines).select("id", content_hash(F.col("value")).alias("hash"))
+    # Only the records of rows are ordered and hashed.
+    named = lines.join(rows.select("id").distinct(), "id", "left_semi")
+    hashes = views.first_link(named).select("id", content_hash(F.col("value")).alias("hash"))
     return rows.join(hashes, "id").withColumn("ts", F.lit(as_of)).withColumn("ord", F.lit(None).cast("long"))
 
 

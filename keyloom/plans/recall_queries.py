@@ -164,7 +164,7 @@ def recall_with_tags(spark, sf):
 
 @query(_TAGS + "SELECT id, tags FROM tagged WHERE id = 24")
 def keys_of_record(spark, sf):
-    return R.with_tags(spark.range(24, 25), T.orders_postings(spark, sf)).select("id", F.array_join("tags", " ").alias("tags"))
+    return X.tagged(T.orders_index(spark, sf), spark.range(24, 25)).select("id", F.array_join("tags", " ").alias("tags"))
 
 
 @query(W + "SELECT value, min(id) AS id FROM lines WHERE value IN (SELECT 'order/' || (c_custkey * 3) FROM customer) GROUP BY value")
