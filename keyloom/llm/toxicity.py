@@ -19,6 +19,8 @@ from .common import ascii_lower, documents, saved, unused
 #: The bounds on what the fit takes: labelled rows, those with the smallest hash of doc_id, and words, those that differ most between the
 #: classes. Whatever the texts' lengths, the driver gets MAX_ROWS lists of at most MAX_WORDS numbers.
 MAX_ROWS, MAX_WORDS = 20_000, 4096
+#: Bias of a classifier that has learnt nothing.
+NOTHING_KNOWN = -4.0
 #: Weight of the squared change of score under a swap, of the ridge, passes of the fit; texts
 #: a word must be in, and standard errors by which its rates in the two classes must differ, to have a weight.
 SWAP_WEIGHT, RIDGE, PASSES, MIN_TEXTS, MIN_Z = 4.0, 1e-4, 300, 3, 4.0
@@ -137,11 +139,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int,
 def fit(rows: pd.DataFrame) -> ToxicityModel:
     """Minimise log loss + SWAP_WEIGHT * mean squared change of the logit under swaps + RIDGE, by gradient steps over all rows.
 
-    The classes weigh alike. Without rows of both classes every weight is 0 and the bias says the class that there is.
+    The classes weigh alike. Without rows of both classes, or words that tell them apart, nothing is known against any text: every weight is 0 and the bias is far below 0.
     """
     y = rows["toxic"].to_numpy(float) if len(rows) else np.empty(0)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel({}, 0.0 if not len(y) else (4.0 if y[0] else -4.0))
+        return ToxicityModel({}, NOTHING_KNOWN)
     parts = [np.asarray(x, np.int64) for x in rows["x"]]
     flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     gone, new = ([np.asarray(x, np.int64) for row in rows[c] for x in row] for c in ("gone", "new"))
@@ -158,7 +160,7 @@ def fit(rows: pd.DataFrame) -> ToxicityModel:
     z = (bad / n_bad - (total - bad) / (len(y) - n_bad)) / np.sqrt(rate * (1 - rate) * (1 / n_bad + 1 / (len(y) - n_bad)))
     cols = words[np.abs(z) >= MIN_Z]
     if not len(cols):
-        return ToxicityModel({}, 0.0)
+        return ToxicityModel({}, NOTHING_KNOWN)
 
     def placed(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(cols, keys), len(cols) - 1)
@@ -185,7 +187,7 @@ def fit(rows: pd.DataFrame) -> ToxicityModel:
         drive = step / (step + 3)
         ahead, b_ahead = w_next + drive * (w_next - w), b_next + drive * (b_next - b)
         w, b = w_next, b_next
-    return ToxicityModel({int(c): float(x) for c, x in zip(cols[w != 0], w[w != 0], strict=True)}, b)
+    return ToxicityModel({int(c): float(x) for c, x in zip(cols[w != 0], w[w != 0], strict=True)}, b if w.any() else NOTHING_KNOWN)
 
 
 def fold(doc_id, folds: int):
@@ -193,14 +195,14 @@ def fold(doc_id, folds: int):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add held_out, score (0 to 1, higher: likelier toxic) and predicted (1 from 0.5 on, if any word has a weight) to docs.
+    """Add held_out, score (0 to 1, higher: likelier toxic) and predicted (1 from 0.5 on) to docs.
 
     The classifier learns from at most max_rows labelled rows outside the held-out fold; its only input is the text. Scoring is one pass
     without a shuffle; the weights that go to all tasks are those of the
     sample's words at most, at any size of data. Decided cases: null and empty texts
     score by the bias; rows that repeat score alike; labels that are null are left out; a doc_id with two labels counts as toxic if either
-    is; a null doc_id has a null held_out; without labels of both classes, or words that tell them apart, all texts score alike and
-    predicted is 0, as nothing is known against any of them; columns named held_out, score or
+    is; a null doc_id has a null held_out; without labels of both classes, or words that tell them apart, all texts score alike, far
+    below 0.5, as nothing is known against any of them; columns named held_out, score or
     predicted are replaced; an empty table gives no rows.
     """
     fitted = fit(training_rows(docs, labels, folds, held_out, max_rows))
@@ -218,7 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: in
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
 
     scored = docs.select(*kept, ascii_lower(F.col("text")).alias(lower)).mapInArrow(run, schema)
-    return scored.withColumns({"held_out": fold(F.col("doc_id"), folds) == held_out, "predicted": ((F.col("score") >= 0.5) & F.lit(bool(fitted.weights))).cast("int")})
+    return scored.withColumns({"held_out": fold(F.col("doc_id"), folds) == held_out, "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
