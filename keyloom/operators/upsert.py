@@ -242,9 +242,21 @@ def split_documents(rows: DataFrame) -> DataFrame:
     return rows.select("seq", form.alias("form"), F.when(big, path).otherwise(trimmed).alias("value"), F.when(big, F.col("value")).alias("body"))
 
 
-def write_bodies(split: DataFrame, path: str) -> None:
-    """Bodies of split_documents by their path; one that arrives twice is kept once, as its path follows from its content."""
-    bodies = split.where("form = 'document'").select(F.col("value").alias("path"), "body")
+def placed_documents(split: DataFrame) -> DataFrame:
+    """split_documents with a path for each body: of different bytes under one path the body with the smallest digest keeps it, and the others get a number, as in
+    blobs/time~tag-2.txt. Only rows whose path is shared get a new one, so what is joined is as small as the collisions of a tag of eight digits are few.
+    """
+    tagged = split.withColumn("digest", F.when(F.col("form") == "document", F.md5("body")))
+    nth = F.row_number().over(Window.partitionBy("value").orderBy("digest"))
+    moved = tagged.where("digest IS NOT NULL").select("value", "digest").distinct().withColumn("nth", nth).where("nth > 1")
+    out = tagged.join(moved, ["value", "digest"], "left")
+    numbered_path = F.regexp_replace("value", r"\.txt$", F.concat(F.lit("-"), F.col("nth").cast("string"), F.lit(".txt")))
+    return out.select("seq", "form", F.when(F.col("nth").isNull(), F.col("value")).otherwise(numbered_path).alias("value"), "body")
+
+
+def write_bodies(placed: DataFrame, path: str) -> None:
+    """Bodies of placed_documents by their path; one that arrives twice is kept once, as its path follows from its content."""
+    bodies = placed.where("form = 'document'").select(F.col("value").alias("path"), "body")
     bodies.groupBy("path").agg(F.first("body").alias("body")).write.parquet(path)
 
 

@@ -230,7 +230,7 @@ def import_links(spark, sf):
 @query("SELECT doc_id AS id, md5(text) AS digest FROM documents WHERE regexp_matches(text, '\\n[\\s\\S]*[^\\n\\r \\t]') OR strlen(text) > 65536")
 def stored_bodies(spark, sf):
     """Documents' bodies stored under their path, and found again by the value of their record."""
-    split = U.split_documents(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("value"), F.lit("2024-01-01").alias("ts")))
+    split = U.placed_documents(U.split_documents(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("value"), F.lit("2024-01-01").alias("ts"))))
     path = fresh(spark, "bodies")
     U.write_bodies(split, path)
     bodies = spark.read.schema("path string, body string").parquet(path)
