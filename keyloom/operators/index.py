@@ -142,19 +142,30 @@ def lookup(index: Index, keys: list[str], mode: str = "all", after: int | None =
     return page(ids_of(left), after, limit)
 
 
-def lookup_sets(index: Index, queries: DataFrame) -> DataFrame:
-    """(asked, id) for each distinct set of encoded keys that queries (qid, keys) ask for all of; asked is what asked_keys gives.
+def all_words(index: Index, queries: DataFrame) -> DataFrame:
+    """(asked, word, bits): the records under all keys of each distinct set of encoded keys that queries (qid, keys) ask for; asked is what asked_keys gives.
 
-    A set starts from its rarest key; the others are tested on the record, as an ordered intersection does. So what is read grows with the
-    rarest key's postings, and sets that many queries ask for are answered once.
+    A set starts from its rarest key's words; those of its other keys are met word by word. So what is read grows with the
+    rarest key's postings, 64 ids are a row, and sets that many queries ask for are answered once.
     """
     sets = queries.select(asked_keys(F.col("keys")).alias("asked")).where(F.size("asked") > 0).distinct()
     busy = sets.select("asked", F.explode("asked").alias("key")).join(index.counts, "key")
     rare = busy.groupBy("asked").agg(F.min(F.struct("n", "key")).alias("r"), F.count(F.lit(1)).alias("found")).where("found = size(asked)")
-    hits = ids_of(rare.select("asked", F.col("r.key").alias("key")).join(index.words, "key"), "asked")
-    alone, more = hits.where(F.size("asked") == 1).select("asked", "id"), hits.where(F.size("asked") > 1)
-    told = more.select("asked", "id").join(index.records.select("id", "ekeys"), "id")
-    return alone.unionByName(told.where(F.size(F.array_except("asked", "ekeys")) == 0).select("asked", "id"))
+    start = rare.select("asked", F.col("r.key").alias("key")).join(index.words, "key")
+    others = start.select("asked", "word", F.explode(F.array_except("asked", F.array("key"))).alias("key")).join(index.words, ["key", "word"])
+    met = start.unionByName(others).groupBy("asked", "word").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    return met.where("n = size(asked) AND bits <> 0").select("asked", "word", "bits")
+
+
+def any_words(index: Index, queries: DataFrame) -> DataFrame:
+    """(asked, word, bits): the records under any key of each set, as all_words; ids are never told one by one."""
+    sets = queries.select(asked_keys(F.col("keys")).alias("asked")).distinct()
+    return sets.select("asked", F.explode("asked").alias("key")).join(index.words, "key").groupBy("asked", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def lookup_sets(index: Index, queries: DataFrame) -> DataFrame:
+    """(asked, id) for each distinct set of encoded keys that queries ask for all of."""
+    return ids_of(all_words(index, queries), "asked")
 
 
 def asked_keys(keys):

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.plans import catalog
 from keyloom.functions.text import content_hash
 from keyloom.operators import facts as X
 from keyloom.operators import index as I
@@ -141,3 +142,9 @@ def test_undated_records_survive_a_round_trip(spark, tmp_path):
     K.write_store(lines, f"file://{tmp_path}/s")
     back = S.parse_lines(S.read_text(spark, f"file://{tmp_path}/s"))[0].drop("ord")
     assert sorted(map(tuple, back.collect())) == sorted(r[:4] for r in rows)
+
+
+def test_batches_count_and_meet_by_words_of_bits(spark):
+    for name in ("recall_batch_or", "recall_batch_and"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "ekeys" not in plan and (name == "recall_batch_and" or "sequence(" not in plan)
