@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Fixed values of the record format.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,6 +21,9 @@ WIRE_BYTES = 41
 INLINE_BYTES = 65536
 SECRET = "aisc:"
 FNV_BASIS = 1469598103934665603
+FNV_PRIME = 1099511628211
+#: Visible ASCII without bars and slashes, and no leading dot.
+PLAIN_KEY = r"^(?!\.)[\x21-\x2E0-\x5B\x5D-\x7B\x7D\x7E]+\z"
 TS_SHAPE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}Z?)?)?$"
 
 
@@ -27,10 +33,13 @@ def key_encode(key: Column) -> Column:
     ASCII letters in lower case; blanks, bars, slashes, backslashes and control characters as underscores, a leading dot too;
     other characters untouched; at most KEY_BYTES bytes, cut between characters.
     """
+    # Most keys need their letters folded only, which costs a twentieth of what the general form does.
+    plain = (F.octet_length(key) <= KEY_BYTES) & key.rlike(PLAIN_KEY)
     folded = F.translate(key, UPPER + BLANKED, LOWER + "_" * len(BLANKED))
     folded = F.when(folded.startswith("."), F.concat(F.lit("_"), F.substring(folded, 2, 1 << 30))).otherwise(folded)
     cut = F.make_valid_utf8(F.substring(F.encode(folded, "UTF-8"), 1, KEY_BYTES).cast("string"))
-    return F.when(F.octet_length(folded) > KEY_BYTES, F.regexp_replace(cut, "�+$", "")).otherwise(folded)
+    whole = F.when(F.octet_length(folded) > KEY_BYTES, F.regexp_replace(cut, "�+$", "")).otherwise(folded)
+    return F.when(plain, F.lower(key)).otherwise(whole)
 
 
 def key_prefix(key: Column) -> Column:
@@ -96,24 +105,28 @@ def ts_next_second(ts: Column) -> Column:
     return F.when(looks_like_ts(ts) & (F.length(ts) == 20), F.date_format(at + F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
+@F.arrow_udf(LongType())
+def _fnv(values: pa.Array) -> pa.Array:
+    """The hash of many values at once, a byte of each in turn; the longest go first, so that those with a byte left are a prefix."""
+    wide = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    _, ends, held = values.buffers()
+    ends = np.frombuffer(ends, wide)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    held = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(ends)
+    order = np.argsort(-sizes, kind="stable")
+    starts, left = ends[:-1][order], -sizes[order]
+    hashes = np.full(len(values), FNV_BASIS, np.uint64)
+    for at in range(-int(left[0]) if len(left) else 0):
+        n = np.searchsorted(left, -at)
+        hashes[:n] = (hashes[:n] ^ held[starts[:n] + at]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(hashes)
+    out[order] = hashes
+    return pa.array(out.view(np.int64), mask=np.asarray(values.is_null()))
+
+
 def content_hash(value: Column) -> Column:
-    """16 hex digits: the 64-bit multiply-xor hash of the value's bytes from FNV_BASIS, in two halves of 32 bits."""
-    low, high = FNV_BASIS & 0xFFFFFFFF, FNV_BASIS >> 32
-    raw = F.encode(value, "UTF-8")
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(value), F.lit(1))), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint"))
-    mask = F.lit(0xFFFFFFFF).cast("bigint")
-
-    def step(acc: Column, byte: Column) -> Column:
-        mixed = acc["lo"].bitwiseXOR(byte)
-        wide = mixed * 435
-        hi = (acc["hi"] * 435 + F.shiftright(wide, 32) + F.shiftleft(mixed, 8)).bitwiseAND(mask)
-        return F.struct(hi.alias("hi"), wide.bitwiseAND(mask).alias("lo"))
-
-    def text(acc: Column) -> Column:
-        return F.lower(F.concat(F.lpad(F.hex(acc["hi"]), 8, "0"), F.lpad(F.hex(acc["lo"]), 8, "0")))
-
-    start = F.struct(F.lit(high).cast("bigint").alias("hi"), F.lit(low).cast("bigint").alias("lo"))
-    return F.when(F.octet_length(value) == 0, F.lit(f"{FNV_BASIS:016x}")).otherwise(F.aggregate(codes, start, step, text))
+    """16 hex digits: the 64-bit xor-multiply hash of the value's bytes from FNV_BASIS."""
+    return F.lower(F.lpad(F.hex(_fnv(value.cast("string"))), 16, "0"))
 
 
 def in_date_range(ts: Column, first: str | None, last: str | None) -> Column:
