@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key_encode
-from ..schema import State
-from ..scratch import saved
+from ..schema import LINES, State
+from ..scratch import removed, saved
 from . import views
 from .recall import page
 
@@ -37,6 +37,7 @@ class Index(NamedTuple):
 
 
 _LINKS = "id long, ts string, keys array<string>, ekeys array<string>, value string, ord long, place int, extra long"
+_SHOWN = LINES + ", ekeys array<string>"
 _SCHEMAS = Index(_LINKS, "key string, word long, bits long", "key string, n long", "key string", "id long")
 
 
@@ -71,7 +72,11 @@ def _hidden(state: State) -> DataFrame:
 def write_index(state: State, path: str) -> Index:
     """Write the index of a state under path. Links are ranged by id before their place in the record is counted, which keeps that order."""
     spark = state.lines.sparkSession
-    _placed(views.shown(state.lines, state.tomb, state.ktomb).repartitionByRange("id")).write.parquet(f"{path}/links")
+    # What is ranged is read twice, for its bounds and for its rows.
+    views.shown(state.lines, state.tomb, state.ktomb).write.parquet(f"{path}/shown")
+    shown = spark.read.schema(_SHOWN).parquet(f"{path}/shown")
+    _placed(shown.repartitionByRange("id")).write.parquet(f"{path}/links")
+    removed(spark, f"{path}/shown")
     stored = spark.read.schema(_LINKS).parquet(f"{path}/links")
     words = words_of(stored.where("place = 1").select(F.explode("ekeys").alias("key"), "id"), "key")
     words.repartitionByRange("key", "word").sortWithinPartitions("key", "word").write.parquet(f"{path}/words")
