@@ -10,7 +10,7 @@ from ..operators import lattice as L
 from ..operators import merge as M
 from ..operators import upsert as U
 from ..operators import views
-from ..scratch import fresh
+from ..scratch import fresh, saved
 from ..session import table
 from ..sources import readers as S
 from ..sources import sinks as K
@@ -223,7 +223,7 @@ def import_links(spark, sf):
     text = lambda c: c.cast("string")
     value = F.when(n % 3 == 0, F.concat(F.lit("more/"), text(n % 700))).when(n % 3 == 1, F.concat(F.lit("order/"), text(n + 1))).otherwise(F.concat(F.lit("more/"), text(n)))
     facts = table(spark, sf, "orders").select(n.alias("seq"), F.lit("M").alias("verb"), X.content_hash(F.concat(F.lit("order/"), text(F.floor(n / 2)))).alias("hash"), value.alias("value"))
-    once = C.import_links(s.lines, s.tomb, facts)
+    once = saved(C.import_links(s.lines, s.tomb, facts), "imported")
     return C.import_links(once, s.tomb, facts).select("id", F.array_join("keys", " ").alias("keys"), "value")
 
 

@@ -16,3 +16,8 @@ def test_all_batches_or_the_last(spark, tmp_path):
     stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     assert sorted(r.id for r in streams.run_once(stream(), f"{tmp_path}/a", "append").collect()) == list(range(30))
     assert [r["count"] for r in streams.run_once(stream().groupBy().count(), f"{tmp_path}/c", "complete").collect()] == [30]
+
+
+def test_an_import_is_kept_for_the_next(spark):
+    files = catalog.QUERIES["import_links"](spark, SF).inputFiles()
+    assert any("/keyloom-imported-" in f for f in files)
