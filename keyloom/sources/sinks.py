@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import views
 from ..operators.facts import as_text, export
 from ..schema import State
+from ..scratch import saved
 
 
 def dump_line(keys: Column, value: Column) -> Column:
@@ -22,11 +23,12 @@ def dump(state: State) -> DataFrame:
 
 
 def write_dump(state: State, path: str) -> None:
-    dump(state).orderBy("id", "ord").select("line").write.text(path)
+    saved(dump(state), "dump").orderBy("id", "ord").select("line").write.text(path)
 
 
 def write_export(state: State, path: str) -> None:
-    as_text(export(state)).orderBy("section", "id", "place", "line").select("line").write.text(path)
+    # An order over all rows reads them twice, for its ranges and for the rows.
+    saved(as_text(export(state)), "export").orderBy("section", "id", "place", "line").select("line").write.text(path)
 
 
 def store_line(row_ts: Column, keys: Column, value: Column, id: Column) -> Column:
