@@ -118,7 +118,10 @@ def replay_stream(facts: DataFrame, hash_of=content_hash) -> DataFrame:
         "key": key_encode(F.col("key")), "keys": F.transform("keys", key_encode), "ts": F.coalesce("ts", F.lit("")), "name": F.coalesce(name, F.lit("")),
         "replica": F.coalesce("replica", F.lit("")),
     }).select(*[c.split()[0] for c in FACTS.split(", ")], "name")
-    timed = coded.groupBy("replica").transformWithStateInPandas(_Clocks(), _TIMED, "append", "none")
+    # Only lines that a clock is told by or for pass the stage of few keys, the replicas.
+    clocked = F.col("verb").isin("A", "C")
+    timed = coded.where(clocked).groupBy("replica").transformWithStateInPandas(_Clocks(), _TIMED, "append", "none")
+    timed = timed.unionByName(coded.where(~F.coalesce(clocked, F.lit(False))).withColumn("true_ts", F.lit(None).cast("string")))
     named = timed.groupBy("name").transformWithStateInPandas(_Links(), _TIMED.replace(", name string", "") + ", rec string", "append", "none")
     return named.groupBy("rec").transformWithStateInPandas(_Record(), "rec string, live boolean, ts string, keys array<string>", "append", "none")
 
