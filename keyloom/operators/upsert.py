@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import attaches, content_hash, detaches, has_interior_newline, key_encode, key_fold_stored, safe_path, trim_line
 from ..schema import State
+from ..scratch import saved
+from ..spread import dealt, parts_for
 from . import views
 from .recall import numbered
 
@@ -86,25 +88,41 @@ def add_link(lines: DataFrame, tomb: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("id", "value", F.when(F.col("turn") > 1, -2).otherwise(F.col("status")).alias("status"))
 
 
-def last_edits(edits: DataFrame) -> DataFrame:
-    """(id, key, op, seq): the last edit of each (id, encoded key); -k detaches, k attaches."""
-    both = edits.select("id", "seq", F.explode(F.concat(F.transform(attaches("keys"), lambda k: F.struct(key_encode(k).alias("key"), F.lit("attach").alias("op"))), F.transform(detaches("keys"), lambda k: F.struct(key_encode(k).alias("key"), F.lit("detach").alias("op"))))).alias("e"))
-    both = both.select("id", "seq", "e.*").where("key <> ''")
+def last_edits(edits: DataFrame, parts: int | None = None) -> DataFrame:
+    """(id, key, op, seq, ever): the last edit of each (id, encoded key), and whether any attached it; -k detaches, k attaches."""
+    both = edits.select("id", "seq", F.explode(F.concat(F.transform(attaches("keys"), lambda k: F.struct(key_encode(k).alias("key"), F.lit(False).alias("off"))), F.transform(detaches("keys"), lambda k: F.struct(key_encode(k).alias("key"), F.lit(True).alias("off"))))).alias("e"))
+    both = dealt(both.select("id", "seq", "e.*").where("key <> ''"), parts, "id", "key")
+    # Maxima of numbers are hashed, not sorted.
+    ends = [f(F.when(F.col("off") == off, c)).alias(n) for off, side in ((False, "on"), (True, "off")) for f, c, n in ((F.max, F.col("seq"), f"{side}_seq"), (F.count, F.lit(1), f"{side}_n"))]
+    m = both.groupBy("id", "key").agg(*ends)
     # Of edits with one number, a detachment goes last.
-    return both.groupBy("id", "key").agg(F.max(F.struct("seq", "op")).alias("m")).select("id", "key", "m.op", "m.seq")
+    detach = (F.col("off_n") > 0) & ((F.col("on_n") == 0) | F.coalesce(F.col("off_seq") >= F.col("on_seq"), F.col("on_seq").isNull()))
+    return m.select("id", "key", F.when(detach, "detach").otherwise("attach").alias("op"), F.greatest("on_seq", "off_seq").alias("seq"), (F.col("on_n") > 0).alias("ever"))
 
 
 def update_keys(lines: DataFrame, tomb: DataFrame, ktomb: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, ktomb) after edits (id, seq, keys). A detached key stays in the line and is hidden by ktomb."""
-    last = last_edits(edits).join(views.live(lines, tomb).select("id").distinct(), "id", "left_semi")
-    attached, detached = last.where("op = 'attach'"), last.where("op = 'detach'")
+    parts = parts_for(lines, edits)
+    lines = dealt(lines, parts, "id")
+    last = dealt(last_edits(edits, parts), parts, "id").join(views.live(lines, tomb).select("id").distinct(), "id", "left_semi")
+    return _with_keys(lines, last.where("op = 'attach'")), _hidden(ktomb, last, parts)
+
+
+def _with_keys(lines: DataFrame, attached: DataFrame) -> DataFrame:
+    """Lines with the attached (id, key, seq) at each record's first link."""
     more = attached.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "key"))), lambda k: k["key"]).alias("more"))
     coded = F.transform("keys", key_encode)
     added = F.concat("keys", F.filter(F.coalesce("more", _none()), lambda k: ~F.array_contains(coded, k)))
     first = F.row_number().over(views.by_id()) == 1
     out = lines.join(more, "id", "left").withColumn("first", first).withColumn("keys", F.when(F.col("first"), added).otherwise(F.col("keys")))
-    kept = ktomb.select("id", key_encode(F.col("key")).alias("key")).join(attached.select("id", "key"), ["id", "key"], "left_anti")
-    return out.select("id", "ts", "keys", "value", "ord"), kept.unionByName(detached.select("id", "key")).distinct()
+    return out.select("id", "ts", "keys", "value", "ord")
+
+
+def _hidden(ktomb: DataFrame, last: DataFrame, parts: int | None) -> DataFrame:
+    """(id, key) of ktomb after the last edits."""
+    attached, detached = (last.where(F.col("op") == op).select("id", "key") for op in ("attach", "detach"))
+    kept = dealt(ktomb.select("id", key_encode(F.col("key")).alias("key")), parts, "id", "key").join(attached, ["id", "key"], "left_anti")
+    return dealt(kept.unionByName(detached), parts, "id", "key").distinct()
 
 
 def set_value(lines: DataFrame, tomb: DataFrame, edits: DataFrame) -> DataFrame:
@@ -126,63 +144,73 @@ def apply_set_value(lines: DataFrame, done: DataFrame) -> DataFrame:
 
 def delete_ids(lines: DataFrame, tomb: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
     """Tombstones after deleting ids; the second delete of an id adds none."""
-    fresh = ids.select("id").distinct().join(tomb.select("id").distinct(), "id", "left_anti")
-    first = views.first_link(lines).select("id", "value")
-    new = fresh.join(first, "id").select("id", F.lit(as_of).alias("ts"), content_hash(F.col("value")).alias("hash"), F.lit(None).cast("long").alias("ord"))
+    parts = parts_for(lines)
+    fresh = dealt(ids.select("id"), parts, "id").distinct().join(tomb.select("id").distinct(), "id", "left_anti")
+    new = _stamped(lines, fresh, as_of, parts).select("id", "ts", "hash", "ord")
     return tomb.select("id", "ts", "hash", "ord").unionByName(new)
 
 
+def _under(lines: DataFrame, key: str) -> DataFrame:
+    """(id, key): records whose first link has the key, encoded."""
+    coded = key_encode(F.lit(key))
+    # Keys go through the window as one flag a line.
+    has = lines.select("id", "ord", "value", F.array_contains(F.transform("keys", key_encode), coded).alias("has"))
+    return views.first_link(has).where("has").select("id", coded.alias("key"))
+
+
 def delete_under(lines: DataFrame, tomb: DataFrame, key: str, as_of: str) -> DataFrame:
     """(id, ts, counted): the tombstones of all records under a key; those already dead are stamped anew and not counted."""
-    under = views.first_link(lines).where(F.array_contains(F.transform("keys", key_encode), key_encode(F.lit(key)))).select("id").distinct()
+    under = _under(dealt(lines, parts_for(lines), "id"), key).select("id")
     dead = tomb.select("id").distinct().withColumn("dead", F.lit(True))
     return under.join(dead, "id", "left").select("id", F.lit(as_of).alias("ts"), F.col("dead").isNull().alias("counted"))
 
 
 def untag(lines: DataFrame, ktomb: DataFrame, key: str) -> DataFrame:
     """(id, key): key tombstones after taking a key off every record, dead ones too; records stay."""
-    under = views.first_link(lines).where(F.array_contains(F.transform("keys", key_encode), key_encode(F.lit(key)))).select("id", key_encode(F.lit(key)).alias("key"))
+    under = _under(dealt(lines, parts_for(lines), "id"), key)
     return ktomb.select("id", key_encode(F.col("key")).alias("key")).unionByName(under).distinct()
 
 
-def _stamped(lines: DataFrame, rows: DataFrame, as_of: str) -> DataFrame:
+def _stamped(lines: DataFrame, rows: DataFrame, as_of: str, parts: int | None = None) -> DataFrame:
     """Rows (id, ...) with ts, the content hash of the record's value and no ord."""
     # Only the records of rows are ordered and hashed.
-    named = lines.join(rows.select("id").distinct(), "id", "left_semi")
+    named = dealt(lines.select("id", "value", "ord"), parts, "id").join(dealt(rows.select("id"), parts, "id").distinct(), "id", "left_semi")
     hashes = views.first_link(named).select("id", content_hash(F.col("value")).alias("hash"))
     return rows.join(hashes, "id").withColumn("ts", F.lit(as_of)).withColumn("ord", F.lit(None).cast("long"))
 
 
-def _without(facts: DataFrame, keys: DataFrame) -> DataFrame:
+def _without(facts: DataFrame, keys: DataFrame, parts: int | None = None) -> DataFrame:
     """Key facts but those of (id, encoded key)."""
-    coded = facts.withColumn("ekey", key_encode(F.col("key")))
-    return coded.join(keys.select("id", F.col("key").alias("ekey")).distinct(), ["id", "ekey"], "left_anti").drop("ekey")
+    coded = dealt(facts.withColumn("ekey", key_encode(F.col("key"))), parts, "id", "ekey")
+    return coded.join(dealt(keys.select("id", F.col("key").alias("ekey")), parts, "id", "ekey").distinct(), ["id", "ekey"], "left_anti").drop("ekey")
 
 
-def _clock(mts: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
-    return mts.join(ids, "id", "left_anti").unionByName(ids.select("id", F.lit(as_of).alias("ts")))
+def _clock(mts: DataFrame, ids: DataFrame, as_of: str, parts: int | None = None) -> DataFrame:
+    return dealt(mts, parts, "id").join(ids, "id", "left_anti").unionByName(ids.select("id", F.lit(as_of).alias("ts")))
 
 
-def _detached(state: State, keys: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(ktomb, katt) after detaching (id, encoded key): a key that is off already keeps its entry."""
-    coded = state.ktomb.select("id", key_encode(F.col("key")).alias("key")).distinct()
-    new = _stamped(state.lines, keys.join(coded, ["id", "key"], "left_anti"), as_of)
-    return state.ktomb.unionByName(new), _without(state.katt, keys)
+def _new_off(state: State, keys: DataFrame, parts: int | None) -> DataFrame:
+    """Those of (id, encoded key) that have no entry in ktomb: a key that is off already keeps its own."""
+    coded = dealt(state.ktomb.select("id", key_encode(F.col("key")).alias("key")), parts, "id", "key").distinct()
+    return dealt(keys, parts, "id", "key").join(coded, ["id", "key"], "left_anti")
 
 
 def edit_state(state: State, edits: DataFrame, as_of: str) -> State:
     """The whole state after update_keys: entries of ktomb and katt keep or get ts and hash, so that they travel, and mts is stamped."""
-    alive = views.live(state.lines, state.tomb).select("id").distinct()
-    last = last_edits(edits).join(alive, "id", "left_semi")
+    parts = parts_for(state.lines, edits)
+    alive = views.live(dealt(state.lines, parts, "id"), state.tomb).select("id").distinct()
+    # The last edits, and what they add, are kept: several tables read them.
+    last = saved(dealt(last_edits(edits, parts), parts, "id").join(alive, "id", "left_semi"), "edits")
     attached, detached = (last.where(F.col("op") == op).select("id", "key") for op in ("attach", "detach"))
-    ever = edits.select("id", F.explode(F.transform(attaches("keys"), key_encode)).alias("key")).join(alive, "id", "left_semi")
     # An attachment clears the old entry, so a detachment after it in the same edits makes a new one.
-    base = state._replace(ktomb=_without(state.ktomb, ever), katt=_without(state.katt, attached))
-    ktomb, katt = _detached(base, detached, as_of)
-    katt = katt.unionByName(_stamped(state.lines, attached, as_of))
-    edited = edits.select("id").distinct().join(alive, "id", "left_semi")
-    lines = update_keys(state.lines, state.tomb, state.ktomb, edits)[0]
-    return state._replace(lines=lines, ktomb=ktomb, katt=katt, mts=_clock(state.mts, edited, as_of))
+    base = state._replace(ktomb=_without(state.ktomb, last.where("ever"), parts))
+    new = attached.withColumn("op", F.lit("attach")).unionByName(_new_off(base, detached, parts).withColumn("op", F.lit("detach")))
+    new = saved(_stamped(state.lines, new, as_of, parts), "stamped")
+    on, off = (new.where(F.col("op") == op).drop("op") for op in ("attach", "detach"))
+    edited = dealt(edits.select("id"), parts, "id").distinct().join(alive, "id", "left_semi")
+    lines = _with_keys(dealt(state.lines, parts, "id"), dealt(last.where("op = 'attach'"), parts, "id"))
+    katt = _without(state.katt, last, parts).unionByName(on)
+    return state._replace(lines=lines, ktomb=base.ktomb.unionByName(off), katt=katt, mts=_clock(state.mts, edited, as_of, parts))
 
 
 def set_value_state(state: State, edits: DataFrame, as_of: str) -> State:
@@ -200,18 +228,19 @@ def delete_ids_state(state: State, ids: DataFrame, as_of: str) -> State:
 
 def delete_under_state(state: State, key: str, as_of: str) -> State:
     """The whole state after delete_under: one new tombstone per record under key, clocks and attachments of those records cleared."""
-    ids = delete_under(state.lines, state.tomb, key, as_of).select("id")
-    off = lambda df: df.join(ids, "id", "left_anti")
-    return state._replace(tomb=off(state.tomb).unionByName(_stamped(state.lines, ids, as_of)), katt=off(state.katt), mts=off(state.mts), sts=off(state.sts))
+    parts = parts_for(state.lines)
+    ids = saved(_under(dealt(state.lines, parts, "id"), key).select("id"), "under")
+    off = lambda df: dealt(df, parts, "id").join(ids, "id", "left_anti")
+    return state._replace(tomb=off(state.tomb).unionByName(_stamped(state.lines, ids, as_of, parts)), katt=off(state.katt), mts=off(state.mts), sts=off(state.sts))
 
 
 def untag_state(state: State, key: str, as_of: str) -> State:
     """The whole state after untag; the edit clock of live records is stamped."""
-    coded = key_encode(F.lit(key))
-    under = views.first_link(state.lines).where(F.array_contains(F.transform("keys", key_encode), coded)).select("id", coded.alias("key")).distinct()
-    ktomb, katt = _detached(state, under, as_of)
-    edited = under.select("id").join(state.tomb.select("id").distinct(), "id", "left_anti")
-    return state._replace(ktomb=ktomb, katt=katt, mts=_clock(state.mts, edited, as_of))
+    parts = parts_for(state.lines)
+    under = saved(_under(dealt(state.lines, parts, "id"), key), "under")
+    ktomb = state.ktomb.unionByName(_stamped(state.lines, _new_off(state, under, parts), as_of, parts))
+    edited = dealt(under.select("id"), parts, "id").join(state.tomb.select("id").distinct(), "id", "left_anti")
+    return state._replace(ktomb=ktomb, katt=_without(state.katt, under, parts), mts=_clock(state.mts, edited, as_of, parts))
 
 
 def compact(lines: DataFrame, tomb: DataFrame, ktomb: DataFrame) -> DataFrame:

@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 #: Parts of the key space whose rows are counted to find hot keys, and rows of a part below which it is not split.
 SPREAD_BUCKETS, SPREAD_ROWS = 1 << 12, 256
+#: Rows of a dealt partition on average, and those below which Spark's own partitions do.
+PART_ROWS, WHOLE_ROWS = 1 << 18, 1 << 21
+
+
+def parts_for(*frames: DataFrame) -> int | None:
+    """Partitions that the rows of all frames ask for, at least as many as Spark's own; None if they are few."""
+    rows = sum(df.count() for df in frames)
+    if rows <= WHOLE_ROWS:
+        return None
+    return max(-(-rows // PART_ROWS), int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """rows dealt by keys over parts partitions, before anything is sorted or hashed: a task's memory follows PART_ROWS, not the size of a file's split or a
+    fixed number of partitions. What is joined to them on these keys is dealt alike."""
+    return rows.repartition(parts, *keys) if parts else rows
 
 
 def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: list[str], how: str = "inner", n: str | None = None) -> DataFrame:
