@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import in_date_range, snippet
+from ..spread import dealt, parts_for
 from . import views
 from .index import Index
 from .recall import recall
@@ -56,6 +57,14 @@ def timeline(shown: DataFrame, before: int | None = None, limit: int | None = 50
     return rows.orderBy(F.desc("id")).limit(min(limit, 10_000)) if limit else rows
 
 
+def newest(lines: DataFrame, tomb: DataFrame, ktomb: DataFrame, limit: int = 500) -> DataFrame:
+    """The first page of the timeline from the record tables: its ids first, so that only their links are met with keys, shuffled and ordered."""
+    alive = views.live(dealt(lines.select("id"), parts_for(lines), "id"), tomb).distinct()
+    ids = F.broadcast(alive.orderBy(F.desc("id")).limit(min(limit, 10_000)))
+    page = views.visible(lines.join(ids, "id", "left_semi"), ktomb.join(ids, "id", "left_semi"))
+    return timeline(page, limit=limit)
+
+
 def timeline_stored(index: Index, before: int | None = None, limit: int | None = 500, first: str | None = None, last: str | None = None) -> DataFrame:
     """The same from a stored index: bounds on id and day reach the scan, whose files are in order of ids."""
     rows = index.records

@@ -55,7 +55,8 @@ _TL = W + "SELECT id, ts, array_to_string(keys, ' ') AS keys, value, extra FROM
 
 @query(_TL + "ORDER BY id DESC LIMIT 500")
 def timeline(spark, sf):
-    return B.timeline(T.orders_shown(spark, sf))
+    s = T.orders_state(spark, sf)
+    return B.newest(s.lines, s.tomb, s.ktomb)
 
 
 @query(_TL + "WHERE substr(ts, 1, 10) BETWEEN '1995-02-01' AND '1995-03-15'")
