@@ -233,8 +233,10 @@ def _sent(texts: DataFrame, frequent, shards: int, most_tokens: int) -> DataFram
             second[firsts] = _START
             doc = (np.repeat(np.arange(len(sizes)), sizes) << 1 | np.repeat(learn, sizes)).astype(np.uint16)
             shard = _shard(flat, before, frequent.value[0], shards)
-            order = np.lexsort((flat, shard))
-            own, cut = np.unique(shard[order], return_index=True)
+            order = np.argsort(_together(flat, before, second, shard, shards), kind="stable")
+            ranked = shard[order]
+            cut = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+            own = ranked[cut]
             bodies = [_pack(flat[o], before[o], second[o], doc[o]) for o in np.split(order, cut[1:])]
             ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             nulls = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
@@ -247,22 +249,90 @@ def _sent(texts: DataFrame, frequent, shards: int, most_tokens: int) -> DataFram
     return texts.mapInArrow(run, "shard long, batch long, docs int, body binary")
 
 
+def _small(n: np.ndarray) -> bytes:
+    """Counts as a byte each, and those from 255 on once more in whole."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int32).tobytes()
+
+
+def _counts(held: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """n counts that _small wrote at a place, and the place after them."""
+    out = np.frombuffer(held, np.uint8, n, at).astype(np.int64)
+    more = np.flatnonzero(out == 255)
+    out[more] = np.frombuffer(held, np.int32, len(more), at + n)
+    return out, at + n + 4 * len(more)
+
+
+def _together(w: np.ndarray, b: np.ndarray, bb: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """One number each, by whose order shards are apart and, but for rare meetings of leading bits, equal words, pairs and trigrams together."""
+    bits = shards.bit_length()
+    pair = (b & _LOW40) >> np.uint64(23) << np.uint64(10) | (bb & _LOW32) >> np.uint64(22)
+    left = 40 - bits
+    return shard.astype(np.uint64) << np.uint64(64 - bits) | w >> np.uint64(40) << np.uint64(left) | pair >> np.uint64(max(27 - left, 0))
+
+
+def _bits(x: np.ndarray) -> bytes:
+    """Numbers as their lowest byte each, then planes of the further bits that the largest has, after the number of those planes."""
+    more = max(int(x.max()).bit_length() - 8, 0) if len(x) else 0
+    return bytes([more]) + x.astype(np.uint8).tobytes() + b"".join(np.packbits((x >> (8 + k)) & 1).tobytes() for k in range(more))
+
+
+def _of_bits(held: bytes, n: int, at: int) -> np.ndarray:
+    out = np.frombuffer(held, np.uint8, n, at + 1).astype(np.int64)
+    size = -(-n // 8)
+    for k in range(held[at]):
+        out |= np.unpackbits(np.frombuffer(held, np.uint8, size, at + 1 + n + k * size), count=n).astype(np.int64) << (8 + k)
+    return out
+
+
+def _places(x: np.ndarray, n: int) -> bytes:
+    """Ascending numbers below n, as a list or as a map of n bits, whichever is smaller."""
+    if 16 * len(x) <= n:
+        return x.astype(np.uint16).tobytes()
+    there = np.zeros(n, np.uint8)
+    there[x] = 1
+    return np.packbits(there).tobytes()
+
+
+def _of_places(held: bytes, k: int, n: int, at: int) -> tuple[np.ndarray, int]:
+    """The k numbers that _places wrote at a place, and the place after them."""
+    if 16 * k <= n:
+        return np.frombuffer(held, np.uint16, k, at), at + 2 * k
+    size = -(-n // 8)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8, size, at), count=n)), at + size
+
+
 def _pack(w: np.ndarray, b: np.ndarray, bb: np.ndarray, doc: np.ndarray) -> bytes:
-    """Distinct words with their numbers, then 40 bits of the word before, 32 of the one before it, and document and fold, in columns."""
-    words, n = np.unique(w, return_counts=True)
-    b = b & _LOW40
-    parts = (words, n.astype(np.int32), (b >> np.uint64(8)).astype(np.uint32), (b & np.uint64(255)).astype(np.uint8), (bb & _LOW32).astype(np.uint32), doc)
-    return np.array([len(words), len(w)], np.int64).tobytes() + b"".join(x.tobytes() for x in parts)
+    """Trigrams (word, 40 bits of the word before, 32 of the one before it) in an order that brings equal ones together, as a trie: each run of a word, of a
+    pair and of a trigram once, with the number of those under it; and document and fold of each occurrence. In columns. Any order returns whole."""
+    b, bb = b & _LOW40, bb & _LOW32
+    new_w = np.r_[True, w[1:] != w[:-1]]
+    new_b = new_w | np.r_[True, b[1:] != b[:-1]]
+    new_bb = new_b | np.r_[True, bb[1:] != bb[:-1]]
+    at_w, at_b, at_bb = map(np.flatnonzero, (new_w, new_b, new_bb))
+    ends = [np.append(np.searchsorted(of, up), len(of)) for up, of in ((at_w, at_b), (at_b, at_bb))]
+    sizes = [np.diff(e) for e in ends] + [np.diff(np.append(at_bb, len(w)))]
+    before = b[at_b]
+    # Words ascend, so the plane of their highest bytes has runs.
+    planes = np.ascontiguousarray(w[at_w]).view(np.uint8).reshape(-1, 8).T
+    parts = (planes, (before >> np.uint64(8)).astype(np.uint32), (before & np.uint64(255)).astype(np.uint8), bb[at_bb].astype(np.uint32))
+    head = np.array([len(at_w), len(at_b), len(at_bb), len(w)], np.int32)
+    return head.tobytes() + b"".join(x.tobytes() for x in parts) + b"".join(map(_small, sizes)) + _bits(doc)
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
-    n_words, n = np.frombuffer(body, np.int64, 2)
-    at, out = 16, []
-    for kind, size in ((np.uint64, n_words), (np.int32, n_words), (np.uint32, n), (np.uint8, n), (np.uint32, n), (np.uint16, n)):
+    """Words, bits of pairs and of trigrams; the word of each pair, the pair of each trigram, the trigram of each occurrence; its document and fold."""
+    n_words, n_pairs, n_trios, n = (int(x) for x in np.frombuffer(body, np.int32, 4))
+    at, out, sizes = 16, [], []
+    for kind, size in ((np.uint8, 8 * n_words), (np.uint32, n_pairs), (np.uint8, n_pairs), (np.uint32, n_trios)):
         out.append(np.frombuffer(body, kind, size, at))
         at += size * np.dtype(kind).itemsize
-    words, sizes, high, low, second, doc = out
-    return np.repeat(words, sizes), high.astype(np.uint64) << np.uint64(8) | low, second.astype(np.uint64), (doc >> np.uint16(1)).astype(np.int64), (doc & np.uint16(1)).astype(np.int64)
+    for size in (n_words, n_pairs, n_trios):
+        told, at = _counts(body, size, at)
+        sizes.append(told)
+    planes, high, low, second = out
+    words, doc = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), _of_bits(body, n, at)
+    above = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    return words, high.astype(np.uint64) << np.uint64(8) | low, second.astype(np.uint64), *above, doc >> 1, doc & 1
 
 
 def score_texts(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFrame:
@@ -300,13 +370,20 @@ def score_texts(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFr
         if frame["shard"].iat[0] < 0:
             return frame[["batch", "docs"]].assign(about=frame["body"], sums=None)
         parts = [_unpack(b) for b in frame["body"]]
-        w, b, bb, doc, learn = (np.concatenate(x) for x in zip(*parts, strict=True))
-        rows = np.repeat(np.arange(len(frame)), [len(p[0]) for p in parts])
+        starts = [np.cumsum([0, *(len(p[i]) for p in parts[:-1])]) for i in range(3)]
+        w, b, bb = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        b_word, bb_pair, trio = (np.concatenate([p[3 + i] + at for p, at in zip(parts, starts[i], strict=True)]) for i in range(3))
+        doc, learn = (np.concatenate([p[i] for p in parts]) for i in (6, 7))
+        rows = np.repeat(np.arange(len(frame)), [len(p[6]) for p in parts])
         del parts
         # The distinct words, pairs and trigrams of the shard, and their counts in training texts.
         words, number = np.unique(w, return_inverse=True)
+        number = number[b_word]
         pairs, p_number = np.unique((number.astype(np.uint64) << np.uint64(_BEFORE)) | b, return_inverse=True)
+        p_number = p_number[bb_pair]
         trios, t_number = np.unique((p_number.astype(np.uint64) << np.uint64(_SECOND)) | bb, return_inverse=True)
+        # From a body's own words, pairs and trigrams to each occurrence.
+        number, p_number, t_number = number[bb_pair[trio]], p_number[trio], t_number[trio]
         c1, c2, c3 = (np.bincount(x, learn, len(of)).astype(np.int64) for x, of in ((number, words), (p_number, pairs), (t_number, trios)))
         at = np.minimum(np.searchsorted(frequent.value[0], words), len(frequent.value[0]) - 1)
         c1 = np.where(frequent.value[0][at] == words, frequent.value[1][at], c1)
@@ -345,9 +422,12 @@ def score_texts(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFr
         here, slot = np.unique(place, return_inverse=True)
         base = np.bincount(slot, log_p[number])
         score = np.bincount(slot, t_above[t_number] - p_below[p_number])
-        known = np.bincount(slot, has1[number]).astype(np.int32)
+        known = np.bincount(slot, has1[number]).astype(np.int64)
         cut = np.searchsorted(here, offset)
-        told = [(here[i:j] - o).astype(np.uint16).tobytes() + base[i:j].tobytes() + score[i:j].astype(np.float32).tobytes() + known[i:j].tobytes() for i, j, o in zip(cut, cut[1:], offset, strict=False)]
+        told = [
+            np.int32(j - i).tobytes() + base[i:j].tobytes() + score[i:j].astype(np.float32).tobytes() + _places(here[i:j] - o, n) + _small(known[i:j])
+            for i, j, o, n in zip(cut, cut[1:], offset, frame["docs"], strict=False)
+        ]
         return pd.DataFrame({"batch": frame["batch"], "docs": frame["docs"], "about": None, "sums": told})
 
     sums = _sent(texts, frequent, shards, unit).groupBy("shard").applyInPandas(run, "batch long, docs int, about binary, sums binary")
@@ -360,11 +440,11 @@ def score_texts(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFr
         out, sizes = np.frombuffer(about, np.uint8, n, 9 * n).astype(bool), np.frombuffer(about, np.int64, n, 10 * n)
         base, score, known = np.zeros(n), np.full(n, -first_below), np.zeros(n, np.int64)
         for told in sorted(t for t in frame["sums"] if t is not None):  # in one order, whatever order they came in
-            k = len(told) // 18
-            at = np.frombuffer(told, np.uint16, k)
-            base[at] += np.frombuffer(told, np.float64, k, 2 * k)
-            score[at] += np.frombuffer(told, np.float32, k, 10 * k)
-            known[at] += np.frombuffer(told, np.int32, k, 14 * k)
+            k = int(np.frombuffer(told, np.int32, 1)[0])
+            at, end = _of_places(told, k, n, 4 + 12 * k)
+            base[at] += np.frombuffer(told, np.float64, k, 4)
+            score[at] += np.frombuffer(told, np.float32, k, 4 + 8 * k)
+            known[at] += _counts(told, k, end)[0]
         doc_id = pd.array(ids, "Int64")
         doc_id[nulls] = pd.NA
         return pd.DataFrame({"doc_id": doc_id, "held_out": out, "n_tokens": sizes, "n_known": known, "base_score": base, "score": score})
