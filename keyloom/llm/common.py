@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import fresh
+from ..scratch import fresh, removed
 from ..spread import spread_join
 
-__all__ = ["ascii_lower", "documents", "let", "maybe_in", "saved", "spread_join", "unused", "word_count"]
+__all__ = ["ascii_lower", "documents", "dropped", "let", "marked", "maybe_in", "saved", "spread_join", "unused", "word_count"]
 
 #: A word of the contracts: a longest run without blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Folders of saved tables.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,7 +30,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete saved tables; all that was to be made of them must be stored by then."""
+    for table in tables:
+        removed(table.sparkSession, _PATHS.pop(table))
 
 
 def ascii_lower(col: Column) -> Column:
@@ -44,15 +56,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _bits(keys: DataFrame, own: Column, bits: int) -> DataFrame:
+    """(word_, bits_): the map of as many bits of keys' own, in words of 64."""
+    place = F.pmod(own, F.lit(bits))
+    return keys.select(place.alias("place_")).groupBy(F.shiftright("place_", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place_ & 63 as int))")).alias("bits_"))
+
+
+def marked(rows: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int, name: str) -> DataFrame:
+    """Rows with a column name: whether their key may be among keys' own. It is never false where it is; rows stay where they are.
+
+    keys, numbers of 64 bits, go to all tasks as a map of as many bits, in words of 64 and so with a row per word at most. A full map marks all rows.
+    """
+    near = rows.withColumn("place_", F.pmod(key, F.lit(bits))).withColumn("word_", F.shiftright("place_", 6)).join(F.broadcast(_bits(keys, own, bits)), "word_", "left")
+    met = F.expr("shiftrightunsigned(coalesce(bits_, 0L), cast(place_ & 63 as int)) & 1") == 1
+    return near.select(*rows.columns, met.alias(name))
+
+
 def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, own: Column, bits: int) -> DataFrame:
     """Rows whose key is among keys' own, and a few others; rows stay where they are.
 
     keys, numbers of 64 bits, go to all tasks as a map of as many bits, in words of 64 and so with a row per word at most. A full map lets
     all rows pass, which costs what a join without it would.
     """
-    place = lambda c: F.pmod(c, F.lit(bits))
-    words = keys.select(place(own).alias("place_")).groupBy(F.shiftright("place_", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place_ & 63 as int))")).alias("bits_"))
-    near = rows.withColumn("place_", place(key)).withColumn("word_", F.shiftright("place_", 6)).join(F.broadcast(words), "word_")
+    near = rows.withColumn("place_", F.pmod(key, F.lit(bits))).withColumn("word_", F.shiftright("place_", 6)).join(F.broadcast(_bits(keys, own, bits)), "word_")
     return near.where(F.expr("shiftrightunsigned(bits_, cast(place_ & 63 as int)) & 1") == 1).select(*rows.columns)
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, maybe_in, saved, spread_join, unused
+from .common import documents, dropped, marked, maybe_in, saved, spread_join, unused
 from .words import WordHashes, hashes_of, slices
 
 #: Number of coordinates (by leading bits of a hash), and the percentage of them in which linked classes agree.
@@ -121,6 +121,14 @@ def _sets(docs: DataFrame, shingle: int, kind: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key_a long, key_b long, {kind} {'array<long>' if kind == 'sig' else 'binary'}")
 
 
+def _signed(signs: DataFrame, solid: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, n, sig) of the classes' first rows. Only rows that may be copies of these are shuffled with their signatures."""
+    copies = saved(solid.join(named.select(*_KEY, "class"), _KEY).where(F.col("row") != F.col("class")).select("row"), "dedup-copies")
+    told = marked(signs.where("doc_id IS NOT NULL AND n_shingles > 0").select("row", "sig"), F.xxhash64("row"), copies, F.xxhash64("row"), ID_BITS, "copy")
+    first = told.where("NOT copy").union(told.where("copy").join(copies, "row", "left_anti"))
+    return first.select(F.col("row").alias("id"), F.size("sig").alias("n"), "sig")
+
+
 def _needed(n):
     """Coordinates of n that agree with a class that links: all but the prefix and one more. Of a column or an array."""
     return (n * SHARE + 99) // 100 if isinstance(n, np.ndarray) else F.ceil(n * SHARE / 100).cast("int")
@@ -173,7 +181,9 @@ def prefixes(signed: DataFrame) -> DataFrame:
     # The coordinates that a class alone has come first in its prefix.
     length = F.col("n") - _needed(F.col("n")) + 1
     prefix = F.slice("met", F.lit(1), F.greatest(length - (F.col("n") - F.size("met")), F.lit(0)))
-    return met.join(signed.select("id", "n"), "id").select("id", prefix.alias("prefix")).where(F.size("prefix") > 0)
+    out = saved(met.join(signed.select("id", "n"), "id").select("id", prefix.alias("prefix")).where(F.size("prefix") > 0), "dedup-prefixes")
+    dropped(shared)
+    return out
 
 
 def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -316,28 +326,31 @@ def _links(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
     return work
 
 
-def _sketched(signed: DataFrame) -> DataFrame:
-    """(id, sketch) of classes (id, sig)."""
+def sketches_of(ids: DataFrame, signed: DataFrame) -> DataFrame:
+    """(id, sketch) of those classes (id, sig) that are among ids; signatures are not shuffled, only sketches of about those classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = [sketch(np.asarray(sig.values.to_numpy()).view(np.uint64)).tobytes() for sig in batch.column("sig")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(told, pa.binary())], ["id", "sketch"])
 
-    return signed.select("id", "sig").mapInArrow(run, "id long, sketch binary")
+    some = maybe_in(signed.select("id", "sig"), F.xxhash64("id"), ids, F.xxhash64("id"), ID_BITS)
+    return some.mapInArrow(run, "id long, sketch binary").join(ids, "id", "left_semi")
 
 
 def _rest(posted: DataFrame, labels: DataFrame, signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between components whose members meet in a list, enough of them to join all that have any."""
     blocks = saved(_blocks(posted, labels), "dedup-blocks")
-    sketches = _sketched(signed.join(blocks.select("id").distinct(), "id", "left_semi"))
+    sketches = sketches_of(blocks.select("id").distinct(), signed)
     near = saved(_in_groups(blocks.join(sketches, "id"), forest, "a long, b long"), "dedup-near")
     if near.isEmpty():
         return near
     families = components(near)
     members = saved(_blocks(families.select(F.col("component").alias("token"), "id"), labels), "dedup-families")
     sets = sets_of(members.select(F.col("id").alias("class")).distinct())
-    return _in_groups(members.join(sets, "id"), _links(percent), "a long, b long")
+    out = saved(_in_groups(members.join(sets, "id"), _links(percent), "a long, b long"), "dedup-more")
+    dropped(sets)
+    return out
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -373,13 +386,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = _KEY
-    members = saved(_sets(docs, shingle, "sig").withColumn("row", F.monotonically_increasing_id()), "dedup-members")
+    signs = saved(_sets(docs, shingle, "sig").withColumn("row", F.monotonically_increasing_id()), "dedup-signs")
+    # The result needs all but the signatures, which are dropped when nothing reads them.
+    members = saved(signs.drop("sig"), "dedup-members")
     solid = members.where("doc_id IS NOT NULL AND n_shingles > 0")
     # One doc_id may stand for several classes if rows repeat it; a class is called by its first row's number.
     named = saved(solid.groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("first")).select(*key, "first.doc_id", F.col("first.row").alias("class")), "dedup-classes")
-    signed = solid.join(named.select(F.col("class").alias("row")), "row").select(F.col("row").alias("id"), F.size("sig").alias("n"), "sig")
-    signed = saved(signed, "dedup-signatures")
-    prefix = saved(prefixes(signed), "dedup-prefixes")
+    signed = saved(_signed(signs, solid, named), "dedup-signatures")
+    dropped(signs)
+    prefix = prefixes(signed)
 
     def sets_of(classes: DataFrame) -> DataFrame:
         """(id, shingles) of classes, hashed again from their texts."""
@@ -392,11 +407,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) ->
 
     hubs = F.filter(F.array_distinct(F.col("prefix")["hub"]), lambda h: h != F.col("id"))
     star = saved(prefix.select(F.explode(hubs).alias("a"), F.col("id").alias("b")), "dedup-star")
-    ends = _sketched(signed.join(_ends(star).withColumnRenamed("class", "id"), "id", "left_semi"))
+    ends = sketches_of(_ends(star).withColumnRenamed("class", "id"), signed)
     star = saved(_close(star, ends), "dedup-close")
-    labels = saved(components(confirmed(star, sets_of(_ends(star)), percent)), "dedup-labels")
+    sets = sets_of(_ends(star))
+    labels = saved(components(confirmed(star, sets, percent)), "dedup-labels")
+    dropped(sets)
     posted = prefix.select(F.explode("prefix").alias("t"), "id").select(F.col("t")["token"].alias("token"), "id")
-    more = saved(_rest(posted, labels, signed, sets_of, percent), "dedup-more")
+    more = _rest(posted, labels, signed, sets_of, percent)
+    dropped(signed, prefix)
 
     # What still joins components: links found late, and rows that repeat a doc_id with other texts.
     several = solid.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id", "x")
@@ -410,7 +428,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 2, percent: int = 80) ->
     tops = saved(tops, "dedup-tops")
     least = tops.groupBy("top").agg(F.min("doc_id").alias("component"))
     found = spread_join(tops, least, ["top"], ["doc_id"]).select(*key, "component")
-    out = spread_join(members.drop("sig"), found, key, ["row"], "left")
+    out = spread_join(members, found, key, ["row"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id",

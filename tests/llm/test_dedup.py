@@ -88,3 +88,41 @@ def test_neighbours_in_a_ring_join(spark, monkeypatch):
             near[rnd.randrange(100)] = f"own{i}"
         docs.append((i, " ".join(near)))
     check(spark, docs, 2)
+
+
+def joined_columns(frame):
+    """Columns that the joins of a plan get, before it is known how large anything is."""
+    found, todo = set(), [frame._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join" and "broadcast" not in node.hint().toString():
+            found |= {side.output().apply(i).name() for side in below for i in range(side.output().size())}
+        todo += below
+    return found
+
+
+def test_signatures_stay_where_they_are(spark):
+    """What meets the ids in a join are sketches of a fixed size; signatures are eight times as large, and were shuffled when the ids grew over Spark's bound for broadcasts."""
+    signed = M._sets(spark.createDataFrame([(i, f"a{i} b c d e") for i in range(20)], SCHEMA), 2, "sig").selectExpr("doc_id AS id", "size(sig) AS n", "sig")
+    found = M.sketches_of(signed.where("id < 7").select("id"), signed)
+    assert sorted(r.id for r in found.collect()) == list(range(7))
+    assert "sketch" in joined_columns(found) and "sig" not in joined_columns(found)
+
+
+def test_tables_that_nothing_reads_are_dropped(spark, monkeypatch):
+    made = []
+
+    def saved(df, label, real=M.saved):
+        made.append((label, out := real(df, label)))
+        return out
+
+    monkeypatch.setattr(M, "saved", saved)
+    text = " ".join(f"w{i}" for i in range(50))
+    out = M.near_duplicates(spark.createDataFrame([(1, text), (2, text + " x"), (3, text), (4, "q")], SCHEMA))
+    left = set()
+    for label, table in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0])
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            left |= {c for c in table.columns if c in ("sig", "shingles", "hub", "prefix")}
+    assert not left and sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
