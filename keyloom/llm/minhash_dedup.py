@@ -230,11 +230,14 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.select(F.col("hi").alias("id"), F.col("lo").alias("n")).union(edges.select(F.col("lo").alias("id"), F.col("hi").alias("n")))
         least = near.groupBy("id").agg(F.least(F.min("n"), F.col("id")).alias("m"))
         large = spread_join(near, least, ["id"], ["n"]).where("n > id").select(F.col("m").alias("lo"), F.col("n").alias("hi")).where("lo < hi").distinct()
+        # Stored, as what follows names it four times: the driver keeps the plans of all rounds, and this one's would hold that join as often.
+        large = saved(large, "dedup-large")
         # Small star: an id and its smaller neighbours, of which it has no more than lists, go to the smallest of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         down = large.join(least, "hi")
         small = down.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").union(down.select(F.col("m").alias("lo"), "hi")).distinct()
-        edges = saved(small, "dedup-round")
+        before, edges = edges, saved(small, "dedup-round")
+        dropped(before, large)
     roots = edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("id"), "component")
     return roots.union(edges.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("component")))
 

@@ -126,3 +126,17 @@ def test_tables_that_nothing_reads_are_dropped(spark, monkeypatch):
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             left |= {c for c in table.columns if c in ("sig", "shingles", "hub", "prefix")}
     assert not left and sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    """The driver holds the plan of every round, so a round must not repeat its join where it names it again."""
+    sizes = []
+
+    def saved(df, label, real=M.saved):
+        sizes.append((label, len(df._jdf.queryExecution().sparkPlan().treeString().splitlines())))
+        return real(df, label)
+
+    monkeypatch.setattr(M, "saved", saved)
+    found = M.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(i, 0) for i in range(10)]
+    assert max(n for _, n in sizes) < 150, sizes
