@@ -24,6 +24,8 @@ FNV_BASIS = 1469598103934665603
 FNV_PRIME = 1099511628211
 #: Visible ASCII without bars and slashes, and no leading dot.
 PLAIN_KEY = r"^(?!\.)[\x21-\x2E0-\x5B\x5D-\x7B\x7D\x7E]+\z"
+#: What a line's end loses.
+LINE_BLANKS = "\n\r \t"
 TS_SHAPE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}Z?)?)?$"
 
 
@@ -156,11 +158,13 @@ def value_kind(value: Column) -> Column:
 
 
 def has_interior_newline(value: Column) -> Column:
-    return value.rlike(r"\n[\s\S]*[^\n\r \t]")
+    """Whether text follows a line break. A pattern would read on to the end from every line break of a blank end."""
+    return trim_line(value).contains("\n")
 
 
 def trim_line(value: Column) -> Column:
-    return F.regexp_replace(value, r"[\n\r \t]+$", "")
+    # In a pattern $ would also stand before a last line separator.
+    return F.rtrim(value, F.lit(LINE_BLANKS))
 
 
 def preview(body: Column, value: Column, cap: int) -> Column:

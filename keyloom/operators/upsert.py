@@ -264,34 +264,52 @@ def split_documents(rows: DataFrame) -> DataFrame:
 
     A value with text after a line break, or over 64 KB, is a document; else its end is trimmed and an empty one refused.
     """
-    big = has_interior_newline(F.col("value")) | (F.octet_length("value") > 65536)
+    # By size first: a long text needs no look inside.
+    big = (F.octet_length("value") > 65536) | has_interior_newline(F.col("value"))
     path = F.concat(F.lit("blobs/"), F.coalesce("ts", F.lit("")), F.lit("~"), F.substring(F.md5("value"), 1, 8), F.lit(".txt"))
     trimmed = trim_line(F.col("value"))
     form = F.when(big, "document").when(trimmed == "", "empty").otherwise("inline")
     return rows.select("seq", form.alias("form"), F.when(big, path).otherwise(trimmed).alias("value"), F.when(big, F.col("value")).alias("body"))
 
 
-def placed_documents(split: DataFrame) -> DataFrame:
-    """split_documents with a path for each body: of different bytes under one path the body with the smallest digest keeps it, and the others get a number, as in
-    blobs/time~tag-2.txt. Only rows whose path is shared get a new one, so what is joined is as small as the collisions of a tag of eight digits are few.
+def _digested(split: DataFrame) -> DataFrame:
+    return split.withColumn("digest", F.when(F.col("form") == "document", F.md5("body")))
+
+
+def moved_documents(split: DataFrame) -> DataFrame:
+    """(value, digest, nth): the bodies that another one with a smaller digest keeps from their path, and the number that they get instead.
+
+    It is kept, as several readers meet it, and as small as the collisions of a tag of eight digits are few.
     """
-    tagged = split.withColumn("digest", F.when(F.col("form") == "document", F.md5("body")))
     nth = F.row_number().over(Window.partitionBy("value").orderBy("digest"))
-    moved = tagged.where("digest IS NOT NULL").select("value", "digest").distinct().withColumn("nth", nth).where("nth > 1")
-    out = tagged.join(moved, ["value", "digest"], "left")
+    paths = _digested(split.where("form = 'document'")).select("value", "digest").distinct()
+    return saved(paths.withColumn("nth", nth).where("nth > 1"), "moved")
+
+
+def _path(digested: DataFrame, moved: DataFrame) -> DataFrame:
+    """Rows (value, digest, ...) with the paths of moved_documents."""
     numbered_path = F.regexp_replace("value", r"\.txt$", F.concat(F.lit("-"), F.col("nth").cast("string"), F.lit(".txt")))
-    return out.select("seq", "form", F.when(F.col("nth").isNull(), F.col("value")).otherwise(numbered_path).alias("value"), "body")
+    return digested.join(moved, ["value", "digest"], "left").withColumn("value", F.when(F.col("nth").isNull(), F.col("value")).otherwise(numbered_path)).drop("nth")
+
+
+def placed_documents(split: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+    """split_documents with a path for each body: of different bytes under one path the body with the smallest digest keeps it, and the others get a number, as in
+    blobs/time~tag-2.txt. moved is moved_documents(split), if it is there already.
+    """
+    return _path(_digested(split), moved_documents(split) if moved is None else moved).select("seq", "form", "value", "body")
 
 
-def write_bodies(placed: DataFrame, path: str) -> None:
-    """Bodies of placed_documents by their path; one that arrives twice is kept once, as its path follows from its content."""
-    bodies = placed.where("form = 'document'").select(F.col("value").alias("path"), "body")
-    bodies.groupBy("path").agg(F.first("body").alias("body")).write.parquet(path)
+def write_bodies(rows: DataFrame, path: str, moved: DataFrame | None = None) -> None:
+    """Bodies of placed_documents by their path, or of split_documents and moved_documents; one that arrives twice is kept once, as its path follows from its content."""
+    bodies = _digested(rows.where("form = 'document'")).groupBy("value", "digest").agg(F.first("body").alias("body"))
+    # Bodies are moved once: they lie by path and digest already when they meet their numbers.
+    placed = bodies if moved is None else _path(bodies, moved)
+    placed.select(F.col("value").alias("path"), "body").write.parquet(path)
 
 
 def with_bodies(lines: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Lines with body: the stored text that a line's value names, if any."""
-    return lines.join(bodies.select(F.col("path").alias("value"), "body"), "value", "left")
+    """Lines with the columns of bodies (path, ...): the stored text that a line's value names, if any, or what is taken from it."""
+    return lines.join(bodies.withColumnRenamed("path", "value"), "value", "left")
 
 
 def discard_list(lines: DataFrame, tomb: DataFrame) -> DataFrame:

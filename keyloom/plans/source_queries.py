@@ -231,12 +231,14 @@ def import_links(spark, sf):
 @query("SELECT doc_id AS id, md5(text) AS digest FROM documents WHERE regexp_matches(text, '\\n[\\s\\S]*[^\\n\\r \\t]') OR strlen(text) > 65536")
 def stored_bodies(spark, sf):
     """Documents' bodies stored under their path, and found again by the value of their record."""
-    split = U.placed_documents(U.split_documents(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("value"), F.lit("2024-01-01").alias("ts"))))
+    split = U.split_documents(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("value"), F.lit("2024-01-01").alias("ts")))
+    moved = U.moved_documents(split)
     path = fresh(spark, "bodies")
-    U.write_bodies(split, path)
-    bodies = spark.read.schema("path string, body string").parquet(path)
-    lines = split.where("form = 'document'").select(F.col("seq").alias("id"), "value")
-    return U.with_bodies(lines, bodies).select("id", F.md5("body").alias("digest"))
+    U.write_bodies(split, path, moved)
+    # A stored body is hashed where it is read, so digests meet the lines and not texts.
+    bodies = spark.read.schema("path string, body string").parquet(path).select("path", F.md5("body").alias("digest"))
+    lines = U.placed_documents(split, moved).where("form = 'document'").select(F.col("seq").alias("id"), "value")
+    return U.with_bodies(lines, bodies).select("id", "digest")
 
 
 @query(W + ", back AS (SELECT id, value FROM base WHERE id % 68 = 0) SELECT id, hash FROM tomb WHERE id NOT IN (SELECT id FROM back) AND hash NOT IN (SELECT value FROM back)")
